@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_rules, mixing, secrets
+from . import line_rules, mixing, packing, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_quality_rff": quality.op1_quality_rff,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_line_rules": line_rules.op9_line_rules,
     "op10_source_mix": mixing.op10_source_mix,
 }
