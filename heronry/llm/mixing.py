@@ -69,18 +69,19 @@ def shard_quotas(targets: DataFrame, *, block: int, shards: int) -> DataFrame:
 
 def mix_sources(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, block: int = 64, shards: int = 16, seed: int = 17, keep_text: bool = False,
+    weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, block: int = 64, shards: int = 16, seed: int = 17, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, passes, and the words [lo, hi) of
     its stream with the source's `step`, `chosen` and `phase` of further blocks; taken = words taken.
 
     Block j of the source (words j*block to (j+1)*block of its stream) is chosen once more if
     floor((j+1+phase)*chosen/n) > floor((j+phase)*chosen/n); phase is seeded and n the blocks of a pass.
+    The columns named in keep come along as the struct `row`.
     """
     text = text_of("text")
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    sized = docs.withColumn("size", F.size(F.array_remove(F.split(text, BLANK, -1), "")).cast("long"))
-    sized = sized if keep_text else sized.drop("text")
+    carried = F.struct(*keep).alias("row") if keep else F.lit(None).cast("string").alias("row")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), carried)
+    sized = docs.withColumn("size", F.size(F.array_remove(F.split(text, BLANK, -1), "")).cast("long")).drop("text")
     targets = source_targets(sized, weights=weights, max_repeats=max_repeats)
     quotas = shard_quotas(targets, block=block, shards=shards).groupBy("place").agg(F.sum("blocks").alias("blocks"))
     plan = targets.join(quotas, "place").withColumn("n_buckets", F.ceil(F.col("n_docs") / DOCS_PER_BUCKET))
@@ -101,22 +102,47 @@ def mix_sources(
     return placed.withColumn("hi", F.col("lo") + F.col("size")).withColumn("block", F.lit(block)).withColumn("taken", F.col("passes") * F.col("size") + _covered(block))
 
 
-def _before(j):
-    """Chosen blocks among the first j of a pass (in decimals: blocks times blocks pass 2**63)."""
-    upto = lambda x: F.expr(f"CAST({x} AS DECIMAL(19, 0)) * CAST(chosen AS DECIMAL(19, 0)) DIV CAST(n_blocks AS DECIMAL(19, 0))")
-    return upto(f"({j} + phase)") - upto("phase")
+def _upto_sql(x: str) -> str:
+    """In decimals: blocks times blocks pass 2**63."""
+    return f"CAST({x} AS DECIMAL(19, 0)) * CAST(chosen AS DECIMAL(19, 0)) DIV CAST(n_blocks AS DECIMAL(19, 0))"
+
+
+def _chosen_sql(j: str) -> str:
+    return f"({_upto_sql(f'({j} + 1 + phase)')}) - ({_upto_sql(f'({j} + phase)')})"
+
+
+def _before(j: str):
+    """Chosen blocks among the first j of a pass."""
+    return F.expr(_upto_sql(f"({j} + phase)")) - F.expr(_upto_sql("phase"))
 
 
 def _covered(block: int):
     """Words of [lo, hi) in chosen blocks: whole blocks by counting, the two at the ends by their overlap."""
     lo, hi = F.col("lo"), F.col("hi")
     first, last = F.expr(f"lo DIV {block}"), F.expr(f"greatest(hi - 1, 0) DIV {block}")
-    at = lambda j: _before(f"({j} + 1)") - _before(j)
-    at_first, at_last = at(f"lo DIV {block}"), at(f"(hi - 1) DIV {block}")
+    at_first, at_last = F.expr(_chosen_sql(f"lo DIV {block}")), F.expr(_chosen_sql(f"(hi - 1) DIV {block}"))
     ends = at_first * ((first + 1) * block - lo) + at_last * (hi - last * block)
     middle = (_before(f"((hi - 1) DIV {block})") - _before(f"(lo DIV {block} + 1)")) * block
     return F.when((F.col("size") == 0) | (F.col("chosen") == 0), 0).when(first == last, at_first * (hi - lo)).otherwise(ends + middle).cast("long")
 
 
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself, with the columns of docs: a document once for each whole pass over its source, and
+    once more with the words that the chosen blocks cover (white space before a word goes with it)."""
+    placed = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, keep=tuple(docs.columns), **how)
+    block = int(how.get("block", 64))
+    part = F.col("taken") - F.col("passes") * F.col("size")
+    first = F.expr(f"lo DIV {block}")
+    chosen = F.expr(f"transform(sequence(lo DIV {block}, greatest(hi - 1, lo) DIV {block}), j -> {_chosen_sql('j')})")
+    placed = placed.withColumn("part", part).withColumn("blocks_chosen", F.when(part > 0, chosen))
+    words = F.regexp_extract_all(text_of(f"row.`{text_col}`"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    some = F.filter(words, lambda _, i: F.get("blocks_chosen", (F.floor((F.col("lo") + i) / block) - first).cast("int")) > 0)
+    text = F.col(f"row.`{text_col}`")
+    whole = F.array_repeat(text, F.col("passes").cast("int"))
+    texts = F.when(F.col("part") > 0, F.concat(whole, F.array(F.regexp_replace(F.array_join(some, ""), r"^[\x20\x09-\x0D]+", "")))).otherwise(whole)
+    rows = placed.select("row", F.explode(texts).alias("mixed"))
+    return rows.select(*(F.col("mixed").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 def op10_source_mix(spark, sf_dir) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

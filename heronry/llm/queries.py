@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, line_rules, mixing, packing, quality, secrets, toxicity
+from . import jaccard_join, line_dedup, line_rules, mixing, packing, quality, secrets, toxicity, training_order
 
 QUERIES = {
     "op1_quality_rff": quality.op1_quality_rff,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_training_order": training_order.op4_training_order,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
