@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from .common import in_workers
 
-CACHED_RUNS = 500_000
+HELD_RUNS = 1_200_000
+#: A comma or full stop between a letter and a blank is a token of its own either way.
+_MARK = re.compile(r"(?<=[a-zà-öø-ÿ])([.,])(?=[ \n])")
+_HELD: dict = {}
+
+
+def tokenizer(path: str, blanks: bool = True) -> RunTokenizer:
+    """This process's tokenizer of that file; Spark's Python workers serve many tasks."""
+    if (path, blanks) not in _HELD:
+        _HELD[path, blanks] = RunTokenizer(path, blanks)
+    return _HELD[path, blanks]
 
 
 class RunTokenizer:
-    """Ids of texts under a tokenizer that drops white space and never joins across it.
+    """Ids of texts under a tokenizer that lower-cases, drops white space and never joins across it.
 
-    The text is cut at spaces and line feeds; the ids of each run are kept, so a run is encoded once
-    in this process as long as it stays among the `limit` most recent new runs. The result equals
-    encoding the whole text. Other tokenizers need blanks=False: then whole texts are encoded.
+    The text is cut at spaces and line feeds, and before a comma or full stop that ends a run; the ids
+    of each run are kept, up to `limit` runs, so a common run is encoded once in this process. The
+    result equals encoding the whole text. Other tokenizers need blanks=False: whole texts are encoded.
     """
 
-    def __init__(self, path: str, blanks: bool = True, limit: int = CACHED_RUNS):
+    def __init__(self, path: str, blanks: bool = True, limit: int = HELD_RUNS):
         in_workers()
         from tokenizers import Tokenizer
 
@@ -29,18 +41,27 @@ class RunTokenizer:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(x.ids, self.type).tobytes() for x in encode(runs, add_special_tokens=False)]
 
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        if "<|" not in text:  # special tokens are matched with their case
+            text = _MARK.sub(r" \1", text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+        return text.replace("\n", " ").split(" ")
+
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.blanks:
             return [np.frombuffer(x, self.type) for x in self._encode([t or "" for t in texts])]
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        out, known = [], self.runs
-        for at in range(0, len(cut), 256):
-            part = cut[at : at + 256]
-            new = list(set().union(*part).difference(known))
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(set().union(*part))
+        out = []
+        for at in range(0, len(texts), 256):
+            part = [self._cut(t or "") for t in texts[at : at + 256]]
+            new = list(set().union(*part).difference(self.runs))
+            fresh = {}
             for k in range(0, len(new), 4096):
-                known.update(zip(new[k : k + 4096], self._encode(new[k : k + 4096]), strict=True))
-            out += [np.frombuffer(b"".join(map(known.__getitem__, runs)), self.type) for runs in part]
+                fresh.update(zip(new[k : k + 4096], self._encode(new[k : k + 4096]), strict=True))
+            if len(self.runs) + len(new) <= self.limit:
+                self.runs.update(fresh)
+                ids = self.runs.__getitem__
+            else:
+                held = self.runs.get
+                ids = lambda run, fresh=fresh, held=held: held(run) if run not in fresh else fresh[run]
+            out += [np.frombuffer(b"".join(map(ids, runs)), self.type) for runs in part]
         return out
