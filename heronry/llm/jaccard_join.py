@@ -11,9 +11,10 @@ Tokens are the hashed 5-word shingles of a document. Documents of the same set a
 3. Candidates share a token of the first order's prefix, have sizes that allow the similarity and must
    meet in the prefixes of the other two orders as well; then the sets are compared.
 
-The pairs under one token are not all formed. In round r about 4**r members of a token's list
-(at first one, the least) are compared with the others, pairs inside a component are left out, and
-components are updated. A list ends when one component holds it or all its pairs have been met, so no
+The pairs under one token are not all formed. At first every class is compared with the least of
+the classes that are first in its tokens' lists, then with all of these; in later rounds r about
+4**(r - 1) members of each list are compared with the others. Pairs inside a component are left
+out, and components are updated after each round. A list ends when one component holds it or all its pairs have been met, so no
 link between components is lost, a list of near copies ends after a round or two, and every list
 ends in a logarithmic number of rounds.
 
@@ -217,18 +218,22 @@ def _components(classes: DataFrame, percent: int) -> DataFrame:
         if roots is not None:
             named = lists.join(roots, F.col("class") == F.col("node"), "left").select("token", "class", "n", F.coalesce("component", "class").alias("component"))
         whole = named.groupBy("token").agg(F.count("*").alias("size"), F.min("class").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        whole = whole.filter("lo <> hi").withColumn("step", F.ceil(F.col("size") / F.lit(4.0**r)) if r else F.col("size"))
+        whole = whole.filter("lo <> hi").withColumn("step", F.ceil(F.col("size") / F.lit(4.0 ** (r - 1))) if r > 1 else F.col("size"))
         named = settled(named.join(whole.select("token", "least", "step"), "token"))
         if named.isEmpty():
             break
-        chosen = (F.col("class") == F.col("least")) | ((F.lit(r) > 0) & (F.pmod(F.xxhash64(F.lit(r), "class"), "step") == 0))
+        chosen = (F.col("class") == F.col("least")) | ((F.lit(r) > 1) & (F.pmod(F.xxhash64(F.lit(r), "class"), "step") == 0))
         pivots = named.filter(chosen).select("token", F.col("class").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("other"))
         near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("other"))
-        pairs = named.join(pivots, "token").filter(near).select(F.least("class", "pivot").alias("x"), F.greatest("class", "pivot").alias("y")).distinct()
+        pairs = named.join(pivots, "token").filter(near).select("class", "pivot")
+        if r == 0:  # one pivot a class at first, the least: copies of a text meet there, whichever tokens they share
+            pairs = pairs.groupBy("class").agg(F.min("pivot").alias("pivot"))
+        pairs = pairs.select(F.least("class", "pivot").alias("x"), F.greatest("class", "pivot").alias("y")).distinct()
         found = linked_pairs(pairs, classes, percent)
         links = settled(found if links is None else links.union(found))
         roots = settled(connected_components(links))
-        lists = named.filter("step > 1").select("token", "class", "n")
+        lists = named.filter(F.lit(r == 0) | (F.col("step") > 1)).select("token", "class", "n")
+        collect_garbage(classes.sparkSession)
     return roots
 
 
