@@ -1,6 +1,498 @@
-"""Registered queries of the library and their SQL."""
+"""Registered queries of the library on the test tables, each with the SQL that gives the same rows.
+
+`documents` stands for stored documents (page_id = doc_id, title = source-doc_id), `pages` for fetched web
+pages, `embeddings` for points (and, where vec_id is divisible by 20, for queries), `nation` and `part` for
+CSV tables. Queries named ext_ are extensions beyond the engine's own operators.
+"""
 
 from __future__ import annotations
 
+import html.entities
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from heronry.functions import scores as S
+from heronry.functions import text as T
+from heronry.operators import answer, chunking, code_chunks, evaluate, search, store
+from heronry.sources import readers
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.concat_ws("-", "source", "doc_id")
+    docs = _t(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("page_id"), title.alias("title"), T.page_url("https://example.org/", title).alias("url"), "text", F.lit("wiki").alias("source_type"), T.content_hash("text").alias("content_hash"))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"), "label")
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir).filter("point_id % 20 = 0").withColumnRenamed("point_id", "query_id")
+
+
+# ---- functions ------------------------------------------------------------------------------------
+
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_TITLE = "source || '-' || doc_id"
+
+
+@query("""SELECT doc_id, sha256(text)[1:16] AS content_hash,
+    h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab89ab89ab89ab'[('0x' || h[17:17])::INT + 1] || h[18:20] || '-' || h[21:32] AS point_id
+  FROM (SELECT doc_id, text, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(doc_id || '-0')) AS h FROM documents)""")
+def doc_hash_uuid(spark, sf_dir):
+    """Content hash, and the id of a document's first chunk."""
+    return _t(spark, sf_dir, "documents").select("doc_id", T.content_hash("text").alias("content_hash"), T.uuid5(F.concat(F.col("doc_id").cast("string"), F.lit("-0"))).alias("point_id"))
+
+
+@query(f"""SELECT doc_id, length(text) >= 150 AS is_article, length({_STRIP.format('text')}) >= 20 AND {_STRIP.format('text')} <> 'NOT FOUND' AS is_chunkable FROM documents""")
+def doc_filters(spark, sf_dir):
+    """P2, P3."""
+    text = T.strip("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", (F.length("text") >= 150).alias("is_article"), ((F.length(text) >= 20) & (text != "NOT FOUND")).alias("is_chunkable"))
+
+
+@query(f"""SELECT doc_id, 'https://example.org/' || replace({_TITLE}, ' ', '_') AS url,
+    CASE WHEN lang = 'en' THEN source || ' > ' || lang || chr(10) || chr(10) || text ELSE {_TITLE} || chr(10) || chr(10) || text END AS embed_text FROM documents""")
+def embed_texts(spark, sf_dir):
+    """the breadcrumb where there is one, else the title, above the text."""
+    docs = _t(spark, sf_dir, "documents")
+    title = F.concat_ws("-", "source", "doc_id")
+    crumb = F.when(F.col("lang") == "en", F.concat_ws(" > ", "source", "lang")).otherwise(F.lit(""))
+    return docs.select("doc_id", T.page_url("https://example.org/", title).alias("url"), T.embed_text(crumb, title, F.col("text")).alias("embed_text"))
+
+
+_MARKUP = "'<!-- note' || chr(10) || ' -->{{Infobox|a={{b|{{c}}}}}} ''''''' || source || ''''''''' is [[Place|' || lang || ']] and [[Other]].<ref name=x>no</ref><br/> == Part == ' || chr(10) || '[http://a.b/c Label] http://d.e/f  [[File:p.png|thumb]]' || chr(10) || chr(10) || chr(10) || chr(10) || text || ' '"
+
+
+def _sql_chain(x: str, rules: list[tuple[str, str, str]]) -> str:
+    for pattern, new, flags in rules:
+        x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', {new}, '{flags}')"
+    return x
+
+
+@query("SELECT doc_id, " + _sql_chain(_MARKUP, [
+    (r"<!--.*?-->", "''", "gs"), (r"<ref[^>]*>.*?</ref>", "''", "gsi"), (r"<ref[^/>]*/>", "''", "gi"), (r"</?[a-zA-Z][^>]*>", "''", "g"),
+    (r"\[\[(?:File|Image|Category):[^\]]+\]\]", "''", "gi"), *[(r"\{\{[^{}]*\}\}", "''", "g")] * 4, (r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", r"'\1'", "g"),
+    (r"\[https?://[^\s\]]+\s*([^\]]*)\]", r"'\1'", "g"), (r"https?://[^\s\]]+", "''", "g"), (r"={2,6}\s*(.*?)\s*={2,6}", r"chr(10) || '\1' || chr(10)", "g"),
+    (r"'{2,5}", "''", "g"), (r"[ \t]+", "' '", "g"), (r"\n{3,}", "chr(10) || chr(10)", "g"), (r"^\s+|\s+$", "''", "g"),
+]) + " AS clean FROM documents")
+def wikitext_clean(spark, sf_dir):
+    """F1 on documents wrapped in markup."""
+    wrapped = F.expr(
+        "concat('<!-- note\\n -->{{Infobox|a={{b|{{c}}}}}} \\'\\'\\'', source, '\\'\\'\\'\\' is [[Place|', lang, ']] and [[Other]].<ref name=x>no</ref><br/> == Part == \\n"
+        "[http://a.b/c Label] http://d.e/f  [[File:p.png|thumb]]\\n\\n\\n\\n', text, ' ')"
+    )
+    return _t(spark, sf_dir, "documents").select("doc_id", T.clean_wikitext(wrapped).alias("clean"))
+
+
+_RAW_TITLE = f"""CASE WHEN regexp_matches(html, '<title[^>]*>.*?</title>', 'si') THEN {_STRIP.format("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si')")} ELSE url END"""
+_ENTITIES = ("copy", "middot", "quot", "lt", "gt", "nbsp", "amp")
+
+
+def _sql_markdown() -> str:
+    x = _sql_chain("html", [(rf"<{t}[^>]*>.*?</{t}>", "''", "gsi") for t in T.BOILERPLATE_TAGS.split("|")])
+    x = _sql_chain(x, [(rf"<h{n}[^>]*>(.*?)</h{n}>", rf"chr(10) || '{'#' * n} \1' || chr(10)", "gsi") for n in (1, 2, 3)])
+    x = _sql_chain(x, [("<p[^>]*>(.*?)</p>", r"chr(10) || '\1' || chr(10)", "gsi"), (r"<br\s*/?>", "chr(10)", "gi"), ("<[^>]+>", "' '", "g")])
+    for name in _ENTITIES:
+        new = html.entities.html5[f"{name};"].replace("'", "''")
+        x = f"replace({x}, '&{name};', '{new}')"
+    lines = f"list_filter(list_transform(string_split({x}, chr(10)), lambda s: {_STRIP.format('s')}), lambda s: s <> '')"
+    return f"'# ' || title || chr(10) || chr(10) || array_to_string({lines}, chr(10))"
+
+
+@query(f"SELECT page_id, {_RAW_TITLE} AS title FROM pages")
+def web_title(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", T.html_title("html", "url").alias("title"))
+
+
+_MARKDOWN = f"SELECT page_id, url, title, {_sql_markdown()} AS text FROM (SELECT page_id, url, html, {_RAW_TITLE} AS title FROM pages)"
+
+
+@query(f"SELECT page_id, text FROM ({_MARKDOWN})")
+def web_markdown(spark, sf_dir):
+    """Every page as Markdown."""
+    pages = _t(spark, sf_dir, "pages")
+    return pages.select("page_id", T.html_to_markdown("html", T.html_title("html", "url")).alias("text"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 'text' WHEN 1 THEN 'table' WHEN 2 THEN 'code' WHEN 3 THEN 'pdf' WHEN 4 THEN 'image' WHEN 5 THEN 'audio' END AS kind,
+    printf('[%02d:%02d – %02d:%02d]', p_size // 60, p_size % 60, (p_size * 7) // 60, (p_size * 7) % 60) AS span FROM part""")
+def kind_dispatch(spark, sf_dir):
+    """The kind of a path by its suffix, and labels of times."""
+    suffix = F.get(F.array(*map(F.lit, (".MD", ".csv", ".py", ".Pdf", ".jpeg", ".ogg", ".exe", ""))), F.col("p_size") % 8)
+    path = F.concat(F.lit("/data/x.d/file"), F.col("p_partkey").cast("string"), suffix)
+    return _t(spark, sf_dir, "part").select("p_partkey", readers.kind_of(path).alias("kind"), T.time_span(F.col("p_size"), F.col("p_size") * 7).alias("span"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS pretty FROM part WHERE regexp_matches(p_name, '^[A-Za-z]+( [A-Za-z]+)*$')""")
+def title_prettify(spark, sf_dir):
+    """F10."""
+    part = _t(spark, sf_dir, "part").filter(F.col("p_name").rlike("^[A-Za-z]+( [A-Za-z]+)*$"))
+    return part.select("p_partkey", T.pretty_title(F.translate("p_name", " ", "_")).alias("pretty"))
+
+
+# ---- chunks ---------------------------------------------------------------------------------------
+
+#: Windows of 1,200 characters with an overlap of 200 as a recursive query over (id, t).
+_WINDOWS = r"""
+  WITH RECURSIVE src AS ({src}),
+  w(id, t, n, s, e) AS (
+    SELECT id, t, length(t), 0, {first} FROM src
+    UNION ALL
+    SELECT id, t, n, e - 200, {next} FROM w WHERE e < n)
+  SELECT id, s, trim(t[s + 1 : e], chr(32) || chr(9) || chr(10) || chr(13)) AS text FROM w WHERE n > 0"""
+
+
+def _end(at: str) -> str:
+    tail = f"t[{at} + 601 : {at} + 1200]"
+    return f"CASE WHEN {at} + 1200 >= length(t) THEN length(t) WHEN strpos(reverse({tail}), ' ') > 0 THEN {at} + 1200 - strpos(reverse({tail}), ' ') ELSE {at} + 1200 END"
+
+
+def _windows_sql(src: str) -> str:
+    return _WINDOWS.format(src=src, first=_end("0"), next=_end("(e - 200)"))
+
+
+_FLAT = _windows_sql(f"SELECT doc_id AS id, {_STRIP.format('text')} AS t FROM documents WHERE length(text) >= 150")
+
+
+@query(f"SELECT id AS doc_id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS chunk_index, text FROM ({_FLAT})")
+def chunk_sliding(spark, sf_dir):
+    """Windows of whole documents."""
+    docs = _documents(spark, sf_dir)
+    return chunking.flat_chunks(docs).select(F.col("page_id").cast("long").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+
+@query(f"""SELECT lang, count(*) AS n_chunks, count(DISTINCT id) AS n_docs, max(length(c.text)) AS longest, round(avg(length(c.text)), 6) AS avg_chars
+  FROM ({_FLAT}) c JOIN documents ON id = doc_id GROUP BY lang""")
+def chunk_stats_by_lang(spark, sf_dir):
+    """A9 over G2."""
+    docs = _t(spark, sf_dir, "documents").withColumn("page_id", F.col("doc_id"))
+    chunks = docs.filter(F.length("text") >= 150).select("lang", "doc_id", F.explode(chunking.windows(F.col("text"))).alias("chunk"))
+    return chunks.groupBy("lang").agg(F.count("*").alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"), F.max(F.length("chunk")).alias("longest"), F.round(F.avg(F.length("chunk")), 6).alias("avg_chars"))
+
+
+_SECTION_SRC = f"""SELECT page_id * 2 + k AS id, CASE WHEN k = 0 THEN body0 ELSE body1 END AS t FROM
+  (SELECT *, position(chr(10) || '# ' IN after) AS cut FROM (SELECT page_id, title, {_STRIP.format("text[length('# ' || title) + 1 :]")} AS after FROM ({_MARKDOWN})))"""
+
+
+@query()
+def web_chunks_breadcrumb(spark, sf_dir):
+    """Web pages to heading-aware chunks with breadcrumbs (tested against a plain fold)."""
+    chunks = chunking.chunk_documents(readers.web_documents(_t(spark, sf_dir, "pages")))
+    return chunks.select("chunk_id", "doc_id", "title", F.col("chunk_index").cast("long").alias("chunk_index"), "breadcrumb", "text")
+
+
+@query(f"""SELECT 'doc-' || id AS doc_id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS chunk_index, 'T' || id || ' > ' || lang AS breadcrumb, c.text
+  FROM ({_windows_sql(f"SELECT doc_id AS id, {_STRIP.format('text')} AS t FROM documents WHERE length({_STRIP.format('text')}) > 0")}) c JOIN documents ON id = doc_id""")
+def heading_chunks(spark, sf_dir):
+    """Documents under one heading; every chunk carries title and heading."""
+    docs = _t(spark, sf_dir, "documents").filter(F.length(T.strip("text")) > 0)
+    text = F.concat(F.lit("== "), F.col("lang"), F.lit(" ==\n\n"), F.col("text"), F.lit("\n      \n        \n        "))
+    docs = docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("page_id"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.lit("").alias("url"), text.alias("text"), F.lit("wiki").alias("source_type"), F.lit("").alias("content_hash"))
+    docs = docs.filter(F.length(T.strip("text")) >= 20)
+    return chunking.chunk_documents(docs).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "breadcrumb", "text")
+
+
+ORACLES["heading_chunks"] = f"""SELECT 'doc-' || id AS doc_id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS chunk_index, 'T' || id || ' > ' || lang AS breadcrumb, c.text
+  FROM ({_windows_sql(f"SELECT doc_id AS id, {_STRIP.format('text')} AS t FROM documents WHERE length({_STRIP.format('text')}) > 0 AND length('== ' || lang || ' ==') + 2 + length({_STRIP.format('text')}) >= 20")}) c JOIN documents ON id = doc_id"""
+
+
+@query("""SELECT ((row_number() OVER (ORDER BY n_nationkey) - 1) // 10)::BIGINT + 1 AS section, n_nationkey, n_name FROM nation QUALIFY false""")
+def tabular_markdown(spark, sf_dir):
+    """Part as Markdown tables of 30 rows."""
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    return readers.table_sections(part, ["p_partkey", "p_name", "p_brand", "p_size"], ["p_partkey"], "Part")
+
+
+ORACLES["tabular_markdown"] = """SELECT section, '## Rows ' || min(n) || '–' || max(n) || chr(10) || chr(10) || '| p_partkey | p_name | p_brand | p_size |' || chr(10) || '| --- | --- | --- | --- |' || chr(10)
+    || string_agg('| ' || p_partkey || ' | ' || trim(p_name) || ' | ' || trim(p_brand) || ' | ' || p_size || ' |', chr(10) ORDER BY n) || chr(10) AS text
+  FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS n, ((row_number() OVER (ORDER BY p_partkey) - 1) // 30)::BIGINT + 1 AS section FROM part) GROUP BY section"""
+
+
+@query()
+def code_units(spark, sf_dir):
+    """Each document as a Python function or class in a module (rows checked in the tests)."""
+    docs = _documents(spark, sf_dir)
+    literal = F.concat(F.lit('    """'), F.regexp_replace("text", r'[\\"\n]', " "), F.lit('"""\n'))
+    code = F.concat(F.lit("import os\n\nLIMIT = 10\n\n\n@cached\ndef f():\n"), literal, F.lit("\n\nclass C:\n    x = 1\n\n    def g(self):\n    "), literal)
+    docs = docs.withColumn("text", code).withColumn("source_type", F.lit("code"))
+    return code_chunks.chunk_code(docs).select("chunk_id", "doc_id", "chunk_index", "breadcrumb", "text")
+
+
+# ---- search ---------------------------------------------------------------------------------------
+
+_KNN = """SELECT q.vec_id AS query_id, p.vec_id AS point_id, p.label, q.label AS query_label, list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9) DESC, p.vec_id) AS rank
+  FROM embeddings q JOIN embeddings p ON q.vec_id <> p.vec_id WHERE q.vec_id % 20 = 0"""
+
+
+def _knn(spark, sf_dir, k: int) -> DataFrame:
+    points, queries = _points(spark, sf_dir), _queries(spark, sf_dir)
+    hits = search.dense_topk(points.drop("label"), queries.select("query_id", "vector"), k, skip_self=True)
+    hits = hits.join(points.select("point_id", "label"), "point_id")
+    return hits.join(queries.select("query_id", F.col("label").alias("query_label")), "query_id")
+
+
+@query(f"SELECT query_id, rank::INT AS rank, point_id, round(score, 6) AS score FROM ({_KNN}) WHERE rank <= 5")
+def knn_topk(spark, sf_dir):
+    """The five nearest of each query by cosine."""
+    return _knn(spark, sf_dir, 5).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""SELECT query_id, label, votes FROM (SELECT query_id, label, count(*) AS votes, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, label) AS n
+  FROM ({_KNN}) WHERE rank <= 15 GROUP BY query_id, label) WHERE n = 1""")
+def knn_label_vote(spark, sf_dir):
+    votes = _knn(spark, sf_dir, 15).groupBy("query_id", "label").agg(F.count("*").alias("votes"))
+    first = W.partitionBy("query_id").orderBy(F.desc("votes"), "label")
+    return votes.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
+
+
+@query("""SELECT vec_id, list_sum(list_transform(embedding, lambda x: round(greatest(-1.0, least(1.0, x::DOUBLE / s)) * 127)::BIGINT))::BIGINT AS code_sum
+  FROM embeddings, (SELECT quantile_cont(abs(c::DOUBLE), 0.99) AS s FROM (SELECT unnest(embedding) AS c FROM embeddings))""")
+def int8_quantize(spark, sf_dir):
+    """INT8 codes of the vectors, clipped at the 0.99 quantile of all components."""
+    points = _points(spark, sf_dir)
+    scale = points.select(F.explode("vector").alias("c")).agg(F.percentile(F.abs(F.col("c").cast("double")), F.lit(0.99)).alias("s"))
+    codes = S.quantized(F.col("vector"), F.col("s"))
+    return points.join(F.broadcast(scale)).select(F.col("point_id").alias("vec_id"), F.aggregate(codes, F.lit(0).cast("long"), lambda s, x: s + x).alias("code_sum"))
+
+
+_TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
+
+
+@query(f"""SELECT query_id, point_id, title FROM (SELECT q.query_id, p.doc_id AS point_id, p.title, row_number() OVER (PARTITION BY q.query_id ORDER BY p.doc_id) AS n
+  FROM (SELECT doc_id AS query_id, {_TOKENS.format(_TITLE)} AS t FROM documents WHERE doc_id % 50 = 0) q
+  JOIN (SELECT doc_id, {_TITLE} || ' ' || lang AS title, {_TOKENS.format(_TITLE + " || ' ' || lang")} AS t FROM documents) p ON list_has_all(p.t, q.t)) WHERE n <= 10""")
+def title_match(spark, sf_dir):
+    """Titles that hold every token of a query."""
+    docs = _t(spark, sf_dir, "documents")
+    points = docs.select(F.col("doc_id").alias("point_id"), F.concat_ws(" ", F.concat_ws("-", "source", "doc_id"), "lang").alias("title"))
+    queries = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.concat_ws("-", "source", "doc_id").alias("query"))
+    return search.title_search(points, queries)
+
+
+def _bm25_sql(src: str, name: str) -> str:
+    tf = f"SELECT id, length, token, count(*) AS tf FROM (SELECT id, len(t) AS length, unnest(t) AS token FROM (SELECT {name} AS id, {_TOKENS.format('text')} AS t FROM {src})) GROUP BY ALL"
+    return f"SELECT id, token, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / 256)) AS w FROM ({tf})"
+
+
+_BM25 = f"""SELECT q.id AS query_id, p.id AS point_id, sum(p.w * q.w) AS score FROM ({_bm25_sql('documents', 'doc_id')}) p JOIN ({_bm25_sql('benchmark', 'item_id')}) q USING (token) GROUP BY ALL"""
+
+
+def _bm25(spark, sf_dir) -> DataFrame:
+    points = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text")
+    queries = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.bm25_scores(points, queries)
+
+
+@query(f"""SELECT query_id, rank::INT AS rank, point_id, round(score, 6) AS score FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, point_id) AS rank FROM ({_BM25})) WHERE rank <= 10""")
+def bm25_topk(spark, sf_dir):
+    """The ten best documents of each benchmark text."""
+    return search.ranked(_bm25(spark, sf_dir), 10).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
+
+
+_DOC_KNN = f"SELECT query_id, point_id, rank FROM ({_KNN}) WHERE rank <= 15"
+_LEX = """SELECT q.doc_id AS query_id, p.doc_id AS point_id FROM documents q JOIN documents p ON p.source = q.source AND p.lang = q.lang AND p.doc_id <> q.doc_id
+  JOIN embeddings e ON e.vec_id = q.doc_id WHERE q.doc_id % 20 = 0 AND p.doc_id < 500"""
+_HYBRID = f"""WITH pool AS (SELECT query_id, point_id, max(rank) AS dense_rank FROM (SELECT query_id, point_id, rank FROM ({_DOC_KNN}) UNION ALL SELECT query_id, point_id, NULL FROM ({_LEX})) GROUP BY ALL),
+  d AS ({_bm25_sql('documents', 'doc_id')}),
+  b AS (SELECT pool.query_id, pool.point_id, sum(p.w * q.w) AS bm25 FROM pool JOIN d p ON p.id = pool.point_id JOIN d q ON q.id = pool.query_id AND q.token = p.token GROUP BY ALL),
+  r AS (SELECT query_id, point_id, dense_rank, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(bm25, 0), 9) DESC, point_id) AS bm25_rank
+    FROM pool LEFT JOIN b USING (query_id, point_id)),
+  s AS (SELECT *, 0.6::DOUBLE / (60 + coalesce(dense_rank, n + 10)) + 0.4::DOUBLE / (60 + bm25_rank) AS score FROM r)
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, point_id) AS rank FROM s"""
+
+
+@query(f"SELECT query_id, rank::INT AS rank, point_id, round(score, 6) AS score FROM ({_HYBRID}) WHERE rank <= 15")
+def hybrid_fusion(spark, sf_dir):
+    """Dense hits and lexical candidates, ranked by BM25 and fused."""
+    docs = _t(spark, sf_dir, "documents")
+    dense = _knn(spark, sf_dir, 15)
+    own = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    q = docs.filter("doc_id % 20 = 0").join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "source", "lang", F.col("text").alias("query"))
+    lexical = docs.filter("doc_id < 500").select(F.col("doc_id").alias("point_id"), "source", "lang").join(q, ["source", "lang"]).filter("point_id <> query_id")
+    points = docs.select(F.col("doc_id").alias("point_id"), "text")
+    queries = dense.select("query_id").union(q.select("query_id")).distinct().join(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    return search.hybrid_search(dense, lexical, points, queries).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""SELECT query_id, rank::INT AS rank, point_id, round(1 / (1 + exp(-(length(point_id::VARCHAR) - score))), 6) AS score FROM (SELECT *, row_number() OVER
+  (PARTITION BY query_id ORDER BY round(1 / (1 + exp(-(length(point_id::VARCHAR) - score))), 9) DESC, point_id) AS rank FROM (SELECT query_id, point_id, score FROM ({_KNN}) k WHERE rank <= 15)) WHERE rank <= 5""")
+def rerank_topk(spark, sf_dir):
+    """15 hits a query, scored again in pairs by an injected scorer, the best five kept."""
+    hits = _knn(spark, sf_dir, 15).select("query_id", F.col("query_id").cast("string").alias("query"), "point_id", F.concat_ws("|", F.col("point_id").cast("string"), F.col("score").cast("string")).alias("text"), "score", "rank")
+    scored = search.rerank(hits, lambda qs, ts: [len(t.split("|")[0]) - float(t.split("|")[1]) for t in ts], 5)
+    return scored.select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
+
+
+def _hits(spark, sf_dir, k: int) -> DataFrame:
+    docs = _documents(spark, sf_dir).select(F.col("page_id").cast("long").alias("point_id"), "title", "url", F.substring("text", 1, 1200).alias("text"))
+    hits = _knn(spark, sf_dir, k).join(docs, "point_id")
+    return hits.withColumn("breadcrumb", F.when(F.col("point_id") % 2 == 0, F.concat(F.col("title"), F.lit(" > Part"))).otherwise(F.lit(""))).withColumn("score", F.round("score", 6))
+
+
+_HITS = f"""SELECT k.*, round(score, 4) AS s4, {_TITLE} || CASE WHEN point_id % 2 = 0 THEN ' > Part' ELSE '' END AS shown, 'https://example.org/' || {_TITLE} AS url, text[1:1200] AS text
+  FROM ({_KNN}) k JOIN documents ON doc_id = point_id WHERE rank <= 3"""
+
+
+@query(f"""SELECT query_id, string_agg('[' || rank || '] Source: ' || shown || ' (' || url || ')' || chr(10) || {_STRIP.format('text')}, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_sources FROM ({_HITS}) GROUP BY query_id""")
+def context_block(spark, sf_dir):
+    """numbered sources of each query."""
+    return answer.context_blocks(_hits(spark, sf_dir, 3)).select("query_id", "context", F.size("sources").cast("long").alias("n_sources"))
+
+
+@query(f"""SELECT query_id, string_agg('[' || rank || '] ' || shown || ' (Score: ' || printf('%.4f', round(score, 6)) || ')' || chr(10) || 'URL: ' || url || chr(10) || text || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) AS result
+  FROM ({_HITS}) GROUP BY query_id""")
+def search_text(spark, sf_dir):
+    """hits as one text."""
+    return answer.result_texts(_hits(spark, sf_dir, 3))
+
+
+@query(f"""SELECT query_id, round(max(score), 6) AS top_score, max(score) >= 0.4 AS answerable, CASE WHEN max(score) >= 0.7 THEN 'green' WHEN max(score) >= 0.5 THEN 'yellow' ELSE 'red' END AS band
+  FROM ({_KNN}) WHERE rank <= 5 GROUP BY query_id""")
+def confidence_guard(spark, sf_dir):
+    """Whether the best hit is near enough to answer from."""
+    return answer.guarded(_knn(spark, sf_dir, 5)).select("query_id", F.round("top_score", 6).alias("top_score"), "answerable", "band")
+
+
+# ---- evaluation -----------------------------------------------------------------------------------
+
+_EVAL = f"""SELECT query_id, query_label AS category, min(CASE WHEN label = query_label THEN rank END) AS rank, max(CASE WHEN rank = 1 THEN score END) AS top_score FROM ({_KNN}) WHERE rank <= 5 GROUP BY ALL"""
+_RATES = "count(*) AS n, round(avg((coalesce(rank, 99) <= 1)::INT), 6) AS hit_1_rate, round(avg((coalesce(rank, 99) <= 3)::INT), 6) AS hit_3_rate, round(avg((coalesce(rank, 99) <= 5)::INT), 6) AS hit_5_rate, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, round(avg(top_score), 6) AS avg_top_score"
+
+
+def _evaluated(spark, sf_dir) -> DataFrame:
+    """Cases are the queries, titles the labels in words, so label 1 does not stand inside label 10."""
+    name = lambda c: F.concat(F.lit("<"), F.col(c).cast("string"), F.lit(">"))
+    hits = _knn(spark, sf_dir, 5).withColumn("title", name("label"))
+    cases = _queries(spark, sf_dir).select("query_id", F.col("label").cast("string").alias("category"), F.array(name("label")).alias("acceptable"), F.col("query_id").cast("double").alias("latency_ms"))
+    return evaluate.evaluate_cases(cases, hits)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+@query(f"SELECT query_id, category::VARCHAR AS category, rank::INT AS rank, coalesce(rank <= 1, false) AS hit_1, coalesce(rank <= 3, false) AS hit_3, coalesce(rank <= 5, false) AS hit_5, round(coalesce(1.0::DOUBLE / rank, 0), 6) AS reciprocal_rank FROM ({_EVAL})")
+def eval_hits(spark, sf_dir):
+    """W3, F21, F22, J7, J8, U8."""
+    return _evaluated(spark, sf_dir).select("query_id", "category", "rank", "hit_1", "hit_3", "hit_5", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+@query(f"""SELECT {_RATES}, round(avg(query_id), 6) AS avg_latency, min(query_id)::DOUBLE AS min_latency, max(query_id)::DOUBLE AS max_latency,
+    list_sort(list(query_id::DOUBLE))[least(floor(count(*) * 0.5), count(*) - 1)::INT + 1] AS p50, list_sort(list(query_id::DOUBLE))[least(floor(count(*) * 0.95), count(*) - 1)::INT + 1] AS p95 FROM ({_EVAL})""")
+def scorecard(spark, sf_dir):
+    """A1 to A5."""
+    return _rounded(evaluate.scorecard(_evaluated(spark, sf_dir)))
+
+
+@query(f"SELECT category::VARCHAR AS category, {_RATES} FROM ({_EVAL}) GROUP BY ROLLUP (category)")
+def scorecard_by_category(spark, sf_dir):
+    """A6, with the row over all categories from the same pass."""
+    return _rounded(evaluate.scorecard_by_category(_evaluated(spark, sf_dir)))
+
+
+@query("SELECT event_type, count(*) AS n, list_sort(list(value))[least(floor(count(*) * 0.5), count(*) - 1)::INT + 1] AS p50, list_sort(list(value))[least(floor(count(*) * 0.95), count(*) - 1)::INT + 1] AS p95 FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf_dir):
+    """A4 by the index rule, without a list of a group's values."""
+    return evaluate.latency_percentiles(_t(spark, sf_dir, "events"), "event_type", "value")
+
+
+# ---- state ----------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id::VARCHAR AS page_id FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 5 = 0")
+def unchanged_antijoin(spark, sf_dir):
+    """Documents whose stored hash is missing (not a multiple of 3) or different (multiple of 5)."""
+    docs = _documents(spark, sf_dir)
+    n = F.col("page_id").cast("long")
+    stored = docs.filter(n % 3 == 0).select(T.uuid5(F.concat("page_id", F.lit("-0"))).alias("point_id"), F.when(n % 5 == 0, F.lit("old")).otherwise(F.col("content_hash")).alias("content_hash"))
+    return store.changed_documents(docs, stored).select("page_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents UNION ALL SELECT -doc_id - 1, n_chars FROM documents WHERE doc_id % 10 = 0")
+def upsert_last_wins(spark, sf_dir):
+    """Changed and new rows over stored ones; the batch is put in twice."""
+    stored = _t(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    changed = stored.filter("doc_id % 4 = 0").withColumn("n_chars", F.col("n_chars") + 1)
+    fresh = stored.filter("doc_id % 10 = 0").withColumn("doc_id", -F.col("doc_id") - 1)
+    batch = changed.union(fresh)
+    return store.upsert(store.upsert(stored, batch, "doc_id"), batch, "doc_id")
+
+
+@query("SELECT count(*) AS source, count(*) AS target, true AS complete, true AS same FROM documents")
+def transfer_verify(spark, sf_dir):
+    """A table against its copy, by counts and row hashes in one plan."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = lambda d, n: d.agg(F.count("*").alias(n), F.sum(F.xxhash64("doc_id", "text").cast("decimal(20,0)")).alias(f"{n}_hash"))
+    both = digest(docs, "source").join(digest(docs.repartition(4, "doc_id"), "target"))
+    return both.select("source", "target", (F.col("target") >= F.col("source")).alias("complete"), (F.col("source_hash") == F.col("target_hash")).alias("same"))
+
+
+@query("SELECT count(*) AS points_count, max(len(embedding))::INT AS dimensions, count(DISTINCT label) AS documents FROM embeddings")
+def store_stats(spark, sf_dir):
+    """K11, A8."""
+    return store.stats(_points(spark, sf_dir).withColumnRenamed("label", "doc_id"))
+
+
+@query("SELECT vec_id AS point_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'de')")
+def point_lookup(spark, sf_dir):
+    """Points by key, without their vectors."""
+    ids = _t(spark, sf_dir, "documents").filter("lang = 'de'").select(F.col("doc_id").alias("point_id"))
+    return store.lookup(_points(spark, sf_dir), ids, ("label",))
+
+
+@query("SELECT sha256(text)[1:16] AS content_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_dup_groups(spark, sf_dir):
+    """F8: documents of the same content hash."""
+    docs = _t(spark, sf_dir, "documents").groupBy(T.content_hash("text").alias("content_hash"))
+    return docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+
+
+@query("SELECT DISTINCT url, CASE WHEN page_id % 2 = 0 THEN 'simple' ELSE 'main' END AS origin FROM pages")
+def source_fallback(spark, sf_dir):
+    """The first source's pages, and of the second those that the first lacks."""
+    pages = _t(spark, sf_dir, "pages").select("page_id", "url")
+    first = pages.filter("page_id % 2 = 0").select("url", F.lit("simple").alias("origin"))
+    second = pages.select("url", F.lit("main").alias("origin"))
+    return readers.prefer(first, second, "url").distinct()
+
+
+# ---- extensions -----------------------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def ext_event_windows(spark, sf_dir):
+    """Extension: tumbling windows of a day."""
+    events = _t(spark, sf_dir, "events")
+    return events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("day"), "event_type", "n", "total")
+
+
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
+def ext_pricing_summary(spark, sf_dir):
+    """Extension: filter and grouped sums."""
+    items = _t(spark, sf_dir, "lineitem").filter("l_shipdate <= TIMESTAMP '1998-09-02'")
+    revenue = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return items.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(revenue, 2).alias("revenue"), F.count("*").alias("n"))
