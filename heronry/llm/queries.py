@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, line_rules, mixing, packing, quality, secrets, toxicity, training_order
+from . import jaccard_join, line_dedup, line_rules, mixing, neighbours, packing, quality, secrets, toxicity, training_order
 
 QUERIES = {
     "op1_quality_rff": quality.op1_quality_rff,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_training_order": training_order.op4_training_order,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op6_nn_descent": neighbours.op6_nn_descent,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_line_rules": line_rules.op9_line_rules,
     "op10_source_mix": mixing.op10_source_mix,
