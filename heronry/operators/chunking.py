@@ -17,7 +17,7 @@ def sections(text: Column, title: Column) -> Column:
     has_title = (title != "") & (title != "NOT FOUND")
     zero = F.struct(
         F.when(has_title, F.array(F.struct(F.lit(0).alias("l"), title.alias("t")))).otherwise(F.array().cast(heads)).alias("heads"),
-        F.when(has_title, title).otherwise(F.lit("")).alias("crumb"),
+        title.alias("crumb"),
         F.array().cast("array<string>").alias("lines"),
         F.array().cast("array<struct<breadcrumb:string,text:string>>").alias("out"),
     )
