@@ -8,12 +8,13 @@ Tokens are the hashed 5-word shingles of a document. Documents of the same set a
    hash; and twice by the power of two of the frequency, then a differently salted hash. Linked classes
    of n tokens share a token among the first n - ceil(0.75 n) + 1 in each order (tokens of
    frequency 1 come first in all three and match nothing). A class whose prefix holds none is done.
-3. Candidates share a token of the first order's prefix, have sizes that allow the similarity and must
+3. Candidates share a token of the first order's prefix behind which both have enough tokens left, have
+   sizes that allow the similarity and must
    meet in the prefixes of the other two orders as well; then the sets are compared.
 
 The pairs under one token are not all formed. At first every class is compared with the least of
 the classes that are first in its tokens' lists, then with all of these; in later rounds r about
-4**(r - 1) members of each list are compared with the others. Pairs inside a component are left
+4**(r - 1) members of each list, drawn by hash and new in each round, are compared with the others. Pairs inside a component are left
 out, and components are updated after each round. A list ends when one component holds it or all its pairs have been met, so no
 link between components is lost, a list of near copies ends after a round or two, and every list
 ends in a logarithmic number of rounds.
@@ -211,20 +212,28 @@ def _nothing(n: int):
 
 def _components(classes: DataFrame, percent: int) -> DataFrame:
     """node, component of the classes that have links."""
-    lists = classes.select(F.explode("a").alias("token"), "class", "n")
+    # pos: the token's place in the class's whole first order; tokens of frequency 1 stand before all of these.
+    lists = classes.select("class", "n", F.posexplode("a").alias("pos", "token"), (F.col("n") - F.size("tokens")).alias("own"))
+    lists = lists.select("token", "class", "n", (F.col("pos") + F.col("own")).alias("pos"))
     links, roots = None, None
     for r in range(64):
         named = lists.withColumn("component", F.col("class"))
         if roots is not None:
-            named = lists.join(roots, F.col("class") == F.col("node"), "left").select("token", "class", "n", F.coalesce("component", "class").alias("component"))
+            named = lists.join(roots, F.col("class") == F.col("node"), "left").select("token", "class", "n", "pos", F.coalesce("component", "class").alias("component"))
         whole = named.groupBy("token").agg(F.count("*").alias("size"), F.min("class").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        whole = whole.filter("lo <> hi").withColumn("step", F.ceil(F.col("size") / F.lit(4.0 ** (r - 1))) if r > 1 else F.col("size"))
-        named = settled(named.join(whole.select("token", "least", "step"), "token"))
+        whole = whole.filter("lo <> hi").withColumn("level", F.ceil(F.log("size") / F.log(F.lit(4.0))).cast("int"))
+        named = settled(named.join(whole.select("token", "least", "size", "level"), "token"))
         if named.isEmpty():
             break
-        chosen = (F.col("class") == F.col("least")) | ((F.lit(r) > 1) & (F.pmod(F.xxhash64(F.lit(r), "class"), "step") == 0))
-        pivots = named.filter(chosen).select("token", F.col("class").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("other"))
-        near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("other"))
+        # From round 2 on, the classes whose hash is divisible by 4**(level - r + 1), and were not pivots before.
+        every = lambda k: F.pow(F.lit(4.0), F.greatest(F.col("level") - k, F.lit(0))).cast("long")
+        due = lambda k: F.pmod(F.xxhash64("class"), every(k)) == 0
+        fresh = due(r - 1) & ~due(r - 2) if r > 2 else due(r - 1)
+        chosen = F.col("class") == F.col("least") if r < 2 else fresh
+        pivots = named.filter(chosen).select("token", F.col("class").alias("pivot"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("other"))
+        # The first token that two linked classes share leaves enough tokens behind it in both.
+        enough = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+        near = enough & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("other"))
         pairs = named.join(pivots, "token").filter(near).select("class", "pivot")
         if r == 0:  # one pivot a class at first, the least: copies of a text meet there, whichever tokens they share
             pairs = pairs.groupBy("class").agg(F.min("pivot").alias("pivot"))
@@ -232,7 +241,8 @@ def _components(classes: DataFrame, percent: int) -> DataFrame:
         found = linked_pairs(pairs, classes, percent)
         links = settled(found if links is None else links.union(found))
         roots = settled(connected_components(links))
-        lists = named.filter(F.lit(r == 0) | (F.col("step") > 1)).select("token", "class", "n")
+        more = F.lit(True) if r == 0 else F.col("size") > 2 if r == 1 else every(r - 1) > 1
+        lists = named.filter(more).select("token", "class", "n", "pos")
         collect_garbage(classes.sparkSession)
     return roots
 
