@@ -56,9 +56,18 @@ def repeated_words(hashes: Column, order: Column) -> Column:
 
 def repeated_words_any_length(hashes: Column) -> Column:
     """The same for texts of more windows than 17 bits can number: sorts pairs of hash and place."""
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    twice = F.filter(pairs, lambda x, i: (x["h"] == F.get(pairs, i - 1)["h"]) | (x["h"] == F.get(pairs, i + 1)["h"]))
-    return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+    sorted_pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def covered(pairs: Column) -> Column:
+        places = F.filter(
+            F.sequence(F.lit(0), F.size(pairs) - 1),
+            lambda j: F.coalesce(F.get(pairs, j)["h"] == F.get(pairs, j - 1)["h"], F.lit(False)) | F.coalesce(F.get(pairs, j)["h"] == F.get(pairs, j + 1)["h"], F.lit(False)),
+        )
+        starts = F.transform(places, lambda j: F.get(pairs, j)["i"])
+        return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
+
+    # As an element of an array the sorted pairs are made once, not once an element.
+    return F.get(F.transform(F.array(sorted_pairs), covered), F.lit(0))
 
 
 def line_fails(line: Column) -> Column:

@@ -42,7 +42,6 @@ ALLOWED = (
 )
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SPAN = "array<struct<s:int,k:int,e:int>>"
-NO_SPANS = F.array().cast(SPAN)
 
 
 def _last(a: Column) -> Column:
@@ -136,7 +135,7 @@ def secret_spans(
         ),
     ))
     covered = lambda x: F.exists("base", lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"]))
-    more = F.when(F.size("runs") > 0, F.filter(hot, lambda x: ~covered(x))).otherwise(NO_SPANS)
+    more = F.when(F.size("runs") > 0, F.filter(hot, lambda x: ~covered(x))).otherwise(F.array().cast(SPAN))
     return docs.select("doc_id", "text", "base", F.array_sort(F.concat("base", more)).alias("spans"))
 
 
