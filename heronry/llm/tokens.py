@@ -8,7 +8,7 @@ import numpy as np
 
 from .common import in_workers
 
-HELD_RUNS = 1_200_000
+HELD_RUNS = 700_000
 #: A comma or full stop between a letter and a blank is a token of its own either way.
 _MARK = re.compile(r"(?<=[a-zà-öø-ÿ])([.,])(?=[ \n])")
 _HELD: dict = {}

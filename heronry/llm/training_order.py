@@ -18,7 +18,10 @@ Defined results: null and empty texts are one sequence of the end id; a null doc
 
 from __future__ import annotations
 
+from struct import pack
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,13 +88,9 @@ def training_shards(
         n += held
     stride = HEADER.itemsize + id_bytes * length
 
-    def slots(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            start = np.array([before[f] for f in batch.column("file").to_pylist()], np.int64)
-            slot = feistel(start + batch.column("row").to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), *(batch.column(c) for c in ("doc_id", "piece", "held", "ids"))], ["slot", "doc_id", "piece", "held", "ids"])
+    @F.pandas_udf("long")
+    def slot(file: pd.Series, row: pd.Series) -> pd.Series:  # the ids themselves stay in the JVM here
+        return pd.Series(feistel(file.map(before).to_numpy(np.int64) + row.to_numpy(np.int64), n, key))
 
     def bound(shard, first, docs, data):
         import zlib
@@ -113,13 +112,13 @@ def training_shards(
                         yield bound(shard, first, docs, data)
                     shard, first, docs, data = slot // per_shard, slot, [], []
                 docs.append(doc)
-                data.append((np.array([(doc, piece, held)], HEADER).tobytes() + ids).ljust(stride, b"\0"))
+                data.append((pack("<qii", doc, piece, held) + ids).ljust(stride, b"\0"))
         if docs:
             yield bound(shard, first, docs, data)
 
     shards = max(1, -(-n // per_shard))
     parts = min(shards, max(8, -(-shards // 32)))
-    slotted = rows.mapInArrow(slots, "slot long, doc_id long, piece int, held int, ids binary")
+    slotted = rows.select(slot("file", "row").alias("slot"), "doc_id", "piece", "held", "ids")
     ranges = slotted.repartitionById(parts, F.expr(f"CAST(slot DIV {per_shard} * {parts} DIV {shards} AS INT)")).sortWithinPartitions("slot")
     return ranges.mapInArrow(bind, "shard long, first_slot long, n_sequences long, stride long, doc_ids array<long>, crc32 long, data binary")
 
