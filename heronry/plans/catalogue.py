@@ -347,10 +347,10 @@ def rerank_topk(spark, sf_dir):
     return scored.select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
 
 
-def _hits(spark, sf_dir, k: int) -> DataFrame:
+def _hits(spark, sf_dir, k: int, digits: int = 6) -> DataFrame:
     docs = _documents(spark, sf_dir).select(F.col("page_id").cast("long").alias("point_id"), "title", "url", F.substring("text", 1, 1200).alias("text"))
     hits = _knn(spark, sf_dir, k).join(docs, "point_id")
-    return hits.withColumn("breadcrumb", F.when(F.col("point_id") % 2 == 0, F.concat(F.col("title"), F.lit(" > Part"))).otherwise(F.lit(""))).withColumn("score", F.round("score", 6))
+    return hits.withColumn("breadcrumb", F.when(F.col("point_id") % 2 == 0, F.concat(F.col("title"), F.lit(" > Part"))).otherwise(F.lit(""))).withColumn("score", F.round("score", digits))
 
 
 _HITS = f"""SELECT k.*, round(score, 4) AS s4, {_TITLE} || CASE WHEN point_id % 2 = 0 THEN ' > Part' ELSE '' END AS shown, 'https://example.org/' || {_TITLE} AS url, text[1:1200] AS text
@@ -363,11 +363,11 @@ def context_block(spark, sf_dir):
     return answer.context_blocks(_hits(spark, sf_dir, 3)).select("query_id", "context", F.size("sources").cast("long").alias("n_sources"))
 
 
-@query(f"""SELECT query_id, string_agg('[' || rank || '] ' || shown || ' (Score: ' || printf('%.4f', round(score, 6)) || ')' || chr(10) || 'URL: ' || url || chr(10) || text || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) AS result
+@query(f"""SELECT query_id, string_agg('[' || rank || '] ' || shown || ' (Score: ' || printf('%.4f', round(score, 4)) || ')' || chr(10) || 'URL: ' || url || chr(10) || text || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) AS result
   FROM ({_HITS}) GROUP BY query_id""")
 def search_text(spark, sf_dir):
     """hits as one text."""
-    return answer.result_texts(_hits(spark, sf_dir, 3))
+    return answer.result_texts(_hits(spark, sf_dir, 3, digits=4))
 
 
 @query(f"""SELECT query_id, round(max(score), 6) AS top_score, max(score) >= 0.4 AS answerable, CASE WHEN max(score) >= 0.7 THEN 'green' WHEN max(score) >= 0.5 THEN 'yellow' ELSE 'red' END AS band
