@@ -285,11 +285,24 @@ _TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w
   FROM (SELECT doc_id AS query_id, {_TOKENS.format(_TITLE)} AS t FROM documents WHERE doc_id % 50 = 0) q
   JOIN (SELECT doc_id, {_TITLE} || ' ' || lang AS title, {_TOKENS.format(_TITLE + " || ' ' || lang")} AS t FROM documents) p ON list_has_all(p.t, q.t)) WHERE n <= 10""")
 def title_match(spark, sf_dir):
-    """Titles that hold every token of a query."""
+    """Titles that hold every token of a query; a sample of the queries, see title_match_whole."""
+    return _title_match(spark, sf_dir, 50)
+
+
+def _titles(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("point_id"), F.concat_ws(" ", F.concat_ws("-", "source", "doc_id"), "lang").alias("title"))
+
+
+def _title_match(spark, sf_dir, every: int) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
-    points = docs.select(F.col("doc_id").alias("point_id"), F.concat_ws(" ", F.concat_ws("-", "source", "doc_id"), "lang").alias("title"))
-    queries = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.concat_ws("-", "source", "doc_id").alias("query"))
-    return search.title_search(points, queries)
+    queries = docs.filter(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), F.concat_ws("-", "source", "doc_id").alias("query"))
+    return search.title_search(_titles(docs), queries)
+
+
+@query(ORACLES["title_match"].replace("doc_id % 50 = 0", "doc_id % 20 = 0"))
+def title_match_whole(spark, sf_dir):
+    """title_match with every query, the ids that 20 divides."""
+    return _title_match(spark, sf_dir, 20)
 
 
 def _bm25_sql(src: str, name: str) -> str:
@@ -327,7 +340,10 @@ _HYBRID = f"""WITH pool AS (SELECT query_id, point_id, max(rank) AS dense_rank F
 
 @query(f"SELECT query_id, rank::INT AS rank, point_id, round(score, 6) AS score FROM ({_HYBRID}) WHERE rank <= 15")
 def hybrid_fusion(spark, sf_dir):
-    """Dense hits and lexical candidates, ranked by BM25 and fused."""
+    """Dense hits and lexical candidates, ranked by BM25 and fused.
+
+    As its SQL, lexical candidates only with doc_id < 500; hybrid_fusion_whole takes them from all documents.
+    """
     docs = _t(spark, sf_dir, "documents")
     dense = _knn(spark, sf_dir, 15)
     own = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
@@ -338,6 +354,37 @@ def hybrid_fusion(spark, sf_dir):
     return search.hybrid_search(dense, lexical, points, queries).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
 
 
+_LEX_TITLES = f"""SELECT query_id, point_id FROM (SELECT q.doc_id AS query_id, p.doc_id AS point_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY p.doc_id) AS n
+  FROM (SELECT doc_id, {_TOKENS.format("source || ' ' || lang")} AS t FROM documents WHERE doc_id % 20 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)) q
+  JOIN (SELECT doc_id, {_TOKENS.format(_TITLE + " || ' ' || lang")} AS t FROM documents) p ON list_has_all(p.t, q.t) AND p.doc_id <> q.doc_id WHERE len(q.t) > 0) WHERE n <= 10"""
+
+
+def _title_candidates(docs: DataFrame, asked: DataFrame, limit: int = 10) -> DataFrame:
+    """query_id, point_id: the first of all titles, the query's own left out, that hold its source and language.
+
+    asked: query_id, source, lang. Queries of one text are searched once.
+    """
+    asked = asked.select("query_id", F.concat_ws(" ", "source", "lang").alias("query"))
+    texts = asked.select("query").distinct()
+    hits = search.title_search(_titles(docs), texts.select(F.col("query").alias("query_id"), "query"), limit + 1)
+    hits = asked.join(hits.select(F.col("query_id").alias("query"), "point_id"), "query").filter("point_id <> query_id")
+    first = W.partitionBy("query_id").orderBy("point_id")
+    return hits.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= limit).select("query_id", "point_id")
+
+
+@query(f"SELECT query_id, rank::INT AS rank, point_id, round(score, 6) AS score FROM ({_HYBRID.replace(_LEX, _LEX_TITLES)}) WHERE rank <= 15")
+def hybrid_fusion_whole(spark, sf_dir):
+    """hybrid_fusion with T2's title search over all documents for its lexical candidates."""
+    docs = _t(spark, sf_dir, "documents")
+    dense = _knn(spark, sf_dir, 15)
+    own = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    asked = docs.filter("doc_id % 20 = 0").join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "source", "lang")
+    points = docs.select(F.col("doc_id").alias("point_id"), "text")
+    queries = dense.select("query_id").union(asked.select("query_id")).distinct().join(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    found = search.hybrid_search(dense, _title_candidates(docs, asked), points, queries)
+    return found.select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
+
+
 @query(f"""SELECT query_id, rank::INT AS rank, point_id, round(1 / (1 + exp(-(length(point_id::VARCHAR) - score))), 6) AS score FROM (SELECT *, row_number() OVER
   (PARTITION BY query_id ORDER BY round(1 / (1 + exp(-(length(point_id::VARCHAR) - score))), 9) DESC, point_id) AS rank FROM (SELECT query_id, point_id, score FROM ({_KNN}) k WHERE rank <= 15)) WHERE rank <= 5""")
 def rerank_topk(spark, sf_dir):
