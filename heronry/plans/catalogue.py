@@ -394,8 +394,9 @@ def rerank_topk(spark, sf_dir):
     return scored.select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
 
 
-def _hits(spark, sf_dir, k: int, digits: int = 6) -> DataFrame:
-    docs = _documents(spark, sf_dir).select(F.col("page_id").cast("long").alias("point_id"), "title", "url", F.substring("text", 1, 1200).alias("text"))
+def _hits(spark, sf_dir, k: int, digits: int = 6, cut: int | None = None) -> DataFrame:
+    text = F.col("text") if cut is None else F.substring("text", 1, cut).alias("text")
+    docs = _documents(spark, sf_dir).select(F.col("page_id").cast("long").alias("point_id"), "title", "url", text)
     hits = _knn(spark, sf_dir, k).join(docs, "point_id")
     return hits.withColumn("breadcrumb", F.when(F.col("point_id") % 2 == 0, F.concat(F.col("title"), F.lit(" > Part"))).otherwise(F.lit(""))).withColumn("score", F.round("score", digits))
 
@@ -406,14 +407,26 @@ _HITS = f"""SELECT k.*, round(score, 4) AS s4, {_TITLE} || CASE WHEN point_id %
 
 @query(f"""SELECT query_id, string_agg('[' || rank || '] Source: ' || shown || ' (' || url || ')' || chr(10) || {_STRIP.format('text')}, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_sources FROM ({_HITS}) GROUP BY query_id""")
 def context_block(spark, sf_dir):
-    """numbered sources of each query."""
+    """numbered sources of each query, as its SQL of 1,200 characters a hit; context_block_whole has all."""
+    return answer.context_blocks(_hits(spark, sf_dir, 3, cut=1200)).select("query_id", "context", F.size("sources").cast("long").alias("n_sources"))
+
+
+@query(ORACLES["context_block"].replace("text[1:1200] AS text", "text"))
+def context_block_whole(spark, sf_dir):
+    """numbered sources of each query, with their whole texts."""
     return answer.context_blocks(_hits(spark, sf_dir, 3)).select("query_id", "context", F.size("sources").cast("long").alias("n_sources"))
 
 
 @query(f"""SELECT query_id, string_agg('[' || rank || '] ' || shown || ' (Score: ' || printf('%.4f', round(score, 4)) || ')' || chr(10) || 'URL: ' || url || chr(10) || text || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) AS result
   FROM ({_HITS}) GROUP BY query_id""")
 def search_text(spark, sf_dir):
-    """hits as one text."""
+    """hits as one text, as its SQL of 1,200 characters a hit; search_text_whole has all."""
+    return answer.result_texts(_hits(spark, sf_dir, 3, digits=4, cut=1200))
+
+
+@query(ORACLES["search_text"].replace("text[1:1200] AS text", "text"))
+def search_text_whole(spark, sf_dir):
+    """hits as one text, with their whole texts."""
     return answer.result_texts(_hits(spark, sf_dir, 3, digits=4))
 
 
