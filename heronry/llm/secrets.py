@@ -1,12 +1,13 @@
 """Secret scan (native): three fixed patterns, and windows of high Shannon entropy in candidate strings.
 
-A candidate is a whole run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` with a digit in it.
+A candidate is a whole run of 20 or more characters of ``[A-Za-z0-9+/_=-]``.
 A window of `width` characters slides over it; the counts of its characters, and from them the sum
 of n*log2(n), are kept up to date by taking one character out and one in. Where the entropy
 log2(width) - sum/width reaches the threshold of the candidate's character class (hex, letters and
-digits, base64), the windows merge into spans of kind ``entropy``. Candidates that match the
-allow-list (placeholders, UUIDs, runs of one character, alphabets) are passed over, and so are
-spans inside a span of the fixed patterns.
+digits, base64; a stricter one for runs without a digit), the windows merge into spans of kind ``entropy``. Windows
+that a match of the allow-list (placeholders, runs of one character, alphabets) overlaps are passed over, and so
+are candidates that a rule for whole runs (^...$: UUIDs, numbers, words with a number) matches, and spans inside a
+span of the fixed patterns.
 
 All positions are code points of the original text, ends exclusive. All work happens inside the row.
 
@@ -16,7 +17,9 @@ of the input are ignored, so their names cannot clash; an empty table gives an e
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log2
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +31,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: Runs are greedy, so a run that is long enough is the same match with the length in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: A whole run; the test for length comes first and every loop is possessive, so long runs stay linear.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]*+"
+#: A whole run; the loop is possessive, so long runs stay linear.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 
 # Strings that look random and are not secret.
 ALLOWED = (
@@ -66,12 +69,14 @@ def _spans(found: Column, kind: str) -> Column:
     return F.transform(found, lambda m: F.struct(m["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), m["e"].alias("e")))
 
 
-def hot_windows(value: Column, width: int, hex_bits: float, mixed_bits: float) -> Column:
-    """array<struct<s,e>>: merged windows of the string whose entropy reaches its class's threshold."""
+def hot_windows(value: Column, blocked: Column, width: int, hex_bits: float, mixed_bits: float, base64_bits: float, letter_bits: float) -> Column:
+    """array<struct<s,e>>: merged windows of the string whose entropy reaches its class's threshold and that no
+    span of blocked, array<struct<s,e,v>>, overlaps."""
     gain = F.array(*[F.lit((n + 1) * log2(n + 1) - (n * log2(n) if n else 0.0)) for n in range(width)])
     code = lambda ch: F.instr(F.lit(ALPHABET), ch) - 1
     at = lambda v, i: F.instr(F.lit(ALPHABET), F.substring(v, i + 1, F.lit(1))) - 1
-    threshold = F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(hex_bits)).otherwise(F.lit(mixed_bits))
+    threshold = F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(hex_bits)).when(~value.rlike("[0-9]"), F.lit(letter_bits))
+    threshold = threshold.when(value.rlike("[+/_=-]"), F.lit(base64_bits)).otherwise(F.lit(mixed_bits))
     codes = F.transform(F.split(value, ""), code)
     spans = "array<struct<s:int,e:int>>"
     start = F.struct(
@@ -80,7 +85,7 @@ def hot_windows(value: Column, width: int, hex_bits: float, mixed_bits: float) -
     )
 
     def scan(both: Column) -> Column:
-        codes, threshold = both["codes"], both["threshold"]
+        codes, threshold, blocked = both["codes"], both["threshold"], both["blocked"]
 
         def step(st: Column, i: Column) -> Column:
             new, old = F.get(codes, i), F.when(i >= width, F.get(codes, i - width)).otherwise(F.lit(-1))
@@ -90,6 +95,7 @@ def hot_windows(value: Column, width: int, hex_bits: float, mixed_bits: float) -
             counts = F.transform(st["n"], lambda c, j: c + F.when(j == new, 1).otherwise(0) - F.when(j == old, 1).otherwise(0))
             hot = (i >= width - 1) & (F.lit(log2(width)) - total / width >= threshold)
             first = i - width + 1
+            hot = hot & ~F.exists(blocked, lambda b: (b["s"] <= i) & (b["e"] > first))
             apart = hot & (st["from"] >= 0) & (first > st["to"])
             return F.struct(
                 counts.alias("n"), total.alias("sum"),
@@ -103,7 +109,7 @@ def hot_windows(value: Column, width: int, hex_bits: float, mixed_bits: float) -
 
         return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, end)
 
-    return F.get(F.transform(F.array(F.struct(codes.alias("codes"), threshold.alias("threshold"))), scan), F.lit(0))
+    return F.get(F.transform(F.array(F.struct(codes.alias("codes"), threshold.alias("threshold"), blocked.alias("blocked"))), scan), F.lit(0))
 
 
 def joined(spans: Column) -> Column:
@@ -112,7 +118,7 @@ def joined(spans: Column) -> Column:
 
 
 def secret_spans(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 20, hex_bits: float = 2.9, mixed_bits: float = 3.6, allowed: tuple[str, ...] = ALLOWED
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 20, hex_bits: float = 2.9, mixed_bits: float = 3.6, base64_bits: float = 3.6, letter_bits: float = 4.0, allowed: tuple[str, ...] = ALLOWED,
 ) -> DataFrame:
     """id, text, base and spans: arrays of struct(s start, k place in KINDS, e end), ordered by start, then kind."""
     text = F.col("text")
@@ -126,11 +132,15 @@ def secret_spans(
     assign = F.filter(F.coalesce("assign", F.array().cast("array<struct<s:int,e:int,v:string>>")), lambda m: F.length(value(m)) >= 6)
     base = F.array_sort(F.concat(_spans(assign, "assign"), _spans(F.col("access"), "access"), _spans(F.col("hex"), "hex")))
     docs = docs.withColumn("base", base)
-    suspect = F.filter("runs", lambda m: ~m["v"].rlike("|".join(f"(?:{x})" for x in allowed)))
+    # One pattern at a time, as their groups have numbers.
+    whole = [x for x in allowed if x.removeprefix("(?i)").startswith("^") and x.endswith("$")]
+    inside = [x for x in allowed if x not in whole]
+    suspect = F.filter("runs", lambda m: ~reduce(or_, [m["v"].rlike(x) for x in whole], F.lit(False)))
+    blocked = lambda v: F.concat(F.array().cast("array<struct<s:int,e:int,v:string>>"), *(matches(v, x) for x in inside))
     hot = F.flatten(F.transform(
         suspect,
         lambda m: F.transform(
-            hot_windows(m["v"], width, hex_bits, mixed_bits),
+            hot_windows(m["v"], blocked(m["v"]), width, hex_bits, mixed_bits, base64_bits, letter_bits),
             lambda w: F.struct((m["s"] + w["s"]).alias("s"), F.lit(KINDS.index("entropy")).alias("k"), (m["s"] + w["e"]).alias("e")),
         ),
     ))
