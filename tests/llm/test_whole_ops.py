@@ -16,3 +16,15 @@ def test_secrets_beside_allowed_words_and_without_digits(spark, text):
     spans = secrets.secret_spans(df).first()["spans"]
     assert spans and spans[-1]["e"] == len(text)
     assert all(not ("sample" in text[x["s"] : x["e"]] or "A" * 8 in text[x["s"] : x["e"]]) for x in spans)
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(None, text(1), 1), (None, text(2), 2), (None, text(2), 3), (5, text(3), 4), (5, text(3), 5), (5, text(4), 6), (7, text(5), 7), (None, text(5), 8), (None, "", 9), (None, "", 10)]
+    more = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text", "0L AS n")
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").union(more)
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.filter("n > 0").collect()) == sorted([(0, text(1)), (0, text(2)), (5, text(3)), (5, text(4)), (7, text(5)), (0, ""), (0, "")])
