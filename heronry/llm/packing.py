@@ -41,11 +41,12 @@ def pieces_of(docs: DataFrame, tokenizer: str, *, capacity: int, end_id: int, ke
 
         encode = held(tokenizer, blanks)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    ids = np.append(ids.astype("<u4"), np.uint32(end_id))
+            docs = batch.column(0).to_pylist()
+            for first, flat, counts in encode(batch.column(1)):
+                rows, end = [], 0
+                for doc, n in zip(docs[first : first + len(counts)], counts.tolist(), strict=True):
+                    ids = np.append(flat[end : end + n].astype("<u4"), np.uint32(end_id))
+                    end += n
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]
                         rows.append((doc, k, start, len(own), zlib.crc32(own.tobytes()), own.astype(np.int32)))

@@ -13,7 +13,7 @@ shards of fixed-stride binary records.
    has consumed m records goes on in shard m // per_shard at byte (m % per_shard) * stride.
 
 Defined results: null and empty texts are one sequence of the end id; a null doc_id is written as
--1; repeated rows are sequences of their own; no rows, no shards; other columns are ignored.
+the least int64; repeated rows are sequences of their own; no rows, no shards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
+#: Stands for a null doc_id, the least int64.
+NO_ID = -(2**63)
 HEADER = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("held", "<i4")])
 
 
@@ -60,13 +62,15 @@ def sequences_of(docs: DataFrame, tokenizer: str, *, length: int, end_id: int, b
 
         encode = held(tokenizer, blanks)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, rows = batch.slice(at, 512), []
-                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    ids = np.append(ids, np.array([end_id], ids.dtype))
+            docs = batch.column(0).to_pylist()
+            for first, flat, counts in encode(batch.column(1)):
+                rows, end = [], 0
+                for doc, n in zip(docs[first : first + len(counts)], counts.tolist(), strict=True):
+                    ids = np.append(flat[end : end + n], np.array([end_id], flat.dtype))
+                    end += n
                     for k, start in enumerate(range(0, len(ids), length)):
                         own = ids[start : start + length]
-                        rows.append((-1 if doc is None else doc, k, len(own), own.tobytes()))
+                        rows.append((NO_ID if doc is None else doc, k, len(own), own.tobytes()))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "held", "ids"])
 

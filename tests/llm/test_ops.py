@@ -191,14 +191,22 @@ def test_packing(docs, edges, empty, vocabulary):
     assert packing.pack_documents(empty, vocabulary).count() == 0
 
 
-def test_tokens_are_exact(vocabulary):
+def test_tokens_are_exact(docs, vocabulary, monkeypatch):
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(vocabulary)
-    texts = ["a,b . c ,d. e.. f, <|endoftext|> X, <|ENDOFTEXT|> it's, I'LL.", "Ünï. é, café, z\x1c. q\x0b, İstanbul, ΑΣ, ΑΣ. !", "", None, "ﬁ, Å, K."]
-    for limit in (10**6, 3):
-        got = tokens.RunTokenizer(vocabulary, limit=limit)(texts)
-        assert [g.tolist() for g in got] == [tk.encode(t or "", add_special_tokens=False).ids for t in texts]
+    texts = ["a,b . c ,d. e.. f, <|endoftext|> X, <|ENDOFTEXT|> it's, I'LL.", "Ünï. é, café, z\x1c. q\x0b, İstanbul, ΑΣ, ΑΣ. !", "", None, "ﬁ, Å, K.", "e\u0301, \u0301a . 's 'T x<|startoftext|>, \u00a0y", "z" * 9000 + ". end", " \t\n", "5, ½. a5, ²."]
+    texts += [r["text"] for r in docs.limit(40).collect()]
+    monkeypatch.setattr(tokens, "BYTES_AT_ONCE", 3000)
+    for limit in (10**8, 1000):
+        held = tokens.RunTokenizer(vocabulary, limit=limit)
+        for _ in range(2):
+            got = []
+            for first, ids, counts in held(pa.array(texts)):
+                assert first == len(got)
+                got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+            assert got == [tk.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_training_order(docs, empty, vocabulary, tmp_path):
