@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but space and the ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
+#: Makes Spark delete a query's shuffle files when the query ends.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,40 +21,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or our own where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; in local mode, our own where it is unset."""
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     told = spark.conf.get("spark.checkpoint.dir", "")
+    if not told and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="heronry-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint; it outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again (columnar, so smaller than a checkpoint)."""
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """df written as Parquet in the shared folder and read again: its lineage is cut, and it outlives lost
+    executors. The shuffles of the write go when it ends; the table goes by `discard`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def collect_garbage(spark: SparkSession) -> None:
-    """Lets the context cleaner drop shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    was = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if was is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables that `written` returned and that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """name, with underscores behind it until no column has it (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_of(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+    return F.coalesce(F.col(f"`{name}`" if name.isidentifier() else name), F.lit(""))
 
 
 def words_of(text: Column) -> Column:

@@ -1,15 +1,19 @@
-"""Distributed union-find (native): connected components by alternating large-star and small-star steps.
+"""Distributed union-find (native): connected components by alternating large-star and small-star steps, and
+components of keys that meet in groups of any size.
 
 Every step is a minimum per node (pre-aggregated before the shuffle) joined back to the edges, so a
-node with very many edges is split like any skewed join. Each round ends in a reliable checkpoint.
+node with very many edges is split like any skewed join. What stands between steps is written to the shared
+folder and deleted as soon as the next step has read it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,23 +30,79 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """edges: two columns of long ids; one row per id in an edge: node, component (its least id).
+    """edges: two columns of long ids; one row per id in an edge: node, component (its least id). A written table.
 
     Loops, repeated and reversed edges are allowed and change nothing; edges with a null are ignored;
     no edges, no rows.
     """
     a, b = edges.columns
-    edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
-    loops = edges.filter("a = b").select("a").distinct()
-    now = settled(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    loops, state = now.filter("a = b"), None
+    first, now = now, now.filter("a <> b")
+    held = None
     while True:
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if mark == state:
             break
         state = mark
-        now = settled(_star(_star(now, large=True), large=False))
+        after = written(_star(_star(now, large=True), large=False), "edges")
+        discard(held)
+        held = now = after
     found = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = found.select(F.col("component").alias("node"), "component").distinct()
-    lone = loops.select(F.col("a").alias("node"), F.col("a").alias("component"))
-    return found.union(roots).union(lone).groupBy("node").agg(F.min("component").alias("component"))
+    lone = loops.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = written(found.union(roots).union(lone).groupBy("node").agg(F.min("component").alias("component")), "components")
+    discard(first, held)
+    return out
+
+
+def grouped_components(
+    rows: DataFrame, verified: Callable[[DataFrame], DataFrame], *, near: Column | None = None, carried: tuple[str, ...] = (), kept: tuple[str, ...] = (), one_first: bool = False
+) -> DataFrame | None:
+    """node, component of the keys that have links, a written table; None without links.
+
+    rows: key, band (longs) and the columns carried. verified takes pairs (a < b, and the carried columns kept) and
+    returns those that are linked, as a written table (a, b). near may rule a pair out by the carried columns (those
+    of the pivot begin with p_). Every pair of keys that share a band is verified, unless its keys are in one component by then.
+
+    The pairs of a band are not all formed. In round 1 every key meets the band's least key (with one_first, in a
+    round before it, only the least of its bands' least keys). In round r about 4**(r - 1) keys, drawn by hash and
+    new in each round, meet the others. A band ends when one component holds it or all its pairs have been met.
+    Components of a round go into the next as edges, so links of earlier rounds are not kept.
+    """
+    roots, before, r = None, None, 0 if one_first else 1
+    while True:
+        named = rows.withColumn("part", F.col("key"))
+        if roots is not None:
+            named = rows.join(roots, F.col("key") == F.col("node"), "left").select(*rows.columns, F.coalesce("component", "key").alias("part"))
+        whole = named.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+        whole = whole.filter("lo <> hi").withColumn("level", F.ceil(F.log("n") / F.log(F.lit(4.0)) - 1e-9).cast("int"))
+        if r > 1:  # bands whose pairs have all been met are done
+            whole = whole.filter((F.col("n") > 2) & (F.col("level") >= r - 1))
+        left = written(named.join(whole.select("band", "least", "level"), "band"), "bands")
+        discard(before)
+        if left.isEmpty():
+            discard(left)
+            return roots
+        every = lambda k: F.pow(F.lit(4.0), F.greatest(F.col("level") - k, F.lit(0))).cast("long")
+        due = lambda k: F.pmod(F.xxhash64("key"), every(k)) == 0
+        first = F.col("key") == F.col("least")
+        was = F.lit(False) if r < 2 else first if r == 2 else first | due(r - 2)
+        fresh = first if r < 2 else due(r - 1) & ~was
+        pivots = left.filter(fresh).select("band", F.col("key").alias("pivot"), F.col("part").alias("p_part"), *(F.col(c).alias(f"p_{c}") for c in carried))
+        # Pairs with earlier pivots have been met; of two pivots of one round, one side is enough.
+        pairs = left.filter(~was).withColumn("fresh", fresh).join(pivots, "band")
+        pairs = pairs.filter((F.col("part") != F.col("p_part")) & ((F.col("key") < F.col("pivot")) | ~F.col("fresh")))
+        pairs = pairs.filter(near) if near is not None else pairs
+        if r == 0:
+            pairs = pairs.groupBy("key").agg(F.min("pivot").alias("pivot"))
+        pairs = written(pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"), *kept).distinct(), "pairs")
+        links = verified(pairs)
+        discard(pairs)
+        if not links.isEmpty():
+            after = connected_components(links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+            discard(roots)
+            roots = after
+        discard(links)
+        rows, before, r = left.select("key", "band", *carried), left, r + 1

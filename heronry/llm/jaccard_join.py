@@ -12,12 +12,12 @@ Tokens are the hashed 5-word shingles of a document. Documents of the same set a
    sizes that allow the similarity and must
    meet in the prefixes of the other two orders as well; then the sets are compared.
 
-The pairs under one token are not all formed. At first every class is compared with the least of
-the classes that are first in its tokens' lists, then with all of these; in later rounds r about
-4**(r - 1) members of each list, drawn by hash and new in each round, are compared with the others. Pairs inside a component are left
-out, and components are updated after each round. A list ends when one component holds it or all its pairs have been met, so no
-link between components is lost, a list of near copies ends after a round or two, and every list
-ends in a logarithmic number of rounds.
+The pairs under one token are not all formed (`grouped_components`). At first every class is compared with the
+least of the classes that are first in its tokens' lists, then with all of these; in later rounds r about
+4**(r - 1) members of each list, drawn by hash and new in each round, are compared with the others. Pairs inside a
+component are left out, and components are updated after each round. A list ends when one component holds it or all
+its pairs have been met, so no link between components is lost, a list of near copies ends after a round or two, and
+every list ends in a logarithmic number of rounds.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with
 nothing; repeated rows of an id each give a row; other columns are ignored, so their names cannot
@@ -30,10 +30,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, settled, table
-from .components import connected_components
+from .common import discard, table, written
+from .components import grouped_components
 
 BYTES_PER_BUCKET = 16_000_000
+#: A token travels as its low 40 bits; its bucket comes from the others and is put in front again.
+LOW_BITS = 40
+MOST_BUCKETS = 1 << 22
 BYTES_AT_ONCE = 4_000_000
 
 
@@ -47,7 +50,7 @@ def _packed(batches, k: int, buckets: int):
 
     from heronry.llm.shingles import mix, shingle_sets
 
-    names = ["bucket", "ids", "classes", "sizes", "counts", "tokens"]
+    names = ["bucket", "ids", "classes", "sizes", "counts", "low", "high"]
     raw = lambda x: x.tobytes()
     for batch in batches:
         docs = np.array(batch.column(0).to_pylist(), object)
@@ -69,7 +72,7 @@ def _packed(batches, k: int, buckets: int):
         classes = mix(sums + sizes.astype(np.uint64)).view(np.int64)
         null = np.array([d is None for d in docs], bool)
         ids = np.where(null, 0, docs).astype(np.int64)
-        rows = [(-1, raw(ids), raw(classes), raw(sizes.astype(np.int32)), raw(null.astype(np.int8)), b"")]
+        rows = [(-1, raw(ids), raw(classes), raw(sizes.astype(np.int32)), raw(null.astype(np.int8)), b"", b"")]
         # Each class of the batch once.
         _, at = np.unique(classes, return_index=True)
         once = np.zeros(len(sizes), bool)
@@ -78,7 +81,7 @@ def _packed(batches, k: int, buckets: int):
         owner = np.repeat(np.arange(len(sizes)), sizes)
         mine = once[owner]
         tokens, owner = tokens[mine], owner[mine]
-        bucket = (tokens >> np.uint64(20)) % np.uint64(buckets)
+        bucket = (tokens >> np.uint64(LOW_BITS)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         tokens, owner, bucket = tokens[order], owner[order], bucket[order]
         edges = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets + 1)))
@@ -87,8 +90,9 @@ def _packed(batches, k: int, buckets: int):
             first = np.flatnonzero(np.diff(own, prepend=-1))
             who = own[first]
             counts = np.diff(np.append(first, b - a)).astype(np.int32)
-            rows.append((int(bucket[a]), b"", raw(classes[who]), raw(sizes[who].astype(np.int32)), raw(counts), raw(tokens[a:b])))
-        types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            low, high = tokens[a:b].astype(np.uint32), (tokens[a:b] >> np.uint64(32)).astype(np.uint8)
+            rows.append((int(bucket[a]), b"", raw(classes[who]), raw(sizes[who].astype(np.int32)), raw(counts), raw(low), raw(high)))
+        types = [pa.int32(), *[pa.binary()] * 6]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
@@ -101,8 +105,10 @@ def _shared_tokens(group, buckets: int):
     import pyarrow as pa
 
     classes, counts = _joined(group.column("classes"), np.int64), _joined(group.column("counts"), np.int32)
-    sizes, tokens = np.repeat(_joined(group.column("sizes"), np.int32), counts), _joined(group.column("tokens"), np.uint64)
-    classes = np.repeat(classes, counts)
+    sizes, classes = np.repeat(_joined(group.column("sizes"), np.int32), counts), np.repeat(classes, counts)
+    tokens = _joined(group.column("high"), np.uint8).astype(np.uint64) << np.uint64(32) | _joined(group.column("low"), np.uint32)
+    if len(tokens):
+        tokens |= np.uint64(group.column("bucket")[0].as_py() << LOW_BITS)
     order = np.lexsort((classes, tokens))
     tokens, classes, sizes = tokens[order], classes[order], sizes[order]
     new_token = np.ones(len(tokens), bool)
@@ -156,16 +162,16 @@ def _prefixes(group, percent: int):
         lists.append(pa.ListArray.from_arrays(pa.array(_spans(take[live]).astype(np.int32)), pa.array(tokens[order][cut].view(np.int64))))
     whole = np.repeat(live, held)
     lists.append(pa.ListArray.from_arrays(pa.array(_spans(held[live]).astype(np.int32)), pa.array(tokens[orders[0]][whole].view(np.int64))))
-    return pa.Table.from_arrays([pa.array(same[first][live]), pa.array(n[live]), *lists], ["class", "n", "a", "b", "c", "tokens"])
+    return pa.Table.from_arrays([pa.array(same[first][live]), pa.array(n[live]), *lists], ["class", "n", "first", "second", "third", "tokens"])
 
 
 def linked_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that pass the other two orders' filters and are similar."""
-    side = lambda s: classes.select(*(F.col(c).alias(f"{c}_{s}") for c in classes.columns))
-    both = pairs.join(side("x"), F.col("x") == F.col("class_x")).join(side("y"), F.col("y") == F.col("class_y"))
-    both = both.filter(F.arrays_overlap("b_x", "b_y") & F.arrays_overlap("c_x", "c_y"))
-    shared = F.size(F.array_intersect("tokens_x", "tokens_y"))
-    return both.filter(100 * shared >= percent * (F.col("n_x") + F.col("n_y") - shared)).select("x", "y")
+    """The pairs (a, b) that pass the other two orders' filters and are similar, a written table."""
+    side = lambda s: classes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "second", "third", "tokens")))
+    both = pairs.join(side("a"), F.col("a") == F.col("class_a")).join(side("b"), F.col("b") == F.col("class_b"))
+    both = both.filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return written(both.filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"), "links")
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -173,24 +179,21 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-total // BYTES_PER_BUCKET))
-    packed = docs.mapInArrow(lambda it: _packed(it, k, buckets), "bucket int, ids binary, classes binary, sizes binary, counts binary, tokens binary")
+    buckets = min(MOST_BUCKETS, max(8, -(-total // BYTES_PER_BUCKET)))
+    parts = "bucket int, ids binary, classes binary, sizes binary, counts binary, low binary, high binary"
+    packed = docs.mapInArrow(lambda it: _packed(it, k, buckets), parts)
 
     def reduced(key, group):
         if key[0].as_py() >= 0:
             shared = _shared_tokens(group, buckets)
             return shared.append_column("ids", _nothing(len(shared)))
-        kept = group.select(["bucket", "classes", "sizes", "counts", "tokens"])
-        return kept.append_column("df", _nothing(len(kept))).append_column("ids", group.column("ids"))
+        kept = group.select(["bucket", "classes", "sizes", "counts"])
+        return kept.append_column("tokens", _nothing(len(kept))).append_column("df", _nothing(len(kept))).append_column("ids", group.column("ids"))
 
     # Rows of documents are spread over keys of their own: they only pass.
     spread = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("classes"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
     schema = "bucket int, classes binary, sizes binary, counts binary, tokens binary, df binary, ids binary"
-    held = settled(packed.withColumn("bucket", spread).groupBy("bucket").applyInArrow(reduced, schema))
-    del packed
-    collect_garbage(spark)
-    classes = held.filter("bucket >= 0").drop("ids").groupBy("bucket")
-    classes = settled(classes.applyInArrow(lambda group: _prefixes(group, percent), "class long, n long, a array<long>, b array<long>, c array<long>, tokens array<long>"))
+    held = written(packed.withColumn("bucket", spread).groupBy("bucket").applyInArrow(reduced, schema), "tokens")
 
     def unpacked(batches):
         import pyarrow as pa
@@ -200,8 +203,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             ids = pa.array(columns[0], mask=columns[3].astype(bool))
             yield pa.RecordBatch.from_arrays([ids, pa.array(columns[1]), pa.array(columns[2].astype(np.int64))], ["doc_id", "class", "n_shingles"])
 
-    rows = held.filter("bucket < 0").mapInArrow(unpacked, "doc_id long, class long, n_shingles long")
-    return _with_components(rows, _components(classes, percent))
+    rows = written(held.filter("bucket < 0").mapInArrow(unpacked, "doc_id long, class long, n_shingles long"), "documents")
+    classes = held.filter("bucket >= 0").drop("ids").groupBy("bucket")
+    schema = "class long, n long, first array<long>, second array<long>, third array<long>, tokens array<long>"
+    classes = written(classes.applyInArrow(lambda group: _prefixes(group, percent), schema), "classes")
+    discard(held)
+    roots = _components(classes, percent)
+    discard(classes)
+    return _with_components(rows, roots)
 
 
 def _nothing(n: int):
@@ -210,41 +219,15 @@ def _nothing(n: int):
     return pa.nulls(n, pa.binary())
 
 
-def _components(classes: DataFrame, percent: int) -> DataFrame:
+def _components(classes: DataFrame, percent: int) -> DataFrame | None:
     """node, component of the classes that have links."""
     # pos: the token's place in the class's whole first order; tokens of frequency 1 stand before all of these.
-    lists = classes.select("class", "n", F.posexplode("a").alias("pos", "token"), (F.col("n") - F.size("tokens")).alias("own"))
-    lists = lists.select("token", "class", "n", (F.col("pos") + F.col("own")).alias("pos"))
-    links, roots = None, None
-    for r in range(64):
-        named = lists.withColumn("component", F.col("class"))
-        if roots is not None:
-            named = lists.join(roots, F.col("class") == F.col("node"), "left").select("token", "class", "n", "pos", F.coalesce("component", "class").alias("component"))
-        whole = named.groupBy("token").agg(F.count("*").alias("size"), F.min("class").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        whole = whole.filter("lo <> hi").withColumn("level", F.ceil(F.log("size") / F.log(F.lit(4.0))).cast("int"))
-        named = settled(named.join(whole.select("token", "least", "size", "level"), "token"))
-        if named.isEmpty():
-            break
-        # From round 2 on, the classes whose hash is divisible by 4**(level - r + 1), and were not pivots before.
-        every = lambda k: F.pow(F.lit(4.0), F.greatest(F.col("level") - k, F.lit(0))).cast("long")
-        due = lambda k: F.pmod(F.xxhash64("class"), every(k)) == 0
-        fresh = due(r - 1) & ~due(r - 2) if r > 2 else due(r - 1)
-        chosen = F.col("class") == F.col("least") if r < 2 else fresh
-        pivots = named.filter(chosen).select("token", F.col("class").alias("pivot"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("other"))
-        # The first token that two linked classes share leaves enough tokens behind it in both.
-        enough = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-        near = enough & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("other"))
-        pairs = named.join(pivots, "token").filter(near).select("class", "pivot")
-        if r == 0:  # one pivot a class at first, the least: copies of a text meet there, whichever tokens they share
-            pairs = pairs.groupBy("class").agg(F.min("pivot").alias("pivot"))
-        pairs = pairs.select(F.least("class", "pivot").alias("x"), F.greatest("class", "pivot").alias("y")).distinct()
-        found = linked_pairs(pairs, classes, percent)
-        links = settled(found if links is None else links.union(found))
-        roots = settled(connected_components(links))
-        more = F.lit(True) if r == 0 else F.col("size") > 2 if r == 1 else every(r - 1) > 1
-        lists = named.filter(more).select("token", "class", "n", "pos")
-        collect_garbage(classes.sparkSession)
-    return roots
+    lists = classes.select(F.col("class").alias("key"), "n", F.posexplode("first").alias("pos", "band"), (F.col("n") - F.size("tokens")).alias("own"))
+    lists = lists.select("key", "band", "n", (F.col("pos") + F.col("own")).alias("pos"))
+    # The first token that two linked classes share leaves enough tokens behind it in both.
+    near = F.least(F.col("n") - F.col("pos"), F.col("p_n") - F.col("p_pos")) * (100 + percent) >= (F.col("n") + F.col("p_n")) * percent
+    near = near & (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
+    return grouped_components(lists, lambda pairs: linked_pairs(pairs, classes, percent), near=near, carried=("n", "pos"), one_first=True)
 
 
 def _with_components(rows: DataFrame, roots: DataFrame | None) -> DataFrame:

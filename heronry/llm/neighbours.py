@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, settled, table
+from .common import discard, table, written
 
 EDGE = "node long, near long, sim float"
 
@@ -169,10 +169,9 @@ def descend(graph: DataFrame, codes: DataFrame, degree: int, top: int, seed: int
 def neighbour_graph(codes: DataFrame, *, degree: int = 24, tables: int = 4, block: int = 256, rounds: int = 4, top: int = 16, seed: int = 41) -> DataFrame:
     """node, near, sim: up to `degree` near nodes of every node."""
     n = codes.count()
-    graph = settled(best_edges(first_edges(codes, degree, tables, block, n, seed), degree))
+    graph = written(best_edges(first_edges(codes, degree, tables, block, n, seed), degree))
     for r in range(rounds):
-        graph = settled(descend(graph, codes, degree, top, seed + r))
-        collect_garbage(codes.sparkSession)
+        graph = written(descend(graph, codes, degree, top, seed + r))
     return graph
 
 
@@ -181,9 +180,9 @@ def walk(queries: DataFrame, graph: DataFrame, codes: DataFrame, *, degree: int,
     both = graph.select("node", "near", "sim").union(graph.select(F.col("near").alias("node"), F.col("node").alias("near"), "sim"))
     near = best_edges(both, 2 * degree).join(codes.select(F.col("node").alias("near"), "q"), "near")
     links = near.groupBy("node").agg(F.collect_list(F.struct("near", "q")).alias("out"))  # at most 2 * degree
-    links = settled(links.select("node", F.col("out.near").alias("near"), F.col("out.q").alias("qs")))
+    links = written(links.select("node", F.col("out.near").alias("near"), F.col("out.q").alias("qs")))
     schema = "query_id long, q binary, nodes array<long>, sims array<float>, done array<boolean>"
-    state = settled(queries.select("query_id", "q", F.array("start").alias("nodes"), F.array(F.lit(1.0).cast("float")).alias("sims"), F.array(F.lit(False)).alias("done")))
+    state = written(queries.select("query_id", "q", F.array("start").alias("nodes"), F.array(F.lit(1.0).cast("float")).alias("sims"), F.array(F.lit(False)).alias("done")))
 
     def chosen(col="done"):
         open_ = F.filter(F.sequence(F.lit(0), F.size("nodes") - 1), lambda i: ~F.get("done", i))
@@ -209,26 +208,25 @@ def walk(queries: DataFrame, graph: DataFrame, codes: DataFrame, *, degree: int,
 
     while True:
         todo = state.select("query_id", "q", F.explode(F.transform(chosen(), lambda i: F.get("nodes", i))).alias("expanded"))
-        todo = settled(todo)
+        todo = written(todo)
         if todo.isEmpty():
             return state.select("query_id", F.explode("nodes").alias("node"))
         none = lambda t: F.lit(None).cast(t)
         steps = todo.join(links, F.col("expanded") == F.col("node"), "left").select("query_id", "q", none("array<long>").alias("nodes"), none("array<float>").alias("sims"), none("array<boolean>").alias("done"), "expanded", "near", "qs")
         held = state.select("*", none("long").alias("expanded"), none("array<long>").alias("near"), none("array<binary>").alias("qs"))
         moved = held.join(todo.select("query_id").distinct(), "query_id", "left_semi").select(steps.columns).union(steps).groupBy("query_id").applyInArrow(merged, schema)
-        state = settled(state.join(todo.select("query_id").distinct(), "query_id", "left_anti").union(moved))
-        collect_garbage(codes.sparkSession)
+        state = written(state.join(todo.select("query_id").distinct(), "query_id", "left_anti").union(moved))
 
 
 def nearest(rows: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, degree: int = 24, beam: int = 300, step: int = 30, **how) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that is_query (a column over `id`) marks."""
     rows = usable(rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")))
-    members = settled(nodes_of(rows, k + 1))
+    members = written(nodes_of(rows, k + 1))
     reps = members.filter("id = node").select("node", "v")
-    codes = settled(coded(reps))
+    codes = written(coded(reps))
     graph = neighbour_graph(codes, degree=degree, **how)
     asked = rows.filter(is_query).select(F.col("id").alias("query_id"), "v").distinct()
-    asked = settled(asked.join(reps, "v").select("query_id", "v", "node"))
+    asked = written(asked.join(reps, "v").select("query_id", "v", "node"))
     found = walk(asked.join(codes, "node").select("query_id", "q", F.col("node").alias("start")), graph, codes, degree=degree, beam=beam, step=step)
     found = found.join(asked.select("query_id", F.col("v").alias("qv")), "query_id").join(reps, "node")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settled, table, written
+from .common import table, written
 
 PIECES_PER_BUCKET = 8192
 
@@ -145,7 +145,7 @@ def pack_documents(
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = pieces_of(docs, tokenizer, capacity=capacity, end_id=end_id, keep_ids=keep_ids, blanks=blanks)
-    pieces = written(pieces, "pieces") if keep_ids else settled(pieces)
+    pieces = written(pieces, "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     segments, _ = plan_sequences(counts, capacity)
     n_buckets = max(1, -(-sum(counts.values()) // PIECES_PER_BUCKET))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, settled, table, text_of
+from .common import BLANK, table, text_of, written
 
 STATS = (
     "log_words", "word_chars", "distinct_words", "stutter", "symbols", "capitals", "marks", "shouts", "digits",
@@ -92,7 +92,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, par
     labels = labels.filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").cast("double").alias("label"))
     labels = labels.withColumn("key", F.xxhash64(F.lit(29), "doc_id")).orderBy("key", "doc_id").limit(sample)
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(labels), "doc_id")
-    rows = settled(with_stats(rows, "label", "key").coalesce(parts))
+    rows = written(with_stats(rows, "label", "key").coalesce(parts))
     moments = rows.agg(*(f(c).alias(f"{c}_{f.__name__}") for c in STATS for f in (F.avg, F.stddev_pop)), F.avg("label").alias("share"), F.count("*").alias("n")).first()
     if not moments["n"] or moments["share"] in (0, 1):
         model.values = np.array([0.5 if not moments["n"] else moments["share"]])

@@ -262,7 +262,7 @@ def test_jaccard_join(spark, docs, edges, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
-def plain_line_dedup(rows, k=12, least=30):
+def plain_line_dedup(rows, k=10, least=30):
     spots, sets = defaultdict(list), {}
     for doc, text in rows:
         for n, line in enumerate((text or "").split("\n")):
@@ -299,6 +299,32 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_finds_pairs_under_one_passage(spark):
+    """Many families of two with a long common start: each pair is similar, the families are not."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    start, rows = draw(200), []
+    for i in range(100):
+        line = start + draw(80)
+        rows += [(2 * i, line), (2 * i + 1, line[:-9] + draw(9))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["dropped_lines"] for r in line_dedup.dedup_lines(df).collect()}
+    want = plain_line_dedup(rows)
+    assert len(want) == 100 and {(d, 0) for d, drops in got.items() if drops} == want
+
+
+def test_line_dedup_edges(spark):
+    same, other = "a line that is long enough to be compared, here once more", "another line of forty characters or more, alone"
+    rows = [(None, same, 1), (None, f"{other} (1)\n{same}", 2), (3, f"x\n{same}", 3), (3, f"x\n{same}", 4), (3, same, 5), (2, f"\n{same}\n{same}", 6), (7, None, 7), (8, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines long")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "n_lines", "n_lines_", "dropped_lines"]
+    got = {r["n_lines"]: (r["text"], r["n_lines_"], r["dropped_lines"]) for r in out.collect()}
+    assert got == {
+        1: ("", 1, [0]), 2: (f"{other} (1)", 2, [1]), 3: ("x", 2, [1]), 4: ("x", 2, [1]), 5: ("", 1, [0]), 6: (f"\n{same}", 3, [2]), 7: (None, 1, []), 8: ("", 1, []),
+    }
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16)).astype(np.float32)
