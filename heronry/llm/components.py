@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, written
 
+#: Pivots of a band grow by this factor from round to round.
+BASE = 16
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large: every larger neighbour of u is tied to the least of u's neighbourhood; small: every smaller one and u."""
@@ -58,34 +61,36 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def grouped_components(
-    rows: DataFrame, verified: Callable[[DataFrame], DataFrame], *, near: Column | None = None, carried: tuple[str, ...] = (), kept: tuple[str, ...] = (), one_first: bool = False
+    rows: DataFrame, verified: Callable[[DataFrame], DataFrame], *, near: Column | None = None, carried: tuple[str, ...] = (), one_first: bool = False
 ) -> DataFrame | None:
     """node, component of the keys that have links, a written table; None without links.
 
-    rows: key, band (longs) and the columns carried. verified takes pairs (a < b, and the carried columns kept) and
-    returns those that are linked, as a written table (a, b). near may rule a pair out by the carried columns (those
-    of the pivot begin with p_). Every pair of keys that share a band is verified, unless its keys are in one component by then.
+    rows: key, band (longs) and the columns carried. verified takes pairs (a < b) and returns
+    those that are linked, as a written table (a, b). near may rule a pair out by the carried columns (those of the
+    pivot begin with p_). Every pair of keys that share a band is verified, unless its keys are in one component by then.
 
     The pairs of a band are not all formed. In round 1 every key meets the band's least key (with one_first, in a
-    round before it, only the least of its bands' least keys). In round r about 4**(r - 1) keys, drawn by hash and
+    round before it, only the least of its bands' least keys). In round r about BASE**(r - 1) keys, drawn by hash and
     new in each round, meet the others. A band ends when one component holds it or all its pairs have been met.
-    Components of a round go into the next as edges, so links of earlier rounds are not kept.
+    Between rounds one pair of star steps draws components together, so some keys of one component may still go by two
+    names and meet needlessly; at the end the steps go on until nothing changes.
     """
-    roots, before, r = None, None, 0 if one_first else 1
+    edges, before, r = None, None, 0 if one_first else 1
     while True:
         named = rows.withColumn("part", F.col("key"))
-        if roots is not None:
-            named = rows.join(roots, F.col("key") == F.col("node"), "left").select(*rows.columns, F.coalesce("component", "key").alias("part"))
+        if edges is not None:
+            part = edges.groupBy("a").agg(F.min("b").alias("b"))
+            named = rows.join(part, F.col("key") == F.col("a"), "left").select(*rows.columns, F.coalesce("b", "key").alias("part"))
         whole = named.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-        whole = whole.filter("lo <> hi").withColumn("level", F.ceil(F.log("n") / F.log(F.lit(4.0)) - 1e-9).cast("int"))
+        whole = whole.filter("lo <> hi").withColumn("level", F.ceil(F.log("n") / F.log(F.lit(float(BASE))) - 1e-9).cast("int"))
         if r > 1:  # bands whose pairs have all been met are done
             whole = whole.filter((F.col("n") > 2) & (F.col("level") >= r - 1))
         left = written(named.join(whole.select("band", "least", "level"), "band"), "bands")
         discard(before)
         if left.isEmpty():
             discard(left)
-            return roots
-        every = lambda k: F.pow(F.lit(4.0), F.greatest(F.col("level") - k, F.lit(0))).cast("long")
+            break
+        every = lambda k: F.pow(F.lit(float(BASE)), F.greatest(F.col("level") - k, F.lit(0))).cast("long")
         due = lambda k: F.pmod(F.xxhash64("key"), every(k)) == 0
         first = F.col("key") == F.col("least")
         was = F.lit(False) if r < 2 else first if r == 2 else first | due(r - 2)
@@ -97,12 +102,17 @@ def grouped_components(
         pairs = pairs.filter(near) if near is not None else pairs
         if r == 0:
             pairs = pairs.groupBy("key").agg(F.min("pivot").alias("pivot"))
-        pairs = written(pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"), *kept).distinct(), "pairs")
+        pairs = written(pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), "pairs")
         links = verified(pairs)
         discard(pairs)
         if not links.isEmpty():
-            after = connected_components(links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-            discard(roots)
-            roots = after
+            after = written(_star(_star(links if edges is None else links.union(edges), large=True), large=False), "edges")
+            discard(edges)
+            edges = after
         discard(links)
         rows, before, r = left.select("key", "band", *carried), left, r + 1
+    if edges is None:
+        return None
+    found = connected_components(edges)
+    discard(edges)
+    return found

@@ -109,8 +109,8 @@ def training_shards(
 
     def bind(batches):
         shard, first, docs, data = None, 0, [], []
-        for batch in batches:
-            for slot, doc, piece, held, ids in zip(*(batch.column(c).to_pylist() for c in ("slot", "doc_id", "piece", "held", "ids")), strict=True):
+        for part in (batch.slice(at, 1024) for batch in batches for at in range(0, batch.num_rows, 1024)):
+            for slot, doc, piece, held, ids in zip(*(part.column(c).to_pylist() for c in ("slot", "doc_id", "piece", "held", "ids")), strict=True):
                 if slot // per_shard != shard:
                     if docs:
                         yield bound(shard, first, docs, data)
