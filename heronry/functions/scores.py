@@ -30,10 +30,9 @@ def bm25_weight(tf: Column, length: Column, k1: float = 1.2, b: float = 0.75, av
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
 
-def reciprocal_rank_fusion(dense: Column, lexical: Column, n: Column, w_dense: float = 0.6, w_lexical: float = 0.4, k: int = 60) -> Column:
-    """A missing rank counts as n + 10."""
-    missing = n + 10
-    return F.lit(w_dense) / (k + F.coalesce(dense, missing)) + F.lit(w_lexical) / (k + F.coalesce(lexical, missing))
+def reciprocal_rank_fusion(dense: Column, lexical: Column, n_dense: Column, n_pool: Column, w_dense: float = 0.6, w_lexical: float = 0.4, k: int = 60) -> Column:
+    """A rank that is missing counts as 10 behind the last: of the dense hits, or of the pool."""
+    return F.lit(w_dense) / (k + F.coalesce(dense, n_dense + 10)) + F.lit(w_lexical) / (k + F.coalesce(lexical, n_pool + 10))
 
 
 def title_matches(title: Column, acceptable: Column) -> Column:

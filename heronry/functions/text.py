@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html.entities
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,42 +25,69 @@ def sub(x: Column, *rules: tuple[str, str]) -> Column:
     return x
 
 
+#: The characters that Python's str.strip takes off.
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(x: Column | str) -> Column:
     """Without Unicode white space at the ends."""
-    return sub(_col(x), (r"(?U)^\s+|\s+$", ""))
+    return F.btrim(_col(x), F.lit(SPACES))
 
 
-def unescape(x: Column | str) -> Column:
-    """HTML entities to characters: numeric ones up to six digits by lookup of their code, named ones by a map.
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x made once, however often f names it: x is the one element of an array."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
-    Text without an ampersand costs one search. `&amp;` is not decoded twice: pieces are replaced one by one.
-    """
-    x = _col(x)
-    names = {n[:-1]: v for n, v in html.entities.html5.items() if n.endswith(";")}
-    table = F.from_json(F.lit(_json(names)), "map<string,string>")
-    pattern = r"&(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});"
-    gaps, found = F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
 
-    def decoded(name: Column) -> Column:
-        hexed = F.conv(F.substring(name, 3, 9), 16, 10).cast("int")
-        code = F.when(name.rlike("^#[xX]"), hexed).when(name.startswith("#"), F.substring(name, 2, 9).cast("int"))
-        utf32 = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "utf-32")
-        named = F.try_element_at(table, name)
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        return F.when(code.isNotNull(), F.when(valid, utf32).otherwise("�")).otherwise(F.coalesce(named, F.concat(F.lit("&"), name, F.lit(";"))))
+#: Entities of most texts; they spare a search of the whole table.
+COMMON = ("amp", "lt", "gt", "quot", "nbsp", "copy", "middot", "mdash", "ndash", "hellip", "rsquo", "lsquo", "rdquo", "ldquo")
+
+
+def _numbered(name: Column) -> Column:
+    """The character of `#65;` or `#x41`: code points that HTML forbids are replaced or left out."""
+    digits = F.regexp_extract(name, "^#[xX]?0*([0-9a-fA-F]*);?$", 1)
+    value = F.when(F.length(digits) > 7, F.lit("1114112")).when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+    windows = [bytes([c]).decode("cp1252", "replace") for c in range(0x80, 0xA0)]
+    windows = F.array(*(F.lit(chr(0x80 + i) if w == "\ufffd" else w) for i, w in enumerate(windows)))
+
+    def char(code: Column) -> Column:
+        none = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        utf32 = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "utf-32")
+        out = F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("\ufffd")).when(code.between(0x80, 0x9F), F.get(windows, (code - 0x80).cast("int")))
+        return out.when(none, F.lit("")).otherwise(utf32)
 
-    parts = F.zip_with(gaps, F.concat(F.transform(found, decoded), F.array(F.lit(""))), lambda g, v: F.concat(g, v))
-    return F.when(x.contains("&"), F.array_join(parts, "")).otherwise(x)
+    return bound(F.coalesce(value.try_cast("long"), F.lit(0)), char)
 
 
-def _json(x: dict) -> str:
-    import json
+def _named(name: Column) -> Column:
+    """`amp;`, or the longest old name that needs no semicolon and begins the text; without either, the text as it was."""
+    table = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
+    old = F.array(*(F.lit(n) for n in sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))))
+    common = F.lit(None).cast("string")
+    for n in reversed(COMMON):
+        common = F.when(name == f"{n};", html.entities.html5[f"{n};"]).otherwise(common)
+    start = F.get(F.filter(old, lambda n: name.startswith(n)), F.lit(0))
+    rest = F.concat(F.try_element_at(table, start), F.substring(name, F.length(start) + 1, F.length(name)))
+    return F.coalesce(common, F.try_element_at(table, name), rest, F.concat(F.lit("&"), name))
+
+
+def unescape(x: Column | str) -> Column:
+    """HTML entities to characters, as HTML reads them: numbers, names, and old names without a semicolon.
+
+    Text without an ampersand costs one search. `&amp;` is not decoded twice: pieces are replaced one by one.
+    """
+    pattern = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+    def pieces(x: Column) -> Column:
+        decoded = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), lambda name: F.when(name.startswith("#"), _numbered(name)).otherwise(_named(name)))
+        return F.array_join(F.zip_with(F.split(x, pattern, -1), F.concat(decoded, F.array(F.lit(""))), lambda gap, v: F.concat(gap, v)), "")
 
-    return json.dumps(x)
+    return bound(_col(x), lambda x: F.when(x.contains("&"), pieces(x)).otherwise(x))
 
 
 def clean_wikitext(x: Column | str) -> Column:
     """Prose of wiki markup. The order matters: references before tags, templates from the inside out."""
+    # What is markup, in the order in which it goes.
     x = sub(
         F.coalesce(_col(x), F.lit("")),
         (r"(?s)<!--.*?-->", ""),
@@ -87,6 +116,7 @@ def html_title(x: Column | str, otherwise: Column | str) -> Column:
 
 def html_to_markdown(x: Column | str, title: Column | str) -> Column:
     """`# title`, a blank line, and the page's lines: headings of three levels, paragraphs and breaks kept."""
+    # The elements' patterns, in the order in which they are replaced.
     x = sub(_col(x), (rf"(?is)<({BOILERPLATE_TAGS})[^>]*>.*?</\1>", ""))
     x = sub(x, *[(rf"(?is)<h{n}[^>]*>(.*?)</h{n}>", f"\n{'#' * n} $1\n") for n in (1, 2, 3)])
     x = sub(x, (r"(?is)<p[^>]*>(.*?)</p>", "\n$1\n"), (r"(?iU)<br\s*/?>", "\n"), ("<[^>]+>", " "))
@@ -96,10 +126,11 @@ def html_to_markdown(x: Column | str, title: Column | str) -> Column:
 
 def heading(line: Column) -> Column:
     """struct(level, text) of a Markdown or wiki heading, null for other lines."""
-    line = strip(line)
     hashes, wiki = r"(?dU)^(#{1,6})\s+(.+)$", r"(?dU)^(={1,6})\s*(.*?)\s*\1$"
-    made = lambda p: F.struct(F.length(F.regexp_extract(line, p, 1)).alias("level"), strip(F.regexp_extract(line, p, 2)).alias("text"))
-    return F.when(line.rlike(hashes), made(hashes)).when(line.rlike(wiki), made(wiki))
+    made = lambda line, p: F.struct(F.length(F.regexp_extract(line, p, 1)).alias("level"), strip(F.regexp_extract(line, p, 2)).alias("text"))
+    found = lambda line: F.when(line.rlike(hashes), made(line, hashes)).when(line.rlike(wiki), made(line, wiki))
+    # Few lines begin like a heading; the others cost one test.
+    return F.when(line.rlike(r"(?U)^[\s\x1c-\x1f]*[#=]"), bound(strip(line), found))
 
 
 def uuid5(name: Column | str, namespace: uuid.UUID = uuid.NAMESPACE_DNS) -> Column:

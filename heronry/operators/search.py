@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,24 +12,35 @@ from pyspark.sql import functions as F
 from heronry.functions import scores as S
 from heronry.functions import text as T
 
-#: Queries in one broadcast block: with 1,024 dimensions of 8 bytes, 8 MB.
-QUERIES_PER_BLOCK = 1024
+#: Bytes of query vectors that one pass over the points compares (they travel to every task), and queries whose
+#: products with a batch of points are held at once.
+BLOCK_BYTES, QUERIES_AT_ONCE = 64_000_000, 1024
+
+
+class _Best:
+    """The k best (score, id) of each of n queries, over all batches of a task; ties to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.scores, self.ids = k, [np.zeros(0)] * n, [np.zeros(0, object)] * n
+
+    def add(self, i: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        scores, ids = np.concatenate([self.scores[i], scores]), np.concatenate([self.ids[i], ids])
+        top = np.lexsort((ids, -np.round(scores, 12)))[: self.k]
+        self.scores[i], self.ids[i] = scores[top], ids[top]
 
 
 def dense_topk(points: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "point_id", query_col: str = "query_id", vector_col: str = "vector", skip_self: bool = False) -> DataFrame:
     """query_id, rank, point id, score: the k points of largest cosine, ties to the smaller id.
 
-    Queries are compared in blocks with every point; each batch of points sends on only its own k best
-    a query, so what is shuffled is k rows a query and batch. Zero vectors and nulls take no part.
+    Queries are compared in blocks with every point; a task sends on one frame with only its k best a query, so what
+    is shuffled is k rows a query and task. Zero vectors and nulls take no part.
     """
-    import numpy as np
-
     rows = queries.filter(F.col(vector_col).isNotNull()).select(query_col, vector_col)
-    types = dict(points.dtypes) | {f"q:{query_col}": dict(queries.dtypes)[query_col]}
-    schema = f"{query_col} {types[f'q:{query_col}']}, {id_col} {types[id_col]}, score double"
+    id_type, query_type = dict(points.dtypes)[id_col], dict(queries.dtypes)[query_col]
+    schema = f"{query_col} {query_type}, {id_col} {id_type}, score double"
 
     def block(part: list) -> DataFrame:
-        ids = [r[0] for r in part]
+        names = [r[0] for r in part]
         q = np.array([r[1] for r in part], float)
         norms = np.linalg.norm(q, axis=1)
         q = q / np.where(norms > 0, norms, np.nan)[:, None]
@@ -36,32 +48,37 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str
         def best(batches: Iterable):
             import pandas as pd
 
+            held = _Best(len(q), k)
             for pdf in batches:
                 pdf = pdf[pdf[vector_col].notna()]
                 if not len(pdf):
                     continue
                 x = np.stack(pdf[vector_col].to_numpy()).astype(float)
                 norm = np.linalg.norm(x, axis=1)
-                ok = norm > 0
-                own, x = pdf[id_col].to_numpy()[ok], x[ok] / norm[ok][:, None]
-                order = np.argsort(own, kind="stable")
-                own, x = own[order], x[order]
-                for i, s in enumerate(q @ x.T):
-                    use = np.flatnonzero(~np.isnan(s) & ((own != ids[i]) | (not skip_self)))
-                    top = use[np.argsort(-np.round(s[use], 12), kind="stable")[:k]]
-                    yield pd.DataFrame({query_col: [ids[i]] * len(top), id_col: own[top], "score": s[top]})
+                own, x = pdf[id_col].to_numpy()[norm > 0], x[norm > 0] / norm[norm > 0][:, None]
+                for at in range(0, len(q), QUERIES_AT_ONCE):
+                    for i, s in enumerate(q[at : at + QUERIES_AT_ONCE] @ x.T, at):
+                        use = ~np.isnan(s) & ((own != names[i]) | (not skip_self))
+                        if len(s) > 4 * k:  # only what reaches the k-th score can be among the best
+                            use &= np.round(s, 12) >= np.round(np.partition(np.where(use, s, -2), -k)[-k], 12)
+                        held.add(i, s[use], own[use])
+            counts = [len(x) for x in held.ids]
+            if sum(counts):
+                name = np.repeat(np.array(names, object), counts)
+                yield pd.DataFrame({query_col: name, id_col: np.concatenate(held.ids), "score": np.concatenate(held.scores)})
 
         return points.select(id_col, vector_col).mapInPandas(best, schema)
 
-    found, part = None, []
+    found, part, size = None, [], 0
     for row in [*rows.toLocalIterator(), None]:
         if row is not None:
             part.append(row)
-        if part and (row is None or len(part) == QUERIES_PER_BLOCK):
+            size += 8 * len(row[1])
+        if part and (row is None or size >= BLOCK_BYTES):
             found = block(part) if found is None else found.union(block(part))
-            part = []
+            part, size = [], 0
     if found is None:
-        return points.sparkSession.createDataFrame([], f"{query_col} {types[f'q:{query_col}']}, rank int, {id_col} {types[id_col]}, score double")
+        return points.sparkSession.createDataFrame([], f"{query_col} {query_type}, rank int, {id_col} {id_type}, score double")
     ranked = W.partitionBy(query_col).orderBy(F.desc(F.round("score", 12)), id_col)
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select(query_col, "rank", id_col, "score")
 
@@ -90,15 +107,24 @@ def bm25_weights(texts: DataFrame, id_col: str, text_col: str, **how) -> DataFra
 def bm25_scores(points: DataFrame, queries: DataFrame, pool: DataFrame | None = None) -> DataFrame:
     """query_id, point_id, score: sum over shared tokens of the product of both weights.
 
-    pool (query_id, point_id) restricts the pairs; without it every pair with a shared token counts.
+    pool (query_id, point_id) restricts the pairs: only its points' tokens are joined, by query and token. Without it
+    every pair with a shared token counts.
     """
-    p, q = bm25_weights(points, "point_id", "text"), bm25_weights(queries, "query_id", "query").withColumnRenamed("weight", "q_weight")
-    pairs = p.join(q, "token")
     if pool is not None:
-        pairs = pairs.join(pool.select("query_id", "point_id"), ["query_id", "point_id"], "left_semi")
+        pool = pool.select("query_id", "point_id").distinct()
+        points = points.join(pool.select("point_id").distinct(), "point_id", "left_semi")
+        queries = queries.join(pool.select("query_id").distinct(), "query_id", "left_semi")
+    p, q = bm25_weights(points, "point_id", "text"), bm25_weights(queries, "query_id", "query").withColumnRenamed("weight", "q_weight")
+    pairs = p.join(q, "token") if pool is None else pool.join(p, "point_id").join(q, ["query_id", "token"])
     return pairs.groupBy("query_id", "point_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
 
 
+def lexical_text(points: DataFrame) -> DataFrame:
+    """point_id, text as BM25 reads it: title, breadcrumb, and the text below them (columns that are there)."""
+    part = lambda c: F.coalesce(c, F.lit("")) if c in points.columns else F.lit("")
+    return points.select("point_id", F.concat(part("title"), F.lit(" "), part("breadcrumb"), F.lit("\n"), part("text")).alias("text"))
+
+
 def ranked(scored: DataFrame, k: int | None = None, digits: int = 9) -> DataFrame:
     """With rank by falling score, ties by point_id."""
     w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), "point_id")
@@ -109,17 +135,37 @@ def ranked(scored: DataFrame, k: int | None = None, digits: int = 9) -> DataFram
 def hybrid_search(dense: DataFrame, lexical: DataFrame, points: DataFrame, queries: DataFrame, k: int = 15, w_dense: float = 0.6, w_lexical: float = 0.4, rrf_k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of dense hits (query_id, point_id, rank) and the pool's BM25 ranks.
 
-    The pool is the union of dense and lexical candidates; a rank that is missing counts as pool + 10.
+    The pool is the union of dense and lexical candidates. A point that dense search did not find counts as 10 places
+    behind its query's last dense hit. BM25 reads points' titles and breadcrumbs too, where they have them.
     """
     pool = dense.select("query_id", "point_id", F.col("rank").alias("dense_rank")).join(lexical.select("query_id", "point_id"), ["query_id", "point_id"], "full_outer")
-    bm25 = bm25_scores(points, queries, pool).withColumnRenamed("score", "bm25")
+    bm25 = bm25_scores(lexical_text(points), queries, pool).withColumnRenamed("score", "bm25")
     pool = pool.join(bm25, ["query_id", "point_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    by_bm25 = W.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "point_id")
-    pool = pool.withColumns({"bm25_rank": F.row_number().over(by_bm25), "n": F.count("*").over(W.partitionBy("query_id"))})
-    score = S.reciprocal_rank_fusion(F.col("dense_rank"), F.col("bm25_rank"), F.col("n"), w_dense, w_lexical, rrf_k)
+    by_bm25, own = W.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "point_id"), W.partitionBy("query_id")
+    pool = pool.withColumns({"bm25_rank": F.row_number().over(by_bm25), "n": F.count("*").over(own), "n_dense": F.count("dense_rank").over(own)})
+    score = S.reciprocal_rank_fusion(F.col("dense_rank"), F.col("bm25_rank"), F.col("n_dense"), F.col("n"), w_dense, w_lexical, rrf_k)
     return ranked(pool.withColumn("score", score).withColumn("score_kind", F.lit("rrf")), k)
 
 
+def ask(
+    points: DataFrame, queries: DataFrame, k: int = 5, *, hybrid: bool = False, score_pairs: Callable[[list[str], list[str]], list[float]] | None = None, titles: int = 10
+) -> DataFrame:
+    """query_id, rank, point_id, score, score_kind and the columns of points but the vector: the k hits of each query.
+
+    points: point_id, vector, title, text, ...; queries: query_id, query, vector. max(k, 15) candidates come from dense
+    search, with hybrid fused with `titles` points whose titles hold the query; score_pairs ranks them again.
+    """
+    wide = max(k, 15)
+    hits = dense_topk(points, queries, wide).withColumn("score_kind", F.lit("cosine"))
+    if hybrid:
+        hits = hybrid_search(hits, title_search(points, queries, titles), points, queries, wide).select("query_id", "rank", "point_id", "score", "score_kind")
+    rest = [c for c in points.columns if c not in ("point_id", "vector")]
+    hits = hits.join(points.select("point_id", *rest), "point_id")
+    if score_pairs:
+        hits = rerank(hits.join(queries.select("query_id", "query"), "query_id"), score_pairs, k).drop("query")
+    return hits.filter(F.col("rank") <= k).select("query_id", "rank", "point_id", "score", "score_kind", *rest)
+
+
 def rerank(hits: DataFrame, score_pairs: Callable[[list[str], list[str]], list[float]], k: int = 5) -> DataFrame:
     """hits (query_id, query, point_id, text, ...) ordered again by the sigmoid of a pair scorer.
 

@@ -46,13 +46,30 @@ def upsert(stored: DataFrame, new: DataFrame, key: str = "point_id") -> DataFram
     return latest(both, key, "__batch").drop("__batch")
 
 
-def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: str = "point_id") -> None:
-    """Writes the next version of the table at path and moves the pointer last, so readers never see half a table."""
-    versions = current_version(spark, path)
-    data = upsert(spark.read.parquet(versions), new, key) if versions else latest(new.withColumn("__batch", F.lit(0)), key, "__batch").drop("__batch")
-    target = f"{path}/v-{uuid.uuid4().hex}"
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: str = "point_id", keep: int = 2) -> None:
+    """Writes the next version of the table at path and moves the pointer last, so readers never see half a table.
+
+    New rows must have the table's columns and types. Of older versions the last `keep` - 1 stay, for readers that
+    still hold them; the others are deleted.
+    """
+    current = current_version(spark, path)
+    if current:
+        stored = spark.read.parquet(current)
+        if dict(stored.dtypes) != dict(new.dtypes):
+            raise ValueError(f"columns differ from the table's: {sorted(set(stored.dtypes) ^ set(new.dtypes))}")
+        data = upsert(stored, new, key)
+    else:
+        data = latest(new.withColumn("__batch", F.lit(0)), key, "__batch").drop("__batch")
+    number = int(current.rsplit("/v-", 1)[1].split("-")[0]) + 1 if current else 0
+    target = f"{path}/v-{number:09d}-{uuid.uuid4().hex}"
     data.write.parquet(target)
     spark.range(1).select(F.lit(target).alias("target")).coalesce(1).write.mode("overwrite").json(f"{path}/_current")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in fs.listStatus(folder):
+        name = entry.getPath().getName()
+        if name.startswith("v-") and int(name.split("-")[1]) <= number - keep:
+            fs.delete(entry.getPath(), True)
 
 
 def current_version(spark: SparkSession, path: str) -> str | None:
@@ -99,7 +116,10 @@ def capacity(points: int, free_bytes: int, cloud: bool = False, buffer: int = 1
 def direction(said: str | None, storage: str = "local") -> tuple[str, str]:
     """(source, target) of a transfer; without a word, away from the present storage."""
     # Ways to name a direction.
-    names = {("cloud", "local"): ("c2l", "cloud-to-local", "cloud2local", "download", "pull"), ("local", "cloud"): ("l2c", "local-to-cloud", "local2cloud", "upload", "push")}
+    names = {
+        ("cloud", "local"): ("cloud-to-local", "c2l", "cloud2local", "to-local", "local"),
+        ("local", "cloud"): ("local-to-cloud", "l2c", "local2cloud", "to-cloud", "cloud"),
+    }
     if not said:
         return (storage, "local" if storage == "cloud" else "cloud")
     for pair, words in names.items():

@@ -8,6 +8,7 @@ CSV tables. Queries named ext_ are extensions beyond the engine's own operators.
 from __future__ import annotations
 
 import html.entities
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -132,7 +133,7 @@ _MARKDOWN = f"SELECT page_id, url, title, {_sql_markdown()} AS text FROM (SELECT
 @query(f"SELECT page_id, text FROM ({_MARKDOWN})")
 def web_markdown(spark, sf_dir):
     """Every page as Markdown."""
-    pages = _t(spark, sf_dir, "pages")
+    pages = readers.spread(_t(spark, sf_dir, "pages"))
     return pages.select("page_id", T.html_to_markdown("html", T.html_title("html", "url")).alias("text"))
 
 
@@ -192,19 +193,28 @@ def chunk_stats_by_lang(spark, sf_dir):
     return chunks.groupBy("lang").agg(F.count("*").alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"), F.max(F.length("chunk")).alias("longest"), F.round(F.avg(F.length("chunk")), 6).alias("avg_chars"))
 
 
-_SECTION_SRC = f"""SELECT page_id * 2 + k AS id, CASE WHEN k = 0 THEN body0 ELSE body1 END AS t FROM
-  (SELECT *, position(chr(10) || '# ' IN after) AS cut FROM (SELECT page_id, title, {_STRIP.format("text[length('# ' || title) + 1 :]")} AS after FROM ({_MARKDOWN})))"""
+#: Pages have one or two headings, of level 1: the title that the Markdown begins with, and the page's own.
+_PARTS = f"""SELECT *, after[1 : CASE WHEN cut = 0 THEN length(after) ELSE cut - 1 END] AS body0,
+    CASE WHEN cut > 0 THEN after[cut + 1 + length(line) :] END AS body1, {_STRIP.format("line[3 :]")} AS head1 FROM
+  (SELECT *, CASE WHEN cut > 0 THEN string_split(after[cut + 1 :], chr(10))[1] END AS line FROM
+    (SELECT *, position(chr(10) || '# ' IN after) AS cut FROM (SELECT page_id, url, title, text[length('# ' || title) + 1 :] AS after FROM ({_MARKDOWN}))))"""
+_SECTIONS = f"""SELECT page_id * 2 AS id, page_id, url, title, title AS breadcrumb, {_STRIP.format('body0')} AS t FROM ({_PARTS}) UNION ALL
+  SELECT page_id * 2 + 1, page_id, url, title, CASE WHEN lower(head1) = lower(title) THEN head1 ELSE title || ' > ' || head1 END, {_STRIP.format('body1')} FROM ({_PARTS}) WHERE cut > 0"""
 
 
-@query()
+@query(f"""SELECT doc_id || '-' || chunk_index AS chunk_id, doc_id, title, chunk_index, breadcrumb, text FROM
+  (SELECT c.*, sec.title, sec.breadcrumb, row_number() OVER (PARTITION BY page_id ORDER BY c.id, s) - 1 AS chunk_index,
+    h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab89ab89ab89ab'[('0x' || h[17:17])::INT + 1] || h[18:20] || '-' || h[21:32] AS doc_id
+  FROM ({_windows_sql(f"SELECT id, t FROM ({_SECTIONS})")}) c
+  JOIN (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM ({_SECTIONS})) sec ON sec.id = c.id)""")
 def web_chunks_breadcrumb(spark, sf_dir):
-    """Web pages to heading-aware chunks with breadcrumbs (tested against a plain fold)."""
-    chunks = chunking.chunk_documents(readers.web_documents(_t(spark, sf_dir, "pages")))
+    """Web pages to heading-aware chunks with breadcrumbs."""
+    chunks = chunking.chunk_documents(readers.web_documents(readers.spread(_t(spark, sf_dir, "pages"))))
     return chunks.select("chunk_id", "doc_id", "title", F.col("chunk_index").cast("long").alias("chunk_index"), "breadcrumb", "text")
 
 
 @query(f"""SELECT 'doc-' || id AS doc_id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS chunk_index, 'T' || id || ' > ' || lang AS breadcrumb, c.text
-  FROM ({_windows_sql(f"SELECT doc_id AS id, {_STRIP.format('text')} AS t FROM documents WHERE length({_STRIP.format('text')}) > 0")}) c JOIN documents ON id = doc_id""")
+  FROM ({_windows_sql(f"SELECT doc_id AS id, {_STRIP.format('text')} AS t FROM documents WHERE length({_STRIP.format('text')}) > 0 AND length('== ' || lang || ' ==') + 2 + length({_STRIP.format('text')}) >= 20")}) c JOIN documents ON id = doc_id""")
 def heading_chunks(spark, sf_dir):
     """Documents under one heading; every chunk carries title and heading."""
     docs = _t(spark, sf_dir, "documents").filter(F.length(T.strip("text")) > 0)
@@ -214,22 +224,18 @@ def heading_chunks(spark, sf_dir):
     return chunking.chunk_documents(docs).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "breadcrumb", "text")
 
 
-ORACLES["heading_chunks"] = f"""SELECT 'doc-' || id AS doc_id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS chunk_index, 'T' || id || ' > ' || lang AS breadcrumb, c.text
-  FROM ({_windows_sql(f"SELECT doc_id AS id, {_STRIP.format('text')} AS t FROM documents WHERE length({_STRIP.format('text')}) > 0 AND length('== ' || lang || ' ==') + 2 + length({_STRIP.format('text')}) >= 20")}) c JOIN documents ON id = doc_id"""
+_TABULAR = """SELECT section, '## Rows ' || min(n) || '–' || max(n) || chr(10) || chr(10) || '| p_partkey | p_name | p_brand | p_size |' || chr(10) || '| --- | --- | --- | --- |' || chr(10)
+    || string_agg('| ' || p_partkey || ' | ' || trim(p_name) || ' | ' || trim(p_brand) || ' | ' || p_size || ' |', chr(10) ORDER BY n) || chr(10) AS text
+  FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS n, ((row_number() OVER (ORDER BY p_partkey) - 1) // 30)::BIGINT + 1 AS section FROM part) GROUP BY section"""
 
 
-@query("""SELECT ((row_number() OVER (ORDER BY n_nationkey) - 1) // 10)::BIGINT + 1 AS section, n_nationkey, n_name FROM nation QUALIFY false""")
+@query(_TABULAR)
 def tabular_markdown(spark, sf_dir):
     """Part as Markdown tables of 30 rows."""
     part = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     return readers.table_sections(part, ["p_partkey", "p_name", "p_brand", "p_size"], ["p_partkey"], "Part")
 
 
-ORACLES["tabular_markdown"] = """SELECT section, '## Rows ' || min(n) || '–' || max(n) || chr(10) || chr(10) || '| p_partkey | p_name | p_brand | p_size |' || chr(10) || '| --- | --- | --- | --- |' || chr(10)
-    || string_agg('| ' || p_partkey || ' | ' || trim(p_name) || ' | ' || trim(p_brand) || ' | ' || p_size || ' |', chr(10) ORDER BY n) || chr(10) AS text
-  FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS n, ((row_number() OVER (ORDER BY p_partkey) - 1) // 30)::BIGINT + 1 AS section FROM part) GROUP BY section"""
-
-
 @query()
 def code_units(spark, sf_dir):
     """Each document as a Python function or class in a module (rows checked in the tests)."""
@@ -273,7 +279,9 @@ def knn_label_vote(spark, sf_dir):
 def int8_quantize(spark, sf_dir):
     """INT8 codes of the vectors, clipped at the 0.99 quantile of all components."""
     points = _points(spark, sf_dir)
-    scale = points.select(F.explode("vector").alias("c")).agg(F.percentile(F.abs(F.col("c").cast("double")), F.lit(0.99)).alias("s"))
+    # Counted by value before the quantile, so what meets is a row a distinct component.
+    parts = points.select(F.explode("vector").alias("c")).groupBy(F.abs(F.col("c").cast("double")).alias("c")).agg(F.count("*").alias("n"))
+    scale = parts.agg(F.percentile("c", F.lit(0.99), F.col("n")).alias("s"))
     codes = S.quantized(F.col("vector"), F.col("s"))
     return points.join(F.broadcast(scale)).select(F.col("point_id").alias("vec_id"), F.aggregate(codes, F.lit(0).cast("long"), lambda s, x: s + x).alias("code_sum"))
 
@@ -282,27 +290,17 @@ _TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w
 
 
 @query(f"""SELECT query_id, point_id, title FROM (SELECT q.query_id, p.doc_id AS point_id, p.title, row_number() OVER (PARTITION BY q.query_id ORDER BY p.doc_id) AS n
-  FROM (SELECT doc_id AS query_id, {_TOKENS.format(_TITLE)} AS t FROM documents WHERE doc_id % 50 = 0) q
+  FROM (SELECT doc_id AS query_id, {_TOKENS.format(_TITLE)} AS t FROM documents WHERE doc_id % 20 = 0) q
   JOIN (SELECT doc_id, {_TITLE} || ' ' || lang AS title, {_TOKENS.format(_TITLE + " || ' ' || lang")} AS t FROM documents) p ON list_has_all(p.t, q.t)) WHERE n <= 10""")
 def title_match(spark, sf_dir):
-    """Titles that hold every token of a query; a sample of the queries, see title_match_whole."""
-    return _title_match(spark, sf_dir, 50)
-
-
-def _titles(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("point_id"), F.concat_ws(" ", F.concat_ws("-", "source", "doc_id"), "lang").alias("title"))
-
-
-def _title_match(spark, sf_dir, every: int) -> DataFrame:
+    """Titles that hold every token of a query; queries are the ids that 20 divides."""
     docs = _t(spark, sf_dir, "documents")
-    queries = docs.filter(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), F.concat_ws("-", "source", "doc_id").alias("query"))
+    queries = docs.filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), F.concat_ws("-", "source", "doc_id").alias("query"))
     return search.title_search(_titles(docs), queries)
 
 
-@query(ORACLES["title_match"].replace("doc_id % 50 = 0", "doc_id % 20 = 0"))
-def title_match_whole(spark, sf_dir):
-    """title_match with every query, the ids that 20 divides."""
-    return _title_match(spark, sf_dir, 20)
+def _titles(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("point_id"), F.concat_ws(" ", F.concat_ws("-", "source", "doc_id"), "lang").alias("title"))
 
 
 def _bm25_sql(src: str, name: str) -> str:
@@ -327,38 +325,21 @@ def bm25_topk(spark, sf_dir):
 
 
 _DOC_KNN = f"SELECT query_id, point_id, rank FROM ({_KNN}) WHERE rank <= 15"
-_LEX = """SELECT q.doc_id AS query_id, p.doc_id AS point_id FROM documents q JOIN documents p ON p.source = q.source AND p.lang = q.lang AND p.doc_id <> q.doc_id
-  JOIN embeddings e ON e.vec_id = q.doc_id WHERE q.doc_id % 20 = 0 AND p.doc_id < 500"""
+_LEX = f"""SELECT query_id, point_id FROM (SELECT q.doc_id AS query_id, p.doc_id AS point_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY p.doc_id) AS n
+  FROM (SELECT doc_id, {_TOKENS.format("source || ' ' || lang")} AS t FROM documents WHERE doc_id % 20 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)) q
+  JOIN (SELECT doc_id, {_TOKENS.format(_TITLE + " || ' ' || lang")} AS t FROM documents) p ON list_has_all(p.t, q.t) AND p.doc_id <> q.doc_id WHERE len(q.t) > 0) WHERE n <= 10"""
+
+
+_TITLED = f"(SELECT doc_id, {_TITLE} || ' ' || lang || ' ' || chr(10) || text AS text FROM documents)"
 _HYBRID = f"""WITH pool AS (SELECT query_id, point_id, max(rank) AS dense_rank FROM (SELECT query_id, point_id, rank FROM ({_DOC_KNN}) UNION ALL SELECT query_id, point_id, NULL FROM ({_LEX})) GROUP BY ALL),
-  d AS ({_bm25_sql('documents', 'doc_id')}),
-  b AS (SELECT pool.query_id, pool.point_id, sum(p.w * q.w) AS bm25 FROM pool JOIN d p ON p.id = pool.point_id JOIN d q ON q.id = pool.query_id AND q.token = p.token GROUP BY ALL),
-  r AS (SELECT query_id, point_id, dense_rank, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(bm25, 0), 9) DESC, point_id) AS bm25_rank
+  d AS ({_bm25_sql(_TITLED, 'doc_id')}), o AS ({_bm25_sql('documents', 'doc_id')}),
+  b AS (SELECT pool.query_id, pool.point_id, sum(p.w * q.w) AS bm25 FROM pool JOIN d p ON p.id = pool.point_id JOIN o q ON q.id = pool.query_id AND q.token = p.token GROUP BY ALL),
+  r AS (SELECT query_id, point_id, dense_rank, count(dense_rank) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(bm25, 0), 9) DESC, point_id) AS bm25_rank
     FROM pool LEFT JOIN b USING (query_id, point_id)),
   s AS (SELECT *, 0.6::DOUBLE / (60 + coalesce(dense_rank, n + 10)) + 0.4::DOUBLE / (60 + bm25_rank) AS score FROM r)
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, point_id) AS rank FROM s"""
 
 
-@query(f"SELECT query_id, rank::INT AS rank, point_id, round(score, 6) AS score FROM ({_HYBRID}) WHERE rank <= 15")
-def hybrid_fusion(spark, sf_dir):
-    """Dense hits and lexical candidates, ranked by BM25 and fused.
-
-    As its SQL, lexical candidates only with doc_id < 500; hybrid_fusion_whole takes them from all documents.
-    """
-    docs = _t(spark, sf_dir, "documents")
-    dense = _knn(spark, sf_dir, 15)
-    own = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    q = docs.filter("doc_id % 20 = 0").join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "source", "lang", F.col("text").alias("query"))
-    lexical = docs.filter("doc_id < 500").select(F.col("doc_id").alias("point_id"), "source", "lang").join(q, ["source", "lang"]).filter("point_id <> query_id")
-    points = docs.select(F.col("doc_id").alias("point_id"), "text")
-    queries = dense.select("query_id").union(q.select("query_id")).distinct().join(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), "query_id")
-    return search.hybrid_search(dense, lexical, points, queries).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
-
-
-_LEX_TITLES = f"""SELECT query_id, point_id FROM (SELECT q.doc_id AS query_id, p.doc_id AS point_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY p.doc_id) AS n
-  FROM (SELECT doc_id, {_TOKENS.format("source || ' ' || lang")} AS t FROM documents WHERE doc_id % 20 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)) q
-  JOIN (SELECT doc_id, {_TOKENS.format(_TITLE + " || ' ' || lang")} AS t FROM documents) p ON list_has_all(p.t, q.t) AND p.doc_id <> q.doc_id WHERE len(q.t) > 0) WHERE n <= 10"""
-
-
 def _title_candidates(docs: DataFrame, asked: DataFrame, limit: int = 10) -> DataFrame:
     """query_id, point_id: the first of all titles, the query's own left out, that hold its source and language.
 
@@ -372,14 +353,14 @@ def _title_candidates(docs: DataFrame, asked: DataFrame, limit: int = 10) -> Dat
     return hits.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= limit).select("query_id", "point_id")
 
 
-@query(f"SELECT query_id, rank::INT AS rank, point_id, round(score, 6) AS score FROM ({_HYBRID.replace(_LEX, _LEX_TITLES)}) WHERE rank <= 15")
-def hybrid_fusion_whole(spark, sf_dir):
-    """hybrid_fusion with T2's title search over all documents for its lexical candidates."""
+@query(f"SELECT query_id, rank::INT AS rank, point_id, round(score, 6) AS score FROM ({_HYBRID}) WHERE rank <= 15")
+def hybrid_fusion(spark, sf_dir):
+    """Dense hits and T2's title search over all documents, ranked by BM25 and fused."""
     docs = _t(spark, sf_dir, "documents")
     dense = _knn(spark, sf_dir, 15)
     own = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
     asked = docs.filter("doc_id % 20 = 0").join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "source", "lang")
-    points = docs.select(F.col("doc_id").alias("point_id"), "text")
+    points = docs.select(F.col("doc_id").alias("point_id"), F.concat_ws(" ", F.concat_ws("-", "source", "doc_id"), "lang").alias("title"), "text")
     queries = dense.select("query_id").union(asked.select("query_id")).distinct().join(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), "query_id")
     found = search.hybrid_search(dense, _title_candidates(docs, asked), points, queries)
     return found.select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
@@ -394,25 +375,18 @@ def rerank_topk(spark, sf_dir):
     return scored.select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
 
 
-def _hits(spark, sf_dir, k: int, digits: int = 6, cut: int | None = None) -> DataFrame:
-    text = F.col("text") if cut is None else F.substring("text", 1, cut).alias("text")
-    docs = _documents(spark, sf_dir).select(F.col("page_id").cast("long").alias("point_id"), "title", "url", text)
+def _hits(spark, sf_dir, k: int, digits: int = 6) -> DataFrame:
+    docs = _documents(spark, sf_dir).select(F.col("page_id").cast("long").alias("point_id"), "title", "url", "text")
     hits = _knn(spark, sf_dir, k).join(docs, "point_id")
     return hits.withColumn("breadcrumb", F.when(F.col("point_id") % 2 == 0, F.concat(F.col("title"), F.lit(" > Part"))).otherwise(F.lit(""))).withColumn("score", F.round("score", digits))
 
 
-_HITS = f"""SELECT k.*, round(score, 4) AS s4, {_TITLE} || CASE WHEN point_id % 2 = 0 THEN ' > Part' ELSE '' END AS shown, 'https://example.org/' || {_TITLE} AS url, text[1:1200] AS text
+_HITS = f"""SELECT k.*, round(score, 4) AS s4, {_TITLE} || CASE WHEN point_id % 2 = 0 THEN ' > Part' ELSE '' END AS shown, 'https://example.org/' || {_TITLE} AS url, text
   FROM ({_KNN}) k JOIN documents ON doc_id = point_id WHERE rank <= 3"""
 
 
 @query(f"""SELECT query_id, string_agg('[' || rank || '] Source: ' || shown || ' (' || url || ')' || chr(10) || {_STRIP.format('text')}, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_sources FROM ({_HITS}) GROUP BY query_id""")
 def context_block(spark, sf_dir):
-    """numbered sources of each query, as its SQL of 1,200 characters a hit; context_block_whole has all."""
-    return answer.context_blocks(_hits(spark, sf_dir, 3, cut=1200)).select("query_id", "context", F.size("sources").cast("long").alias("n_sources"))
-
-
-@query(ORACLES["context_block"].replace("text[1:1200] AS text", "text"))
-def context_block_whole(spark, sf_dir):
     """numbered sources of each query, with their whole texts."""
     return answer.context_blocks(_hits(spark, sf_dir, 3)).select("query_id", "context", F.size("sources").cast("long").alias("n_sources"))
 
@@ -420,13 +394,7 @@ def context_block_whole(spark, sf_dir):
 @query(f"""SELECT query_id, string_agg('[' || rank || '] ' || shown || ' (Score: ' || printf('%.4f', round(score, 4)) || ')' || chr(10) || 'URL: ' || url || chr(10) || text || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) AS result
   FROM ({_HITS}) GROUP BY query_id""")
 def search_text(spark, sf_dir):
-    """hits as one text, as its SQL of 1,200 characters a hit; search_text_whole has all."""
-    return answer.result_texts(_hits(spark, sf_dir, 3, digits=4, cut=1200))
-
-
-@query(ORACLES["search_text"].replace("text[1:1200] AS text", "text"))
-def search_text_whole(spark, sf_dir):
-    """hits as one text, with their whole texts."""
+    """hits as one text."""
     return answer.result_texts(_hits(spark, sf_dir, 3, digits=4))
 
 
@@ -504,11 +472,11 @@ def upsert_last_wins(spark, sf_dir):
 
 @query("SELECT count(*) AS source, count(*) AS target, true AS complete, true AS same FROM documents")
 def transfer_verify(spark, sf_dir):
-    """A table against its copy, by counts and row hashes in one plan."""
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    digest = lambda d, n: d.agg(F.count("*").alias(n), F.sum(F.xxhash64("doc_id", "text").cast("decimal(20,0)")).alias(f"{n}_hash"))
-    both = digest(docs, "source").join(digest(docs.repartition(4, "doc_id"), "target"))
-    return both.select("source", "target", (F.col("target") >= F.col("source")).alias("complete"), (F.col("source_hash") == F.col("target_hash")).alias("same"))
+    """A table copied to a folder of its own, and read back and compared by counts and row hashes."""
+    told = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="heronry-transfer-")
+    done = store.transfer(_t(spark, sf_dir, "documents").select("doc_id", "text"), f"{told}/transfer-{uuid.uuid4().hex}")
+    names = ("source", "target", "complete", "same")
+    return spark.createDataFrame([tuple(done[c] for c in names)], "source long, target long, complete boolean, same boolean")
 
 
 @query("SELECT count(*) AS points_count, max(len(embedding))::INT AS dimensions, count(DISTINCT label) AS documents FROM embeddings")

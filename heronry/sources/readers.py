@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 import uuid
 from collections.abc import Callable
@@ -15,15 +17,15 @@ from heronry.functions import text as T
 
 # Kinds by file suffix, and folders that are passed over.
 KINDS = {
-    "text": ".md .markdown .mdx .txt .log",
-    "table": ".csv .tsv",
-    "code": ".py .rs .ts .js .jsx .tsx .cpp .c .h .hpp .go .java .toml .yaml .yml .json .sql .sh",
-    "pdf": ".pdf",
-    "image": ".png .jpg .jpeg .webp .bmp",
-    "audio": ".mp3 .wav .m4a .mp4 .flac .ogg",
+    "text": [".md", ".markdown", ".mdx", ".txt", ".log"],
+    "table": [".csv", ".tsv"],
+    "code": [".py", ".rs", ".ts", ".js", ".jsx", ".tsx", ".cpp", ".c", ".h", ".hpp", ".go", ".java", ".toml", ".yaml", ".yml", ".json", ".sql", ".sh"],
+    "pdf": [".pdf"],
+    "image": [".png", ".jpg", ".jpeg", ".webp", ".bmp"],
+    "audio": [".mp3", ".wav", ".m4a", ".mp4", ".flac", ".ogg"],
 }
-IGNORED = ".git .venv venv node_modules __pycache__ .pytest_cache .ser dist build .idea .vscode .mypy_cache .ruff_cache".split()
-KIND_OF = {suffix: kind for kind, suffixes in KINDS.items() for suffix in suffixes.split()}
+IGNORED = [".git", ".venv", "venv", "node_modules", "__pycache__", ".pytest_cache", ".ser", "dist", "build", ".idea", ".vscode", ".mypy_cache", ".ruff_cache"]
+KIND_OF = {suffix: kind for kind, suffixes in KINDS.items() for suffix in suffixes}
 DUMP_URL = "https://simple.wikipedia.org/wiki/"
 LEAST_ARTICLE = 150
 
@@ -84,13 +86,22 @@ def suggest_titles(titles: DataFrame, query: str, limit: int = 3) -> DataFrame:
     return titles.select("title").distinct().orderBy(F.desc(starts), near, "title").limit(limit)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over all cores if its scan has fewer tasks; for work that costs more than moving its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def walk(spark: SparkSession, folder: str) -> DataFrame:
-    """path, content and kind of all supported files below folder, in order of path, without ignored folders
-    (tested on the part of the path below folder)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    """path, content and kind of all supported files below folder, without ignored folders (tested on the part of the
+    path below folder). Paths are chosen first; only chosen files are read. Spark's file scans pass over empty files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     inner = F.regexp_replace(F.col("path"), "^.*?" + re.escape(folder.rstrip("/").removeprefix("file:")) + "/", "")
     skipped = F.arrays_overlap(F.split(inner, "/"), F.array(*map(F.lit, IGNORED)))
-    return files.withColumn("kind", kind_of("path")).filter(F.col("kind").isNotNull() & ~skipped).orderBy("path")
+    # Without its content a file is only listed, so the choice costs no reading.
+    paths = [r["path"] for r in files.select("path").filter(kind_of("path").isNotNull() & ~skipped).orderBy("path").toLocalIterator()]
+    chosen = spark.read.format("binaryFile").load(paths) if paths else files.limit(0)
+    return chosen.select("path", "content").withColumn("kind", kind_of("path"))
 
 
 def decoded(content: Column) -> Column:
@@ -100,10 +111,7 @@ def decoded(content: Column) -> Column:
 
 def text_documents(files: DataFrame) -> DataFrame:
     """Text, Markdown and code files (path, content, kind) to documents."""
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    stem, suffix = F.regexp_replace(name, r"\.[^.]*$", ""), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    url = F.when(F.col("path").startswith("file:"), F.regexp_replace("path", "^file:/+", "file:///")).otherwise(F.col("path"))
-    files = files.select(url.alias("url"), name.alias("name"), T.pretty_title(stem).alias("pretty"), suffix.alias("suffix"), "kind", decoded(F.col("content")).alias("raw"))
+    files = _named(files).withColumn("raw", decoded(F.col("content")))
     markdown, code = F.col("suffix").isin(".md", ".markdown", ".mdx"), F.col("kind") == "code"
     first = T.strip(F.regexp_extract("raw", r"(?m)^#\s+(.+)$", 1))
     title = F.when(F.col("suffix") == ".py", F.col("name")).when(markdown & (first != ""), first).otherwise(F.col("pretty"))
@@ -111,8 +119,9 @@ def text_documents(files: DataFrame) -> DataFrame:
     return files.select(*document(T.uuid5("url", uuid.NAMESPACE_URL), title, F.col("url"), F.concat(head, "raw"), F.col("kind"), True))
 
 
-def table_sections(rows: DataFrame, columns: list[str], order: list[str], title: str, batch: int = 30) -> DataFrame:
-    """section, text: rows as Markdown tables of `batch` rows, blank rows left out before numbering.
+def table_sections(rows: DataFrame, columns: list[str], order: list[str], title: str, batch: int = 30, names: list[str] | None = None) -> DataFrame:
+    """section, text: rows as Markdown tables of `batch` rows, blank rows left out before numbering. names: what the
+    header shows for columns.
 
     Row numbers are global by `order`; the batches themselves are grouped in parallel.
     """
@@ -123,7 +132,7 @@ def table_sections(rows: DataFrame, columns: list[str], order: list[str], title:
     rows = rows.withColumn("n", F.row_number().over(W.orderBy(*order))).withColumn("section", F.floor((F.col("n") - 1) / batch) + 1)
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", T.markdown_row(F.col("cells")).alias("line")))), lambda x: x["line"]), "\n")
     parts = rows.groupBy("section").agg(F.min("n").alias("a"), F.max("n").alias("b"), lines.alias("lines"))
-    head = T.markdown_row(F.array(*map(F.lit, columns)))
+    head = T.markdown_row(F.array(*map(F.lit, columns if names is None else names)))
     rule = T.markdown_row(F.array(*[F.lit("---")] * len(columns)))
     return parts.select("section", F.concat(F.lit("## Rows "), F.col("a").cast("string"), F.lit("–"), F.col("b").cast("string"), F.lit("\n\n"), head, F.lit("\n"), rule, F.lit("\n"), "lines", F.lit("\n")).alias("text"))
 
@@ -144,14 +153,67 @@ def read_table(spark: SparkSession, path: str, batch: int = 30) -> DataFrame:
         names.pop()
     data = raw.select(*(F.col(c).alias(str(i)) for i, c in enumerate(raw.columns[: len(names)]))).withColumn("__row", F.monotonically_increasing_id())
     data = data.filter("__row > 0")
-    sections = table_sections(data, [str(i) for i in range(len(names))], ["__row"], title, batch)
-    shown = F.replace(F.col("text"), T.markdown_row(F.array(*(F.lit(str(i)) for i in range(len(names))))), F.lit("| " + " | ".join(names) + " |"))
-    ordered = F.array_sort(F.collect_list(F.struct("section", shown.alias("text"))))
+    sections = table_sections(data, [str(i) for i in range(len(names))], ["__row"], title, batch, names)
+    ordered = F.array_sort(F.collect_list(F.struct("section", "text")))
     body = sections.agg(F.transform(ordered, lambda x: x["text"]).alias("parts"))
-    text = F.array_join(F.concat(F.array(F.lit(f"# Dataset: {title}\n\nSchema: {', '.join(names)}")), F.col("parts")), "\n\n")
+    text = F.array_join(F.concat(F.array(F.lit(f"# Dataset: {title}\n\nSchema: {', '.join(names)}\n")), F.col("parts")), "\n\n")
     return body.select(*document(ident, F.lit(title), F.lit(url), text, "table", True))
 
 
+def table_text(content: str, title: str, separator: str, batch: int = 30) -> str:
+    """A CSV or TSV file as Markdown tables of `batch` rows, each under its numbers and the header."""
+    rows = csv.reader(io.StringIO(content), delimiter=separator)
+    names = next(rows, None)
+    if names is None:
+        return f"# Empty Table: {title}\n"
+    names = [n.strip() for n in names]
+    line = lambda cells: f"| {' | '.join(cells)} |"
+    head = f"{line(names)}\n{line(['---'] * len(names))}"
+    full = [line([*(c.strip() for c in r[: len(names)]), *[""] * (len(names) - len(r))]) for r in rows if any(c.strip() for c in r)]
+    parts = [(at, full[at : at + batch]) for at in range(0, len(full), batch)]
+    body = [f"## Rows {at + 1}–{at + len(part)}\n\n{head}\n" + "\n".join(part) + "\n" for at, part in parts]
+    return "\n\n".join([f"# Dataset: {title}\n\nSchema: {', '.join(names)}\n", *body])
+
+
+def table_documents(files: DataFrame) -> DataFrame:
+    """CSV and TSV files (path, content, kind) to documents, many files in parallel, each whole in one task;
+    `read_table` splits one large file."""
+    files = _named(files.filter("kind = 'table'")).select("url", "pretty", "suffix", decoded(F.col("content")).alias("raw"))
+
+    def rows(batches):
+        for pdf in batches:
+            text = [table_text(c, t, "\t" if s == ".tsv" else ",") for c, t, s in zip(pdf["raw"], pdf["pretty"], pdf["suffix"], strict=True)]
+            yield pdf[["url", "pretty"]].assign(text=text)
+
+    made = files.mapInPandas(rows, "url string, pretty string, text string")
+    return made.select(*document(T.uuid5("url", uuid.NAMESPACE_URL), F.col("pretty"), F.col("url"), F.col("text"), "table", True))
+
+
+def _named(files: DataFrame) -> DataFrame:
+    """files with url, name, pretty (the stem as a title) and suffix."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    url = F.when(F.col("path").startswith("file:"), F.regexp_replace("path", "^file:/+", "file:///")).otherwise(F.col("path"))
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    return files.select("*", url.alias("url"), name.alias("name"), T.pretty_title(F.regexp_replace(name, r"\.[^.]*$", "")).alias("pretty"), suffix.alias("suffix"))
+
+
+def file_documents(files: DataFrame, extractors: dict[str, Callable[[bytes, str], str | None]] | None = None) -> DataFrame:
+    """Files of all kinds (path, content, kind) to documents. PDF, image and audio files need an extractor of their
+    kind; without it such a file still gives a document that says that nothing could be read."""
+    docs = text_documents(files.filter("kind IN ('text', 'code')")).unionByName(table_documents(files))
+    for kind in ("pdf", "image", "audio"):
+        docs = docs.unionByName(extracted(files, kind, (extractors or {}).get(kind, lambda content, path: None)))
+    return docs
+
+
+def scanned_pages(pages: DataFrame, title_col: str = "title") -> DataFrame:
+    """path, text of recognised page texts (path, title, page, text): `## Page i` above each page that has text."""
+    part = F.concat(F.lit("## Page "), F.col("page").cast("string"), F.lit("\n\n"), T.strip("text"), F.lit("\n"))
+    found = F.filter(F.array_sort(F.collect_list(F.struct("page", F.when(T.strip(F.coalesce("text", F.lit(""))) != "", part).alias("part")))), lambda x: x["part"].isNotNull())
+    head = F.array(F.concat(F.lit("# Scanned Document: "), F.min(title_col), F.lit("\n")))
+    return pages.groupBy("path").agg(F.array_join(F.concat(head, F.transform(found, lambda x: x["part"])), "\n").alias("text"))
+
+
 def extracted(files: DataFrame, kind: str, extract: Callable[[bytes, str], str | None]) -> DataFrame:
     """PDF, image and audio files through a model that the caller brings: extract(content, path) -> text.
 
@@ -183,8 +245,13 @@ def has_text_layer(pages: DataFrame, sample: int = 3, least: int = 50) -> DataFr
     return pages.groupBy("path").agg((n > least).alias("digital"))
 
 
-def resolve(spark: SparkSession, target: str, get: Callable[[str], str] | None = None, article: Callable[[str], tuple[str, str] | None] | None = None) -> tuple[str, DataFrame | None]:
-    """(kind, documents) of a URL, a folder, a file, or an article's title, in this order."""
+def resolve(
+    spark: SparkSession, target: str, get: Callable[[str], str] | None = None, article: Callable[[str], tuple[str, str] | None] | None = None,
+    *, extractors: dict[str, Callable[[bytes, str], str | None]] | None = None, titles: DataFrame | None = None,
+) -> tuple[str, DataFrame | None]:
+    """(kind, documents) of a URL, a folder, a file, or an article's title, in this order. Where no article is found,
+    kind is suggestions and the rows are up to three of titles, or else not_found."""
+    target = target.strip().strip("'\"")
     if re.match(r"https?://", target):
         if get is None:
             return "not_found", None
@@ -193,19 +260,20 @@ def resolve(spark: SparkSession, target: str, get: Callable[[str], str] | None =
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(hadoop):
         if fs.getFileStatus(hadoop).isDirectory():
-            docs = text_documents(walk(spark, target).filter(F.col("kind").isin("text", "code")))
-            return ("empty_directory" if docs.isEmpty() else "directory"), docs
+            files = walk(spark, target)
+            return ("empty_directory" if files.select("path").isEmpty() else "directory"), file_documents(files, extractors)
         kind = KIND_OF.get(PurePosixPath(target).suffix.lower())
         if kind is None:
             raise ValueError(f"unsupported file type: {target}")
         if kind == "table":
             return "file", read_table(spark, target)
-        if kind in ("pdf", "image", "audio"):
+        if kind in ("pdf", "image", "audio") and kind not in (extractors or {}):
             raise ValueError(f"{kind} files need an extractor: see extracted()")
-        return "file", text_documents(spark.read.format("binaryFile").load(target).select("path", "content").withColumn("kind", F.lit(kind)))
+        return "file", file_documents(spark.read.format("binaryFile").load(target).select("path", "content").withColumn("kind", F.lit(kind)), extractors)
     found = article(target) if article else None
     if found is None:
-        return "not_found", None
+        near = suggest_titles(titles, target) if titles is not None else None
+        return ("not_found", None) if near is None or near.isEmpty() else ("suggestions", near)
     title, text = found
     row = spark.createDataFrame([(title, text)], "title string, text string")
     return "wiki", row.select(*document(T.uuid5("title"), F.col("title"), T.page_url(DUMP_URL, "title"), F.col("text"), "wiki", False))

@@ -31,7 +31,7 @@ def index_stream(docs: DataFrame, table: str, checkpoint: str, *, embedder: Call
         current = store.current_version(spark, table)
         if current and skip_unchanged:
             batch = store.changed_documents(batch, spark.read.parquet(current))
-        points = store.build_points(chunking.chunk_documents(batch, size, overlap), embedder)
+        points = store.build_points(chunking.chunk_sources(batch, size, overlap), embedder)
         store.upsert_table(spark, table, points)
         if on_progress:
             on_progress(number, spark.read.parquet(store.current_version(spark, table)).count())

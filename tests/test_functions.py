@@ -30,7 +30,7 @@ def test_wikitext(spark):
 
 
 def test_unescape(spark):
-    for x in ("&copy;&nbsp;&quot;x&quot;", "&amp;amp;", "&bogus; &", "&#233;&#x1F600;", "no entity"):
+    for x in ("&copy;&nbsp;&quot;x&quot;", "&amp;amp;", "&bogus; &", "&#233;&#x1F600;", "no entity", "&copy 2024", "caf&eacute", "a &amp b", "&#65", "&#150;", "&#x80;", "&notit; &notin;", "&#0; &#xD800; &#99999999;", "&#13;x&#1;y", "&NotEqualTilde;&;&#;&#x;"):
         assert value(spark, T.unescape("t"), t=x) == html.unescape(x), x
 
 
@@ -39,6 +39,7 @@ def test_headings(spark):
     assert head("## A b ") == (2, "A b")
     assert head("=== C ===") == (3, "C")
     assert head("====") == (2, "")
+    assert head("\u3000## wide\u2003") == (2, "wide") and head("\x1c= x =") == (1, "x")
     assert head("#none") is None and head("") is None and head("# comment") == (1, "comment")
 
 
@@ -52,7 +53,7 @@ def test_titles_and_rows(spark):
 def test_scores(spark):
     assert value(spark, S.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0)))) == 1 / 2**0.5
     assert value(spark, S.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) is None
-    assert value(spark, S.reciprocal_rank_fusion(F.lit(1), F.lit(1), F.lit(9))) <= 1 / 61 + 1e-12
+    assert value(spark, S.reciprocal_rank_fusion(F.lit(1), F.lit(1), F.lit(9), F.lit(9))) <= 1 / 61 + 1e-12
     assert [value(spark, S.band(F.lit(x))) for x in (0.7, 0.5, 0.49)] == ["green", "yellow", "red"]
     assert value(spark, S.title_matches(F.lit(""), F.array(F.lit("x")))) is True
 
