@@ -1,30 +1,36 @@
 """Mixing sources to target weights (native): Sainte-Laguë quotas of equal-token blocks per shard.
 
-1. Words per document; sums per source. Targets are shares by weight, stopped at max_repeats times
+1. Words per document, written once; sums per source. Targets are shares by weight, stopped at max_repeats times
    the source's own words, the excess shared again by weight (water level over the sources).
 2. The mix is cut into `shards` shards of equally many blocks of `block` words. Sainte-Laguë's
    highest quotients give every source its blocks for the first 1, 2, ... shards together; the
    method is house monotone, so the differences are each shard's quotas.
-3. A source is a stream of its documents in seeded order. Whole passes over it are taken first; of
-   the rest, evenly spread blocks from a seeded start. A document's share is what these blocks cover.
+3. A source is a stream of its documents in seeded order, cut into n blocks. In pass p block j stands at place
+   (A * j + shift) mod n of a seeded order of all blocks (A is a prime above n, the shift is drawn by seed, source and
+   pass), and is the source's draw number p * n + place. A shard's quota is filled with the source's next draws, so
+   every shard has exactly its quota of seeded blocks, and a block comes again only when all others have come.
+   A source's last block may be shorter; max_repeats passes bound the draws.
 
-Places in a source's stream come from sums over hashed buckets of documents and then inside a
-bucket, so no task holds a source. What stands in one window is one row a source (and shard).
+Places in a source's stream come from sums over hashed buckets of documents and then inside a bucket, so no task holds
+a source; rows that repeat id and size are counted first, salted, and numbered inside their salt. What stands in one
+window is one row a source (and shard).
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, ordered
-last; repeated rows and ids are separate documents of the stream; sources without words have target
-0; an empty table gives an empty result; other columns are ignored.
+last; null ids and repeated rows are separate documents of the stream, and rows of one id and size may change places;
+sources without words have target 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANK, table, text_of
+from .common import BLANK, table, text_of, written
 
 DOCS_PER_BUCKET = 4096
+#: A prime above every source's number of blocks, so that it divides none.
+PRIME = 2**61 - 1
 
 
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
@@ -67,82 +73,90 @@ def shard_quotas(targets: DataFrame, *, block: int, shards: int) -> DataFrame:
     return first.select("source", "place", (F.col("h") - 1).alias("shard"), (F.col("first") - F.coalesce(F.lag("first").over(by_shard), F.lit(0))).alias("blocks"))
 
 
+def _numbered(sized: DataFrame, seed: int) -> DataFrame:
+    """sized with lo, the words of its source's stream before it. sized: place, n_buckets, doc_id, size, row."""
+    rows = sized.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.col("n_buckets")))
+    # Rows of one key and size follow each other; a key that most rows have is one row here.
+    same = rows.groupBy("place", "bucket", "key", "size").agg(F.count("*").alias("n"))
+    ahead = W.partitionBy("place").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    buckets = same.groupBy("place", "bucket").agg(F.sum(F.col("n") * F.col("size")).alias("words"))
+    buckets = buckets.select("place", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("bucket_start"))
+    inside = W.partitionBy("place", "bucket").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
+    same = same.withColumn("inside", F.coalesce(F.sum(F.col("n") * F.col("size")).over(inside), F.lit(0))).join(buckets, ["place", "bucket"])
+    same = same.select("place", "key", "size", (F.col("bucket_start") + F.col("inside")).alias("start"), F.ceil(F.col("n") / DOCS_PER_BUCKET).alias("salts"))
+    rows = rows.join(same, ["place", "key", "size"]).withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")))
+    own = ["place", "key", "size", "salt"]
+    salted = W.partitionBy("place", "key", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+    salts = rows.filter("salts > 1").groupBy(*own).agg(F.count("*").alias("n"))
+    salts = salts.select(*own, F.coalesce(F.sum("n").over(salted), F.lit(0)).alias("before"))
+    rows = rows.join(salts, own, "left").withColumn("number", F.row_number().over(W.partitionBy(*own).orderBy("row")) - 1 + F.coalesce("before", F.lit(0)))
+    return rows.withColumn("lo", F.col("start") + F.col("number") * F.col("size")).drop("key", "bucket", "start", "salts", "salt", "before", "number")
+
+
+def _draws(block: int, passes: int) -> Column:
+    """array<struct<block, draw, words>>: the document's blocks in every pass, as numbers of draws (in decimals: the
+    products pass 2**63), those that the source's quota reaches."""
+    big = "DECIMAL(38, 0)"
+    at = lambda p: f"CAST({p} AS BIGINT) * n_blocks + CAST((CAST({PRIME} AS {big}) % n_blocks * j + shifts[{p}]) % n_blocks AS BIGINT)"
+    words = f"CAST(least(hi, (j + 1) * {block}) - greatest(lo, j * {block}) AS BIGINT)"
+    of = f"transform(sequence(lo DIV {block}, (hi - 1) DIV {block}), j -> array({', '.join(f'struct(j AS block, {at(p)} AS draw, {words} AS words)' for p in range(passes))}))"
+    return F.expr(f"IF(size > 0, filter(flatten({of}), d -> d.draw < quota), CAST(array() AS array<struct<block: bigint, draw: bigint, words: bigint>>))")
+
+
 def mix_sources(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, block: int = 64, shards: int = 16, seed: int = 17, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, passes, and the words [lo, hi) of
-    its stream with the source's `step`, `chosen` and `phase` of further blocks; taken = words taken.
-
-    Block j of the source (words j*block to (j+1)*block of its stream) is chosen once more if
-    floor((j+1+phase)*chosen/n) > floor((j+phase)*chosen/n); phase is seeded and n the blocks of a pass.
-    The columns named in keep come along as the struct `row`.
-    """
-    text = text_of("text")
-    carried = F.struct(*keep).alias("row") if keep else F.lit(None).cast("string").alias("row")
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), carried)
-    sized = docs.withColumn("size", F.size(F.array_remove(F.split(text, BLANK, -1), "")).cast("long")).drop("text")
+    """One row per document: doc_id, size, source, source_size, target, its words [lo, hi) of its source's stream,
+    draws (block, draw, words of the document in it), quotas (the source's, by shard), by_shard (words that each shard
+    takes of the document) and taken, their sum. The columns named in keep come along as the struct `kept`."""
+    carried = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept") if keep else F.lit(None).cast("string").alias("kept")
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"), carried)
+    size = F.size(F.array_remove(F.split(text_of("text"), BLANK, -1), "")).cast("long")
+    sized = written(docs.select("doc_id", "source", size.alias("size"), "kept", F.monotonically_increasing_id().alias("row")), "sizes")
     targets = source_targets(sized, weights=weights, max_repeats=max_repeats)
-    quotas = shard_quotas(targets, block=block, shards=shards).groupBy("place").agg(F.sum("blocks").alias("blocks"))
-    plan = targets.join(quotas, "place").withColumn("n_buckets", F.ceil(F.col("n_docs") / DOCS_PER_BUCKET))
-    key = F.xxhash64(F.lit(seed), "doc_id")
-    placed = sized.join(plan, sized["source"].eqNullSafe(plan["source"]), "inner").drop(plan["source"])
-    placed = placed.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.col("n_buckets")))
-    buckets = placed.groupBy("place", "bucket").agg(F.sum("size").alias("bucket_size"))
-    ahead = W.partitionBy("place").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    buckets = buckets.select("place", "bucket", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("bucket_start"))
-    inside = W.partitionBy("place", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = placed.join(buckets, ["place", "bucket"]).withColumn("lo", F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    # The quota in words, at most what max_repeats passes give; whole passes, then blocks of one more.
-    wanted = F.least(F.col("blocks") * block, F.col("source_size") * max_repeats)
-    placed = placed.withColumn("n_blocks", F.ceil(F.col("source_size") / block)).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(0))
-    rest = wanted - F.col("passes") * F.col("source_size")
-    placed = placed.withColumn("chosen", F.least(F.round(rest / block).cast("long"), F.col("n_blocks")))
-    placed = placed.withColumn("phase", F.when(F.col("n_blocks") > 0, F.pmod(F.xxhash64(F.lit(seed + 2), "place"), F.col("n_blocks"))).otherwise(0))
-    return placed.withColumn("hi", F.col("lo") + F.col("size")).withColumn("block", F.lit(block)).withColumn("taken", F.col("passes") * F.col("size") + _covered(block))
-
-
-def _upto_sql(x: str) -> str:
-    """In decimals: blocks times blocks pass 2**63."""
-    return f"CAST({x} AS DECIMAL(19, 0)) * CAST(chosen AS DECIMAL(19, 0)) DIV CAST(n_blocks AS DECIMAL(19, 0))"
-
-
-def _chosen_sql(j: str) -> str:
-    return f"({_upto_sql(f'({j} + 1 + phase)')}) - ({_upto_sql(f'({j} + phase)')})"
-
-
-def _before(j: str):
-    """Chosen blocks among the first j of a pass."""
-    return F.expr(_upto_sql(f"({j} + phase)")) - F.expr(_upto_sql("phase"))
-
-
-def _covered(block: int):
-    """Words of [lo, hi) in chosen blocks: whole blocks by counting, the two at the ends by their overlap."""
-    lo, hi = F.col("lo"), F.col("hi")
-    first, last = F.expr(f"lo DIV {block}"), F.expr(f"greatest(hi - 1, 0) DIV {block}")
-    at_first, at_last = F.expr(_chosen_sql(f"lo DIV {block}")), F.expr(_chosen_sql(f"(hi - 1) DIV {block}"))
-    ends = at_first * ((first + 1) * block - lo) + at_last * (hi - last * block)
-    middle = (_before(f"((hi - 1) DIV {block})") - _before(f"(lo DIV {block} + 1)")) * block
-    return F.when((F.col("size") == 0) | (F.col("chosen") == 0), 0).when(first == last, at_first * (hi - lo)).otherwise(ends + middle).cast("long")
+    quotas = shard_quotas(targets, block=block, shards=shards).groupBy("place").agg(F.array_sort(F.collect_list(F.struct("shard", "blocks"))).alias("q"))
+    plan = targets.join(quotas.select("place", F.transform("q", lambda x: x["blocks"]).alias("quotas")), "place")
+    plan = plan.withColumn("n_buckets", F.ceil(F.col("n_docs") / DOCS_PER_BUCKET)).withColumn("n_blocks", F.ceil(F.col("source_size") / block))
+    upto = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda h: F.aggregate(F.slice("quotas", 1, h), F.lit(0).cast("long"), lambda a, x: a + x))
+    plan = plan.withColumn("upto", upto).withColumn("quota", F.least(F.get("upto", F.lit(shards - 1)), F.col("n_blocks") * max_repeats))
+    plan = plan.withColumn("shifts", F.array(*(F.pmod(F.xxhash64(F.lit(seed + 2), "place", F.lit(p)), F.greatest("n_blocks", F.lit(1))) for p in range(max_repeats))))
+    rows = sized.join(plan, sized["source"].eqNullSafe(plan["source"]), "inner").drop(plan["source"])
+    rows = _numbered(rows, seed).withColumn("hi", F.col("lo") + F.col("size"))
+    # Bound in an array of one element, so that the draws are made once.
+    total = lambda d: F.aggregate(d, F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    shard = lambda x: F.size(F.filter("upto", lambda u: u <= x["draw"]))
+    placed = lambda d: F.transform(d, lambda x: F.struct(shard(x).alias("shard"), x["words"].alias("words")))
+    of = lambda d: F.filter(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda h: F.struct(h.alias("shard"), total(F.filter(d, lambda x: x["shard"] == h)).alias("words"))), lambda x: x["words"] > 0)
+    rows = rows.withColumn("draws", _draws(block, max_repeats))
+    rows = rows.withColumn("by_shard", F.get(F.transform(F.array(placed(F.col("draws"))), of), F.lit(0))).withColumn("taken", total(F.col("draws")))
+    names = ("doc_id", "source", "size", "source_size", "target", "lo", "hi", "n_blocks", "quota", "quotas", "draws", "by_shard", "taken")
+    return rows.select(*names, "kept")
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself, with the columns of docs: a document once for each whole pass over its source, and
-    once more with the words that the chosen blocks cover (white space before a word goes with it)."""
+    """The mix itself, with the columns of docs: a document once for each time that all its blocks come, and
+    once more with the words of its blocks that come once more (white space before a word goes with it)."""
     placed = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, keep=tuple(docs.columns), **how)
     block = int(how.get("block", 64))
-    part = F.col("taken") - F.col("passes") * F.col("size")
-    first = F.expr(f"lo DIV {block}")
-    chosen = F.expr(f"transform(sequence(lo DIV {block}, greatest(hi - 1, lo) DIV {block}), j -> {_chosen_sql('j')})")
-    placed = placed.withColumn("part", part).withColumn("blocks_chosen", F.when(part > 0, chosen))
-    words = F.regexp_extract_all(text_of(f"row.`{text_col}`"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    some = F.filter(words, lambda _, i: F.get("blocks_chosen", (F.floor((F.col("lo") + i) / block) - first).cast("int")) > 0)
-    text = F.col(f"row.`{text_col}`")
-    whole = F.array_repeat(text, F.col("passes").cast("int"))
-    texts = F.when(F.col("part") > 0, F.concat(whole, F.array(F.regexp_replace(F.array_join(some, ""), r"^[\x20\x09-\x0D]+", "")))).otherwise(whole)
-    rows = placed.select("row", F.explode(texts).alias("mixed"))
-    return rows.select(*(F.col("mixed").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    # How often each of the document's blocks comes, in order of the blocks.
+    first, last = F.expr(f"lo DIV {block}"), F.expr(f"greatest(hi - 1, lo) DIV {block}")
+    times = F.transform(F.sequence(first, last), lambda j: F.size(F.filter("draws", lambda d: d["block"] == j)))
+    placed = placed.filter("taken > 0").withColumn("times", times).withColumn("whole", F.array_min("times"))
+    words = F.regexp_extract_all(text_of(f"kept.`{text_col}`"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    block_of = lambda i: (F.floor((F.col("lo") + i) / block) - first).cast("int")
+
+    def part(n: Column) -> Column:
+        """The words of blocks that come more than n times."""
+        some = F.filter(words, lambda _, i: F.get("times", block_of(i)) > n)
+        return F.regexp_replace(F.array_join(some, ""), r"^[\x20\x09-\x0D]+", "")
+
+    own = F.col(f"kept.`{text_col}`")
+    more = F.array_max("times") - F.col("whole")
+    texts = F.concat(F.array_repeat(own, F.col("whole")), F.when(more > 0, F.transform(F.sequence(F.lit(0), more - 1), lambda i: part(F.col("whole") + i))).otherwise(F.array().cast("array<string>")))
+    rows = placed.select("kept", F.explode(texts).alias("mixed"))
+    return rows.select(*(F.col("mixed").alias(c) if c == text_col else F.col(f"kept.`{c}`").alias(c) for c in docs.columns))
 
 
 def op10_source_mix(spark, sf_dir) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "by_shard")

@@ -153,6 +153,63 @@ def test_mixing(spark, docs, edges, empty):
     assert got == mixing.mix_sources(small, block=16, shards=4).agg(F.sum("taken")).first()[0]
 
 
+def plain_mix(rows, targets, block, shards, seed_of):
+    """taken and words by shard of (doc_id, size, source) rows in the order of their streams; seed_of: shifts of a source's passes."""
+    order = sorted(targets, key=lambda s: (s is None, s or ""))
+    size, total = Counter(), sum(targets.values())
+    for _, n, source in rows:
+        size[source] += n
+    seats = [round(round(total / block) * h / shards) for h in range(1, shards + 1)]
+    quotients = sorted((-targets[s] / (2 * m + 1), i, m, s) for i, s in enumerate(order) for m in range(int(targets[s] // block) + shards + 9) if targets[s])
+    firsts = [Counter(q[3] for q in quotients[:n]) for n in seats]
+    out = {}
+    for s in order:
+        n = -(-size[s] // block)
+        upto, shifts, at = [f[s] for f in firsts], seed_of(s), 0
+        for doc, words, source in rows:
+            if source != s:
+                continue
+            got = Counter()
+            for w in range(at, at + words):
+                for p in range(3):
+                    draw = p * n + (mixing.PRIME % n * (w // block) + shifts[p]) % n
+                    if draw < min(upto[-1], 3 * n):
+                        got[sum(u <= draw for u in upto)] += 1
+            out[doc] = dict(got)
+            at += words
+    return out, {s: [f[s] for f in firsts] for s in order}
+
+
+def test_mix_by_plain_sainte_lague(spark, docs):
+    df = docs.withColumn("source", F.when(F.col("doc_id") % 50 == 0, F.lit(None)).otherwise(F.col("source")))
+    rows = mixing.mix_sources(df, block=16, shards=5).orderBy("lo").collect()
+    targets = {r["source"]: r["target"] for r in rows}
+    place = {s: i for i, s in enumerate(sorted(targets, key=lambda s: (s is None, s or "")))}
+    blocks = {r["source"]: r["n_blocks"] for r in rows}
+    shift = spark.createDataFrame([(i, p, blocks[s]) for s, i in place.items() for p in range(3)], "place int, p int, n long")
+    shift = {(r["place"], r["p"]): r["x"] for r in shift.select("place", "p", F.expr("pmod(xxhash64(19, place, p), n)").alias("x")).collect()}
+    want, quotas = plain_mix([(r["doc_id"], r["size"], r["source"]) for r in rows], targets, 16, 5, lambda s: [shift[place[s], p] for p in range(3)])
+    held = defaultdict(Counter)
+    for r in rows:
+        got = {x["shard"]: x["words"] for x in r["by_shard"]}
+        assert got == want[r["doc_id"]] and sum(got.values()) == r["taken"]
+        for shard, n in got.items():
+            held[r["source"]][shard] += n
+    for r in rows:  # every shard has its quota of blocks, but for the source's short last block
+        upto = np.cumsum(r["quotas"]).tolist()
+        assert upto == quotas[r["source"]]
+        assert all(abs(held[r["source"]][h] - 16 * q) <= 48 for h, q in enumerate(r["quotas"]) if upto[h] <= 3 * r["n_blocks"])
+    other = mixing.mix_sources(df, block=16, shards=1).agg(F.sum("taken")).first()[0]
+    assert abs(other - sum(r["taken"] for r in rows)) <= 16 * 5 * len(targets)
+
+
+def test_mix_of_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(None if i % 2 else 7, "a b c d e", "s") for i in range(9000)] + [(1, "x " * 50, "t"), (2, None, None)], "doc_id long, text string, source string")
+    rows = mixing.mix_sources(df, block=4).collect()
+    assert len(rows) == 9002 and sorted(r["lo"] for r in rows if r["source"] == "s") == [5 * i for i in range(9000)]
+    assert mixing.mixed_documents(df, block=4).agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] == sum(r["taken"] for r in rows)
+
+
 def test_sainte_lague(spark):
     t = spark.createDataFrame([("a", 530.0, 0), ("b", 240.0, 1), ("c", 230.0, 2)], "source string, target double, place int")
     got = {(r["source"], r["shard"]): r["blocks"] for r in mixing.shard_quotas(t, block=10, shards=2).collect()}
