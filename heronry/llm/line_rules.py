@@ -70,24 +70,27 @@ def repeated_words_any_length(hashes: Column) -> Column:
     return F.get(F.transform(F.array(sorted_pairs), covered), F.lit(0))
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, long_line: int = 300, boilerplate_chars: int = 240) -> Column:
     """True if a line with words breaks the punctuation, navigation or boilerplate rule.
 
+    Lines of long_line characters or more are paragraphs: a sentence's end inside them is enough. Boilerplate phrases
+    mark lines of up to boilerplate_chars characters; in longer ones they may stand in prose.
+
     Cheap tests stand first; the word counts run only on lines that a cheap test marks.
     """
     words = F.regexp_count(line, F.lit(WORD))
     start = F.substring(line, 1, 40)
-    ended = F.right(F.rtrim(line), F.lit(4)).rlike(TERMINAL) | ((F.length(line) >= 300) & line.rlike(r"\p{L}[.!?] "))
+    ended = F.right(F.rtrim(line), F.lit(4)).rlike(TERMINAL) | ((F.length(line) >= long_line) & line.rlike(r"\p{L}[.!?] "))
     symbols = F.regexp_count(line, F.lit(r"[#*$%&|<>]")) * 10 > F.length(line)
     shouts = (line.contains("!!") | line.contains("??")) & (words >= 3) & (F.regexp_count(line, F.lit("[!?]")) * 2 > words)
     capitals = (F.upper(start) == start) & (F.upper(line) == line) & (F.lower(line) != line) & (words >= 5)
     bars = F.regexp_count(line, F.lit(NAVIGATION))
     navigation = line.rlike(NAVIGATION) & (bars >= 2) & (bars * 4 >= words)
-    boilerplate = (F.length(line) <= 240) & line.rlike("(?i)" + "|".join(BOILERPLATE))
+    boilerplate = (F.length(line) <= boilerplate_chars) & line.rlike("(?i)" + "|".join(BOILERPLATE))
     return ~ended | symbols | shouts | capitals | navigation | boilerplate
 
 
-def line_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_loss: float = 0.3) -> DataFrame:
+def line_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_loss: float = 0.3, long_line: int = 300, boilerplate_chars: int = 240) -> DataFrame:
     """One row per document: id, the cleaned text, the counts, base_failed and kept.
 
     n_repeat_words counts words in 3-word windows found twice or more in the text. Kept documents
@@ -108,7 +111,7 @@ def line_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.filter(lines, has_word).alias("word_lines"),
-        F.filter(lines, lambda line: ~has_word(line) | ~line_fails(line)).alias("good_lines"),
+        F.filter(lines, lambda line: ~has_word(line) | ~line_fails(line, long_line, boilerplate_chars)).alias("good_lines"),
     )
     low = F.lit(~0x1FFFF)
     docs = docs.withColumn("order", F.sort_array(F.transform("h", lambda h, i: h.bitwiseAND(low).bitwiseOR(i.cast("long").bitwiseAND(F.lit(0x1FFFF))))))

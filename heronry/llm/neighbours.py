@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by cosine: NN-descent builds a neighbour graph, queries walk it greedily.
 
 1. Equal vectors are one node; of a node's ids only the smallest k + 1 can ever be results, so these are kept
-   (the limit works before the shuffle). Nodes carry their vector in one byte a component for the search;
-   scores of results come from the original vectors in double precision.
+   (the limit works before the shuffle). Nodes carry their vector with four bytes a component for the search, and
+   similarities are taken in double precision, so near copies keep their order; scores of results come from the
+   original vectors.
 2. First edges: sorted by random projections, blocks of `block` nodes are compared inside, `tables` times.
 3. NN-descent, `rounds` times: every node meets the vectors of its neighbours and of a bounded, seeded
    choice of the nodes that list it (the method's sampling); neighbours of one node are compared with each
@@ -13,8 +14,8 @@
 Every row is in the index. The walk finds most, not all, of the true neighbours; the tests hold recall
 against brute force at 0.9 or more. Memory is bounded: a block, the neighbours of a node, or a beam.
 
-Defined results: vectors that are null, zero, of another length than the longest, or hold null or
-non-finite components take no part, as queries or as candidates; ties go to the smaller id; an id that is
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part, as queries or as
+candidates; vectors shorter than the longest count as ending in zeros; ties go to the smaller id; an id that is
 repeated with equal vectors counts once; fewer candidates than k give fewer rows; an empty table none.
 """
 
@@ -27,25 +28,32 @@ from pyspark.sql import functions as F
 
 from .common import discard, table, written
 
-EDGE = "node long, near long, sim float"
+EDGE = "node long, near long, sim double"
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.int8).reshape(len(raw), -1).astype(np.float32)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(float)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _padded(vectors: list, size: int) -> np.ndarray:
+    """A matrix of the vectors, zeros behind the short ones."""
+    out = np.zeros((len(vectors), size))
+    for row, v in zip(out, vectors, strict=True):
+        row[: len(v)] = v
+    return out
 
 
 def _edges(node, near, sim):
     import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(near, pa.int64()), pa.array(sim, pa.float32())], ["node", "near", "sim"])
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(near, pa.int64()), pa.array(sim, pa.float64())], ["node", "near", "sim"])
 
 
 def usable(rows: DataFrame) -> DataFrame:
     """id, v of rows whose vector can take part."""
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull())
-    rows = rows.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
-    return rows.withColumn("__d", F.lit(rows.agg(F.max(F.size("v"))).first()[0] or 0)).filter(F.size("v") == F.col("__d")).drop("__d")
+    return rows.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
 
 
 def nodes_of(rows: DataFrame, keep: int) -> DataFrame:
@@ -55,16 +63,17 @@ def nodes_of(rows: DataFrame, keep: int) -> DataFrame:
     return rows.withColumn("node", F.min("id").over(W.partitionBy("v"))).select("node", "v", "id")
 
 
-def coded(nodes: DataFrame) -> DataFrame:
-    """node, q: components over the largest, times 127, one byte each."""
+def coded(nodes: DataFrame, size: int) -> DataFrame:
+    """node, q: components over the largest, four bytes each."""
 
     def code(batches):
         import pyarrow as pa
 
         for b in batches:
-            x = np.array([np.asarray(v, float) for v in b.column("v").to_pylist()])
-            q = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8) if len(x) else x
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in q], pa.binary())], ["node", "q"])
+            if b.num_rows:
+                x = _padded(b.column("v").to_pylist(), size)
+                q = (x / np.abs(x).max(axis=1, keepdims=True)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in q], pa.binary())], ["node", "q"])
 
     return nodes.mapInArrow(code, "node long, q binary")
 
@@ -128,7 +137,7 @@ def meetings(graph: DataFrame, degree: int, seed: int) -> DataFrame:
 
 def descend(graph: DataFrame, codes: DataFrame, degree: int, top: int, seed: int) -> DataFrame:
     """One round of NN-descent."""
-    worst = graph.groupBy("node").agg(F.when(F.count("*") >= degree, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
+    worst = graph.groupBy("node").agg(F.when(F.count("*") >= degree, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
     known = meetings(graph, degree, seed).join(codes.join(worst, "node", "left"), "node")
 
     def compare(batches):
@@ -139,7 +148,7 @@ def descend(graph: DataFrame, codes: DataFrame, degree: int, top: int, seed: int
             x = _unit([r[1] for r in rows])
             s = x @ x.T
             np.fill_diagonal(s, -2)
-            limit = np.array([-2 if r[2] is None else r[2] for r in rows], np.float32)
+            limit = np.array([-2 if r[2] is None else r[2] for r in rows])
             best = np.argpartition(-s, min(top, len(rows) - 1), axis=1)[:, :top]
             own = np.take_along_axis(s, best, 1)
             i, j = np.nonzero(own > limit[:, None])
@@ -169,9 +178,11 @@ def descend(graph: DataFrame, codes: DataFrame, degree: int, top: int, seed: int
 def neighbour_graph(codes: DataFrame, *, degree: int = 24, tables: int = 4, block: int = 256, rounds: int = 4, top: int = 16, seed: int = 41) -> DataFrame:
     """node, near, sim: up to `degree` near nodes of every node."""
     n = codes.count()
-    graph = written(best_edges(first_edges(codes, degree, tables, block, n, seed), degree))
+    graph = written(best_edges(first_edges(codes, degree, tables, block, n, seed), degree), "graph")
     for r in range(rounds):
-        graph = written(descend(graph, codes, degree, top, seed + r))
+        after = written(descend(graph, codes, degree, top, seed + r), "graph")
+        discard(graph)
+        graph = after
     return graph
 
 
@@ -181,8 +192,8 @@ def walk(queries: DataFrame, graph: DataFrame, codes: DataFrame, *, degree: int,
     near = best_edges(both, 2 * degree).join(codes.select(F.col("node").alias("near"), "q"), "near")
     links = near.groupBy("node").agg(F.collect_list(F.struct("near", "q")).alias("out"))  # at most 2 * degree
     links = written(links.select("node", F.col("out.near").alias("near"), F.col("out.q").alias("qs")))
-    schema = "query_id long, q binary, nodes array<long>, sims array<float>, done array<boolean>"
-    state = written(queries.select("query_id", "q", F.array("start").alias("nodes"), F.array(F.lit(1.0).cast("float")).alias("sims"), F.array(F.lit(False)).alias("done")))
+    schema = "query_id long, q binary, nodes array<long>, sims array<double>, done array<boolean>"
+    state = written(queries.select("query_id", "q", F.array("start").alias("nodes"), F.array(F.lit(1.0)).alias("sims"), F.array(F.lit(False)).alias("done")))
 
     def chosen(col="done"):
         open_ = F.filter(F.sequence(F.lit(0), F.size("nodes") - 1), lambda i: ~F.get("done", i))
@@ -204,18 +215,21 @@ def walk(queries: DataFrame, graph: DataFrame, codes: DataFrame, *, degree: int,
             sims.update(zip(found, (_unit(list(found.values())) @ query).tolist(), strict=True))
         best = sorted(sims, key=lambda n: (-sims[n], n))[:beam]
         row = {"query_id": [rows[0]["query_id"]], "q": [rows[0]["q"]], "nodes": [best], "sims": [[sims[n] for n in best]], "done": [[done.get(n, False) for n in best]]}
-        return pa.table(row, schema=pa.schema([("query_id", pa.int64()), ("q", pa.binary()), ("nodes", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32())), ("done", pa.list_(pa.bool_()))]))
+        return pa.table(row, schema=pa.schema([("query_id", pa.int64()), ("q", pa.binary()), ("nodes", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64())), ("done", pa.list_(pa.bool_()))]))
 
     while True:
-        todo = state.select("query_id", "q", F.explode(F.transform(chosen(), lambda i: F.get("nodes", i))).alias("expanded"))
-        todo = written(todo)
+        todo = written(state.select("query_id", "q", F.explode(F.transform(chosen(), lambda i: F.get("nodes", i))).alias("expanded")), "todo")
         if todo.isEmpty():
+            discard(todo, links)
             return state.select("query_id", F.explode("nodes").alias("node"))
         none = lambda t: F.lit(None).cast(t)
-        steps = todo.join(links, F.col("expanded") == F.col("node"), "left").select("query_id", "q", none("array<long>").alias("nodes"), none("array<float>").alias("sims"), none("array<boolean>").alias("done"), "expanded", "near", "qs")
+        steps = todo.join(links, F.col("expanded") == F.col("node"), "left").select("query_id", "q", none("array<long>").alias("nodes"), none("array<double>").alias("sims"), none("array<boolean>").alias("done"), "expanded", "near", "qs")
         held = state.select("*", none("long").alias("expanded"), none("array<long>").alias("near"), none("array<binary>").alias("qs"))
-        moved = held.join(todo.select("query_id").distinct(), "query_id", "left_semi").select(steps.columns).union(steps).groupBy("query_id").applyInArrow(merged, schema)
-        state = written(state.join(todo.select("query_id").distinct(), "query_id", "left_anti").union(moved))
+        asked = todo.select("query_id").distinct()
+        moved = held.join(asked, "query_id", "left_semi").select(steps.columns).union(steps).groupBy("query_id").applyInArrow(merged, schema)
+        after = written(state.join(asked, "query_id", "left_anti").union(moved), "beams")
+        discard(todo, state)
+        state = after
 
 
 def nearest(rows: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, degree: int = 24, beam: int = 300, step: int = 30, **how) -> DataFrame:
@@ -223,7 +237,8 @@ def nearest(rows: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: st
     rows = usable(rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")))
     members = written(nodes_of(rows, k + 1))
     reps = members.filter("id = node").select("node", "v")
-    codes = written(coded(reps))
+    size = members.agg(F.max(F.size("v"))).first()[0] or 0
+    codes = written(coded(reps, size))
     graph = neighbour_graph(codes, degree=degree, **how)
     asked = rows.filter(is_query).select(F.col("id").alias("query_id"), "v").distinct()
     asked = written(asked.join(reps, "v").select("query_id", "v", "node"))
@@ -235,7 +250,7 @@ def nearest(rows: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: st
 
         for b in batches:
             if b.num_rows:
-                x, y = (np.array([np.asarray(v, float) for v in b.column(c).to_pylist()]) for c in ("qv", "v"))
+                x, y = (_padded(b.column(c).to_pylist(), size) for c in ("qv", "v"))
                 score = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
                 yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("node"), pa.array(score)], ["query_id", "node", "score"])
 

@@ -2,7 +2,7 @@
 over partitions, isotonic calibration.
 
 Statistics come from built-in functions in one scan. The fit takes at most `sample` labelled rows,
-smallest seeded hash first: that bound is a parameter, so what reaches the driver (means, sums of
+smallest seeded hash first (the scan that finds them runs at full width): that bound is a parameter, so what reaches the driver (means, sums of
 size features x features from at most `parts` partitions, one score a calibration row) is bounded
 too. Four fifths of the sample fit the ridge, one fifth the isotonic step function.
 
@@ -92,7 +92,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, par
     labels = labels.filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").cast("double").alias("label"))
     labels = labels.withColumn("key", F.xxhash64(F.lit(29), "doc_id")).orderBy("key", "doc_id").limit(sample)
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(labels), "doc_id")
-    rows = written(with_stats(rows, "label", "key").coalesce(parts))
+    rows = written(with_stats(rows, "label", "key").repartition(parts), "sample")
     moments = rows.agg(*(f(c).alias(f"{c}_{f.__name__}") for c in STATS for f in (F.avg, F.stddev_pop)), F.avg("label").alias("share"), F.count("*").alias("n")).first()
     if not moments["n"] or moments["share"] in (0, 1):
         model.values = np.array([0.5 if not moments["n"] else moments["share"]])

@@ -74,7 +74,6 @@ def hot_windows(value: Column, blocked: Column, width: int, hex_bits: float, mix
     span of blocked, array<struct<s,e,v>>, overlaps."""
     gain = F.array(*[F.lit((n + 1) * log2(n + 1) - (n * log2(n) if n else 0.0)) for n in range(width)])
     code = lambda ch: F.instr(F.lit(ALPHABET), ch) - 1
-    at = lambda v, i: F.instr(F.lit(ALPHABET), F.substring(v, i + 1, F.lit(1))) - 1
     threshold = F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(hex_bits)).when(~value.rlike("[0-9]"), F.lit(letter_bits))
     threshold = threshold.when(value.rlike("[+/_=-]"), F.lit(base64_bits)).otherwise(F.lit(mixed_bits))
     codes = F.transform(F.split(value, ""), code)

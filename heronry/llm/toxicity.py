@@ -21,6 +21,7 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import table, text_of
 
@@ -126,7 +127,8 @@ def train(texts: list[str], labels: np.ndarray, *, bits: int = 17, size: int = 8
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 4_000, max_bytes: int = 40_000_000) -> ToxicityModel:
     """docs: doc_id, text. labels: doc_id, label. At most `sample` documents, half of them of label 1 if
-    there are as many, smallest seeded hash first; the driver takes whole texts, none above max_bytes / 40, until max_bytes."""
+    there are as many, smallest seeded hash first; the driver takes whole texts, none above max_bytes / 40 (1 MB), until
+    max_bytes of UTF-8. These bounds hold for the fit alone; every text is scored."""
     labels = labels.filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     labels = labels.withColumn("key", F.xxhash64(F.lit(31), "doc_id"))
     halves = [labels.filter(F.col("label") == y).orderBy("key", "doc_id").limit(sample // 2) for y in (0, 1)]
@@ -135,8 +137,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 4_000, max
         return train([], np.zeros(0))
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(halves[0].union(halves[1])), "doc_id").filter(F.octet_length("text") <= max_bytes // 40)
     texts, marks, held = [], [], 0
-    for r in rows.select("text", "label").toLocalIterator():
-        held += len(r["text"])
+    for r in rows.select("text", "label", F.octet_length("text").alias("bytes")).toLocalIterator():
+        held += r["bytes"]
         if held > max_bytes:
             break
         texts.append(r["text"])
@@ -149,11 +151,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 4_000, max
     return model
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep, and score."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), *, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The columns of keep, whatever their names, and the score as the last column, named score_col."""
     numbers = docs.sparkSession.sparkContext.broadcast(model.table)
     bits, scale, intercept = model.bits, model.scale, model.intercept
-    fields = ", ".join(f"`{n}` {dict(docs.dtypes)[n]}" for n in keep) + ", score double"
+    # Columns go by their places, so no name can clash; the text travels once.
+    sent = [*keep, *([] if text_col in keep else [text_col])]
+    inner = docs.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(sent)))
+    at, n = sent.index(text_col), len(keep)
+    schema = StructType([*inner.schema.fields[:n], StructField("score", DoubleType())])
 
     def scored(batches):
         import pyarrow as pa
@@ -162,11 +168,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
 
         own, known = ToxicityModel(numbers.value, bits, scale, intercept), {}
         for batch in batches:
-            texts = batch.column("__text")
-            scores = [x for at in range(0, len(texts), 256) for x in own.scores(texts.slice(at, 256).to_pylist(), known)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(scores, pa.float64())], [*keep, "score"])
+            texts = batch.column(at)
+            scores = [x for k in range(0, len(texts), 256) for x in own.scores(texts.slice(k, 256).to_pylist(), known)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores, pa.float64())], [*batch.schema.names[:n], "score"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(scored, fields)
+    return inner.mapInArrow(scored, schema).toDF(*keep, score_col)
 
 
 def op3_toxicity(spark, sf_dir) -> DataFrame:

@@ -386,7 +386,7 @@ def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16)).astype(np.float32)
     x[550:] = x[0]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None] + [0.0] * 14), (904, [1.0])]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None] + [0.0] * 14)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
     got = defaultdict(list)
     for r in neighbours.nearest(df, F.col("id") % 50 == 0, degree=12, beam=60, step=10).orderBy("query_id", "rank").collect():
@@ -404,6 +404,35 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def recall(spark, x, ask, **how):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in neighbours.nearest(df, F.col("id") % ask == 0, **how).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = []
+    for q in range(0, len(x), ask):
+        s = u @ u[q]
+        s[q] = -2
+        hits.append(len(got[q] & set(np.lexsort((np.arange(len(x)), -s))[:5].tolist())) / 5)
+    return np.mean(hits)
+
+
+def test_neighbours_in_a_large_group_of_near_copies(spark):
+    """1,200 near copies, which differ by a hundred thousandth, among 800 others: the order inside the group counts."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 24))
+    x[800:] = x[0] + 1e-5 * rng.normal(size=(1200, 24))
+    assert recall(spark, x.astype(np.float32), 50, degree=16, beam=80, step=20) >= 0.9
+
+
+def test_neighbours_of_other_lengths_and_repeats(spark):
+    rows = [(i, [1.0, float(i), 0.5]) for i in range(1, 30)] + [(100, [1.0, 1.0, 0.5, 0.0]), (100, [1.0, 1.0, 0.5, 0.0]), (50, [3.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"]) for r in neighbours.nearest(df, F.col("id") == 100, degree=6, beam=30).orderBy("rank").collect()]
+    assert got[:3] == [(1, 1), (2, 2), (3, 50)] and len(got) == 5
+
+
 def test_quality_and_toxicity(spark, docs, edges):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
