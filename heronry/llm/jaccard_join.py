@@ -44,6 +44,11 @@ def _spans(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)])
 
 
+def _runs(edges: np.ndarray, end: int):
+    """Start and end of each run that begins at an edge; none if there are no edges."""
+    return zip(edges, [*edges[1:], end][: len(edges)], strict=True)
+
+
 def _packed(batches, k: int, buckets: int):
     """Arrow batches of doc_id and text to rows of arrays: documents (bucket -1), and tokens by bucket."""
     import pyarrow as pa
@@ -85,7 +90,7 @@ def _packed(batches, k: int, buckets: int):
         order = np.argsort(bucket, kind="stable")
         tokens, owner, bucket = tokens[order], owner[order], bucket[order]
         edges = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets + 1)))
-        for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
+        for a, b in _runs(edges, len(bucket)):
             own = owner[a:b]
             first = np.flatnonzero(np.diff(own, prepend=-1))
             who = own[first]
@@ -125,7 +130,7 @@ def _shared_tokens(group, buckets: int):
     tokens, classes, sizes, df, place = tokens[order], classes[order], sizes[order], df[order], place[order]
     rows = []
     edges = np.flatnonzero(np.diff(place, prepend=np.uint64(buckets + 1)))
-    for a, b in zip(edges, [*edges[1:], len(place)], strict=True):
+    for a, b in _runs(edges, len(place)):
         first = np.flatnonzero(np.diff(classes[a:b], prepend=~classes[a]))
         counts = np.diff(np.append(first, b - a)).astype(np.int32)
         rows.append((int(place[a]), classes[a:b][first].tobytes(), sizes[a:b][first].tobytes(), counts.tobytes(), tokens[a:b].tobytes(), df[a:b].tobytes()))

@@ -319,6 +319,13 @@ def test_jaccard_join(spark, docs, edges, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_join_without_words_or_shared_shingles(spark):
+    rows = [(i, t) for i, t in enumerate([None, "", " \n"])] + [(10 + i, " ".join(f"w{i}x{j}" for j in range(9))) for i in range(3)]
+    for part in (rows[:3], rows):
+        df = spark.createDataFrame(part, "doc_id long, text string").repartition(3)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()} == jaccard_components(part)
+
+
 def plain_line_dedup(rows, k=10, least=30):
     spots, sets = defaultdict(list), {}
     for doc, text in rows:
