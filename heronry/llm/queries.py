@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, line_rules, mixing, neighbours, packing, quality, secrets, toxicity, training_order
+from . import jaccard_join, line_dedup, line_rules, mixing, neighbours, packing, quality, secrets, sql, toxicity, training_order
 
 QUERIES = {
     "op1_quality_rff": quality.op1_quality_rff,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_source_mix": mixing.op10_source_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_jaccard_join": sql.JACCARD_JOIN, "op9_line_rules": sql.LINE_RULES}
