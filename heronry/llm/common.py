@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +81,31 @@ def words_of(text: Column) -> Column:
 
 
 def in_workers() -> None:
-    """Call at the start of Python work on executors: the libraries' own threads stay off."""
+    """Call at the start of Python work on executors: the libraries' own threads stay off, and large blocks of
+    memory go back to the system when they are freed (where the C library can be told so)."""
     for name in ("TOKENIZERS_PARALLELISM", "OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
         os.environ.setdefault(name, "false" if name.startswith("TOK") else "1")
+    mmap_threshold, trim_threshold = -3, -1
+    if hasattr(libc := ctypes.CDLL(None), "mallopt"):
+        libc.mallopt(mmap_threshold, 1 << 20)
+        libc.mallopt(trim_threshold, 1 << 20)
+
+
+def rest() -> None:
+    """Call at the end of Python work on executors: what is free goes back to the system, as idle workers stay."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidied(work: Callable) -> Callable:
+    """work, a generator function over batches, between in_workers and rest."""
+
+    def run(batches):
+        in_workers()
+        yield from work(batches)
+        rest()
+
+    return run

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
+from .common import discard, rest, table, tidied, written
 from .components import grouped_components
 
 BYTES_PER_BUCKET = 16_000_000
@@ -186,11 +186,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(8, -(-total // BYTES_PER_BUCKET)))
     parts = "bucket int, ids binary, classes binary, sizes binary, counts binary, low binary, high binary"
-    packed = docs.mapInArrow(lambda it: _packed(it, k, buckets), parts)
+    packed = docs.mapInArrow(tidied(lambda it: _packed(it, k, buckets)), parts)
 
     def reduced(key, group):
         if key[0].as_py() >= 0:
             shared = _shared_tokens(group, buckets)
+            rest()
             return shared.append_column("ids", _nothing(len(shared)))
         kept = group.select(["bucket", "classes", "sizes", "counts"])
         return kept.append_column("tokens", _nothing(len(kept))).append_column("df", _nothing(len(kept))).append_column("ids", group.column("ids"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidied, written
 
 PIECES_PER_BUCKET = 8192
 
@@ -55,7 +55,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, *, capacity: int, end_id: int, ke
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types[: len(names)], strict=False)], names)
 
-    return docs.mapInArrow(cut, schema)
+    return docs.mapInArrow(tidied(cut), schema)
 
 
 def plan_sequences(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -175,7 +175,7 @@ def pack_documents(
                 sequence[at], offset[at] = hit[:, 3] + number[at] - hit[:, 1], hit[:, 4]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return pieces.select(*names, F.col("number").cast("long")).mapInArrow(place, schema)
+    return pieces.select(*names, F.col("number").cast("long")).mapInArrow(tidied(place), schema)
 
 
 def _runs(values: np.ndarray):

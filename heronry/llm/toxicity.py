@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table, text_of
+from .common import table, text_of, tidied
 
 EDGES = ".,;:!?\"'()[]{}<>«»“”‘’…*#$%&|"
 CACHED_WORDS = 400_000
@@ -172,7 +172,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
             scores = [x for k in range(0, len(texts), 256) for x in own.scores(texts.slice(k, 256).to_pylist(), known)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores, pa.float64())], [*batch.schema.names[:n], "score"])
 
-    return inner.mapInArrow(scored, schema).toDF(*keep, score_col)
+    return inner.mapInArrow(tidied(scored), schema).toDF(*keep, score_col)
 
 
 def op3_toxicity(spark, sf_dir) -> DataFrame:

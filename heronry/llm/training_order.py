@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidied, written
 
 #: Stands for a null doc_id, the least int64.
 NO_ID = -(2**63)
@@ -74,7 +74,7 @@ def sequences_of(docs: DataFrame, tokenizer: str, *, length: int, end_id: int, b
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "held", "ids"])
 
-    return docs.mapInArrow(cut, "doc_id long, piece int, held int, ids binary")
+    return docs.mapInArrow(tidied(cut), "doc_id long, piece int, held int, ids binary")
 
 
 def training_shards(
@@ -124,7 +124,7 @@ def training_shards(
     parts = min(shards, max(8, -(-shards // 32)))
     slotted = rows.select(slot("file", "row").alias("slot"), "doc_id", "piece", "held", "ids")
     ranges = slotted.repartitionById(parts, F.expr(f"CAST(slot DIV {per_shard} * {parts} DIV {shards} AS INT)")).sortWithinPartitions("slot")
-    return ranges.mapInArrow(bind, "shard long, first_slot long, n_sequences long, stride long, doc_ids array<long>, crc32 long, data binary")
+    return ranges.mapInArrow(tidied(bind), "shard long, first_slot long, n_sequences long, stride long, doc_ids array<long>, crc32 long, data binary")
 
 
 def write_shards(shards: DataFrame, folder: str) -> DataFrame:
