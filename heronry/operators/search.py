@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -166,6 +167,21 @@ def ask(
     return hits.filter(F.col("rank") <= k).select("query_id", "rank", "point_id", "score", "score_kind", *rest)
 
 
+_LOADED: dict = {}
+
+
+class loaded:  # noqa: N801 - used like a function
+    """score_pairs of a model that load() makes: once in a worker, however many tasks it runs."""
+
+    def __init__(self, load: Callable[[], Callable[[list[str], list[str]], list[float]]]):
+        self.load, self.key = load, uuid.uuid4().hex
+
+    def __call__(self, queries: list[str], texts: list[str]) -> list[float]:
+        if self.key not in _LOADED:
+            _LOADED[self.key] = self.load()
+        return _LOADED[self.key](queries, texts)
+
+
 def rerank(hits: DataFrame, score_pairs: Callable[[list[str], list[str]], list[float]], k: int = 5) -> DataFrame:
     """hits (query_id, query, point_id, text, ...) ordered again by the sigmoid of a pair scorer.
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from heronry.functions import text as T
 
@@ -33,6 +35,13 @@ def hashing_embedder(size: int = 64):
     return embed
 
 
+def model_embedder(make: Callable[[], Callable], batch_size: int = 64):
+    """An embedder from a model: make() runs once in a worker and gives a function from an array of texts to a matrix."""
+    from pyspark.ml.functions import predict_batch_udf
+
+    return predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch_size)
+
+
 def latest(points: DataFrame, key: str = "point_id", order: str = "batch") -> DataFrame:
     """The last row of each key; equal batches by the whole row's hash."""
     rest = [c for c in points.columns if c not in (key, order)]
