@@ -75,11 +75,6 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def words_of(text: Column) -> Column:
-    """All words of a text, in order (native)."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-
-
 def in_workers() -> None:
     """Call at the start of Python work on executors: the libraries' own threads stay off, and large blocks of
     memory go back to the system when they are freed (where the C library can be told so)."""
