@@ -110,10 +110,11 @@ def mix_sources(
     """One row per document: doc_id, size, source, source_size, target, its words [lo, hi) of its source's stream,
     draws (block, draw, words of the document in it), quotas (the source's, by shard), by_shard (words that each shard
     takes of the document) and taken, their sum. The columns named in keep come along as the struct `kept`."""
-    carried = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept") if keep else F.lit(None).cast("string").alias("kept")
+    carried = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept") if keep else F.lit(0).alias("kept")
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"), carried)
     size = F.size(F.array_remove(F.split(text_of("text"), BLANK, -1), "")).cast("long")
     sized = written(docs.select("doc_id", "source", size.alias("size"), "kept", F.monotonically_increasing_id().alias("row")), "sizes")
+    kept, sized = sized.select("row", "kept"), sized.drop("kept")
     targets = source_targets(sized, weights=weights, max_repeats=max_repeats)
     quotas = shard_quotas(targets, block=block, shards=shards).groupBy("place").agg(F.array_sort(F.collect_list(F.struct("shard", "blocks"))).alias("q"))
     plan = targets.join(quotas.select("place", F.transform("q", lambda x: x["blocks"]).alias("quotas")), "place")
@@ -131,7 +132,8 @@ def mix_sources(
     rows = rows.withColumn("draws", _draws(block, max_repeats))
     rows = rows.withColumn("by_shard", F.get(F.transform(F.array(placed(F.col("draws"))), of), F.lit(0))).withColumn("taken", total(F.col("draws")))
     names = ("doc_id", "source", "size", "source_size", "target", "lo", "hi", "n_blocks", "quota", "quotas", "draws", "by_shard", "taken")
-    return rows.select(*names, "kept")
+    # The kept columns are not dealt with the rows; they come back at the end, by row.
+    return rows.select(*names, "row").join(kept, "row").drop("row") if keep else rows.select(*names)
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
