@@ -112,6 +112,12 @@ def transfer(source: DataFrame, path: str) -> dict:
     return verify(source, source.sparkSession.read.parquet(path))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark knows."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def verify(source: DataFrame, target: DataFrame) -> dict:
     both = [d.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*source.columns).cast("decimal(20,0)")).alias("h")).first() for d in (source, target)]
     return {"source": both[0]["n"], "target": both[1]["n"], "complete": both[1]["n"] >= both[0]["n"], "same": both[0] == both[1]}

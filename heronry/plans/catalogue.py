@@ -472,9 +472,12 @@ def upsert_last_wins(spark, sf_dir):
 
 @query("SELECT count(*) AS source, count(*) AS target, true AS complete, true AS same FROM documents")
 def transfer_verify(spark, sf_dir):
-    """A table copied to a folder of its own, and read back and compared by counts and row hashes."""
+    """A table copied to a folder of its own (in the shared one, if spark.checkpoint.dir names it), read
+    back, compared by counts and row hashes, and removed."""
     told = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="heronry-transfer-")
-    done = store.transfer(_t(spark, sf_dir, "documents").select("doc_id", "text"), f"{told}/transfer-{uuid.uuid4().hex}")
+    path = f"{told}/transfer-{uuid.uuid4().hex}"
+    done = store.transfer(_t(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    store.remove(spark, path)
     names = ("source", "target", "complete", "same")
     return spark.createDataFrame([tuple(done[c] for c in names)], "source long, target long, complete boolean, same boolean")
 
