@@ -6,7 +6,7 @@ softmax are fitted together by Adam on at most `sample` labelled documents, so m
 most of their vectors with the words they come from.
 
 The fitted model is linear in the vectors, so a bucket needs one number at scoring time: its vector
-times the difference of the two classes' weights. Workers keep the scores of words they have met.
+times the difference of the two classes' weights. Workers score the distinct words of a batch at once.
 
 Defined results: null and empty texts have no words and are scored by the intercept; null labels are
 no labels; a doc_id that is labelled twice counts once (the larger label); without both labels every
@@ -16,32 +16,59 @@ are ignored, so their names cannot clash.
 
 from __future__ import annotations
 
-from zlib import crc32
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import table, text_of, tidied
+from .shingles import mix
 
 EDGES = ".,;:!?\"'()[]{}<>«»“”‘’…*#$%&|"
-CACHED_WORDS = 400_000
 #: Words without a vector that every mean counts besides its own, so a few words decide little.
 PADDING = 10
+#: Bytes of text, and distinct words of it, that are scored at once.
+BYTES_AT_ONCE, WORDS_AT_ONCE = 4_000_000, 8192
+_Q = 0x9E3779B97F4A7C15
+
+
+def hashed_grams(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed places of each word and its character n-grams, one word after the other, and how many each word has.
+
+    A gram's hash is a polynomial of its code points, mixed; all words' grams are taken at once.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    ends = np.cumsum(lengths)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(ends, lengths) - np.arange(len(points))  # to the end of the word
+    powers = [np.uint64(pow(_Q, j, 2**64)) for j in range(5)]
+    whole = np.zeros(len(points) + 1, np.uint64)
+    rising = np.full(len(points), _Q, np.uint64)
+    rising[:1] = 1
+    rising = np.cumprod(rising, dtype=np.uint64)
+    np.cumsum(points * rising, out=whole[1:])
+    falling = np.full(len(points), pow(_Q, -1, 2**64), np.uint64)
+    falling[:1] = 1
+    starts = ends - lengths
+    found = [(whole[ends] - whole[starts]) * np.cumprod(falling, dtype=np.uint64)[starts]]
+    owners = [np.arange(len(words))]
+    for k in (3, 4, 5):
+        at = np.flatnonzero(left >= k)
+        found.append(sum((points[at + j] * powers[j] for j in range(k)), np.full(len(at), k * _Q % 2**64, np.uint64)))
+        owners.append(owner[at])
+    found, owners = np.concatenate(found), np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return (mix(found[order]) >> np.uint64(64 - bits)).astype(np.int64), np.bincount(owners, minlength=len(words))
 
 
 def buckets(word: str, bits: int) -> list[int]:
     """Hashed places of a word and its character n-grams."""
-    marked = f"<{word}>"
-    n = len(marked)
-    mask = (1 << bits) - 1
-    data = marked.encode("utf-8", "surrogatepass")
-    if len(data) == n:  # ASCII: slices of bytes
-        grams = [data[i : i + k] for k in (3, 4, 5) for i in range(n - k + 1)]
-    else:
-        grams = [marked[i : i + k].encode("utf-8", "surrogatepass") for k in (3, 4, 5) for i in range(n - k + 1)]
-    return [crc32(b"w" + data) & mask, *(crc32(g) & mask for g in grams)]
+    return hashed_grams([word], bits)[0].tolist()
+
+
+def _normal(words: list[str]) -> list[str]:
+    return [w.lower().strip(EDGES) for w in words]
 
 
 class ToxicityModel:
@@ -50,23 +77,30 @@ class ToxicityModel:
     def __init__(self, table: np.ndarray, bits: int, scale: float, intercept: float):
         self.table, self.bits, self.scale, self.intercept = table, bits, scale, intercept
 
-    def scores(self, texts, known: dict[str, float]) -> list[float]:
-        """known: the caller's cache of word scores."""
-        values, bits, out = self.table, self.bits, []
-        for text in texts:
-            words = (text or "").split()
-            new = set(words).difference(known)
-            if new:
-                if len(known) + len(new) > CACHED_WORDS:
-                    known.clear()
-                    new = set(words)
-                for w in new:
-                    got = buckets(w.lower().strip(EDGES), bits)
-                    known[w] = float(values[got].sum()) / len(got)
-            mean = sum(map(known.__getitem__, words)) / (len(words) + PADDING)
-            x = self.scale * mean + self.intercept
-            out.append(1 / (1 + np.exp(-min(max(x, -40.0), 40.0))))
-        return out
+    def scores(self, texts) -> np.ndarray:
+        """Scores of an Arrow array of strings. Each distinct word of a part is scored once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // BYTES_AT_ONCE)) + 1).tolist(), len(texts)]
+        out = [np.zeros(0)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            cut = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()).take(pa.array(np.arange(a, b))), ""))
+            offsets = cut.offsets.to_numpy() - (cut.offsets[0].as_py() if len(cut.offsets) else 0)
+            runs = cut.flatten().dictionary_encode()
+            raw = runs.dictionary.to_pylist()
+            of_word = np.zeros(len(raw) + 1)
+            for k in range(0, len(raw), WORDS_AT_ONCE):
+                places, counts = hashed_grams(_normal(raw[k : k + WORDS_AT_ONCE]), self.bits)
+                of_word[k : k + len(counts)] = _segments(self.table[places].astype(float), counts) / counts
+            # A text that ends or begins with white space has empty runs there; these are no words.
+            is_word = np.append(np.fromiter((r != "" for r in raw), float, len(raw)), 0)
+            codes = runs.indices.to_numpy()
+            sums, words = (np.diff(np.append(0, np.cumsum(x[codes]))[offsets]) for x in (np.where(is_word > 0, of_word, 0), is_word))
+            x = np.clip(self.scale * sums / (words + PADDING) + self.intercept, -40, 40)
+            out.append(1 / (1 + np.exp(-x)))
+        return np.concatenate(out)
 
 
 def _segments(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -78,7 +112,11 @@ def train(texts: list[str], labels: np.ndarray, *, bits: int = 17, size: int = 8
     """Words of fewer than min_docs documents teach nothing that would carry over; they only count in the mean."""
     from collections import Counter
 
-    bags = [Counter(w.lower().strip(EDGES) for w in (t or "").split()) for t in texts]
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    cut = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.large_string())).to_pylist()
+    bags = [Counter(_normal([w for w in words if w])) for words in cut]
     spread = Counter(w for bag in bags for w in bag)
     vocab = {w: i for i, w in enumerate(sorted(w for w, n in spread.items() if n >= min_docs))}
     kept = [[(vocab[w], n) for w, n in bag.items() if w in vocab] or [(0, 0)] for bag in bags]
@@ -86,9 +124,8 @@ def train(texts: list[str], labels: np.ndarray, *, bits: int = 17, size: int = 8
     if not vocab or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return ToxicityModel(np.zeros(1 << bits, np.float32), bits, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    word_buckets = [buckets(w, bits) for w in vocab]
-    n_buckets = np.array([len(b) for b in word_buckets])
-    flat, owner = np.concatenate(word_buckets), np.repeat(np.arange(len(vocab)), n_buckets)
+    flat, n_buckets = hashed_grams(list(vocab), bits)
+    owner = np.repeat(np.arange(len(vocab)), n_buckets)
     n_words = np.array([len(k) for k in kept])
     doc_word = np.array([w for k in kept for w, _ in k])
     doc_of = np.repeat(np.arange(len(kept)), n_words)
@@ -166,11 +203,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
 
         from heronry.llm.toxicity import ToxicityModel
 
-        own, known = ToxicityModel(numbers.value, bits, scale, intercept), {}
+        own = ToxicityModel(numbers.value, bits, scale, intercept)
         for batch in batches:
-            texts = batch.column(at)
-            scores = [x for k in range(0, len(texts), 256) for x in own.scores(texts.slice(k, 256).to_pylist(), known)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores, pa.float64())], [*batch.schema.names[:n], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(own.scores(batch.column(at)))], [*batch.schema.names[:n], "score"])
 
     return inner.mapInArrow(tidied(scored), schema).toDF(*keep, score_col)
 
