@@ -61,12 +61,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def grouped_components(
-    rows: DataFrame, verified: Callable[[DataFrame], DataFrame], *, near: Column | None = None, carried: tuple[str, ...] = (), one_first: bool = False
+    rows: DataFrame, verified: Callable[[DataFrame, DataFrame], DataFrame], *, near: Column | None = None, carried: tuple[str, ...] = (), one_first: bool = False
 ) -> DataFrame | None:
     """node, component of the keys that have links, a written table; None without links.
 
-    rows: key, band (longs) and the columns carried. verified takes pairs (a < b) and returns
-    those that are linked, as a written table (a, b). near may rule a pair out by the carried columns (those of the
+    rows: key, band (longs) and the columns carried. verified takes pairs (a < b) and the
+    round's rows, which hold those of all later rounds but the first, and returns the pairs that are linked, as a written
+    table (a, b). near may rule a pair out by the carried columns (those of the
     pivot begin with p_). Every pair of keys that share a band is verified, unless its keys are in one component by then.
 
     The pairs of a band are not all formed. In round 1 every key meets the band's least key (with one_first, in a
@@ -103,7 +104,7 @@ def grouped_components(
         if r == 0:
             pairs = pairs.groupBy("key").agg(F.min("pivot").alias("pivot"))
         pairs = written(pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), "pairs")
-        links = verified(pairs)
+        links = verified(pairs, left)
         discard(pairs)
         if not links.isEmpty():
             after = written(_star(_star(links if edges is None else links.union(edges), large=True), large=False), "edges")

@@ -175,8 +175,9 @@ def linked_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
     side = lambda s: classes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "second", "third", "tokens")))
     both = pairs.join(side("a"), F.col("a") == F.col("class_a")).join(side("b"), F.col("b") == F.col("class_b"))
     both = both.filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+    # 100 * shared >= percent * (n_a + n_b - shared), with shared named once: a filter makes it each time it is named.
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return written(both.filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"), "links")
+    return written(both.filter((100 + percent) * shared >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "links")
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -233,7 +234,7 @@ def _components(classes: DataFrame, percent: int) -> DataFrame | None:
     # The first token that two linked classes share leaves enough tokens behind it in both.
     near = F.least(F.col("n") - F.col("pos"), F.col("p_n") - F.col("p_pos")) * (100 + percent) >= (F.col("n") + F.col("p_n")) * percent
     near = near & (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
-    return grouped_components(lists, lambda pairs: linked_pairs(pairs, classes, percent), near=near, carried=("n", "pos"), one_first=True)
+    return grouped_components(lists, lambda pairs, _: linked_pairs(pairs, classes, percent), near=near, carried=("n", "pos"), one_first=True)
 
 
 def _with_components(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
