@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup, line_rules, mixing, neighbours, packing, quality, secrets, sql, toxicity, training_order
+from . import (
+    byte_pairs, jaccard_join, line_dedup, line_rules, merkle, mixing, neighbours, packing, quality, secrets, spelling, sql, toxicity, training_order,
+)
 
 QUERIES = {
     "op1_quality_rff": quality.op1_quality_rff,
@@ -15,6 +17,12 @@ QUERIES = {
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_line_rules": line_rules.op9_line_rules,
     "op10_source_mix": mixing.op10_source_mix,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_byte_pairs": byte_pairs.op12_byte_pairs,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
-ORACLES = {"op8_jaccard_join": sql.JACCARD_JOIN, "op9_line_rules": sql.LINE_RULES}
+ORACLES = {
+    "op8_jaccard_join": sql.JACCARD_JOIN, "op9_line_rules": sql.LINE_RULES, "op11_merkle_manifest": sql.MERKLE_MANIFEST,
+    "op13_spelling_variants": sql.SPELLING_VARIANTS,
+}

@@ -47,3 +47,58 @@ JACCARD_JOIN = rf"""WITH RECURSIVE d AS (SELECT doc_id, {_SPLIT.format(_LOWER)}
   l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
   r(id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, l.y FROM r JOIN l ON l.x = r.c)
   SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(c) FROM r WHERE r.id = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)"""
+
+
+#: Unsigned CRC-32 of a text: its bytes in turn, eight shifts each.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({0}))), lambda i: ('0x' || hex(encode({0}))[2 * i + 1 : 2 * i + 2])::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda a, i: xor(a >> 1, (a & 1) * 3988292384))), 4294967295)"""
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf(text: str) -> str:
+    part = lambda v: f"coalesce(octet_length(encode({v}::VARCHAR)) || ':' || {v}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _levels(rows: str) -> str:
+    """From rows (g, level, i, h) up to the single node of each g."""
+    return f"""SELECT g, 0 AS level, i, h FROM {rows} UNION ALL SELECT g, level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i))
+      FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {{0}}) WHERE n > 1 GROUP BY g, level, i // 16"""
+
+
+MERKLE_MANIFEST = f"""
+  WITH RECURSIVE leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, row_number() OVER () AS row FROM (
+      SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, {_leaf('text')} AS h,
+        CASE WHEN {CRC32.format('doc_id::VARCHAR')} % 5 = 0 THEN {_leaf(_LOWER.format('text'))} ELSE {_leaf('text')} END AS t FROM documents)),
+  low AS ({_levels('leaves').format('low')}),
+  tops AS (SELECT g, max(level) AS height, arg_max(h, level) AS subroot FROM low GROUP BY g),
+  heads AS (SELECT 0 AS g, g AS i, subroot AS h FROM tops),
+  high AS ({_levels('heads').format('high')}),
+  nodes AS (SELECT low.g, level AS step, i, h FROM low JOIN tops USING (g) WHERE level < height UNION ALL
+    SELECT tops.g, height + level, i, h FROM high, tops WHERE level < (SELECT max(level) FROM high)),
+  fold AS (
+    SELECT row, g, height, 0 AS step, CASE WHEN height = 0 THEN g ELSE i END AS own, t AS h, '' AS proof FROM leaves JOIN tops USING (g) UNION ALL
+    SELECT row, f.g, height, f.step + 1, CASE WHEN f.step + 1 = height THEN f.g ELSE own // 16 END,
+      sha256(string_agg(CASE WHEN n.i = own THEN f.h ELSE n.h END, '' ORDER BY n.i)), proof || coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i <> own), '')
+    FROM fold f JOIN nodes n ON n.g = f.g AND n.step = f.step AND n.i // 16 = own // 16 GROUP BY row, f.g, height, f.step, own, proof),
+  ends AS (SELECT row, arg_max(h, step) AS folded_root, arg_max(proof, step) AS proof FROM fold GROUP BY row),
+  roots AS (SELECT arg_max(h, level) AS root FROM high)
+  SELECT doc_id, leaves.h AS leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+  FROM leaves JOIN tops USING (g) JOIN ends USING (row), roots"""
+
+
+#: Words at one edit meet where one has a code point removed: of both at one place (replaced), or of the longer one.
+SPELLING_VARIANTS = f"""
+  WITH RECURSIVE runs AS (SELECT doc_id, {_LOWER.format('run')} AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)),
+  known AS (SELECT run, length(run) AS l, count(*) AS c, {CRC32.format("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+  words AS (SELECT word, sum(c)::BIGINT AS n FROM (SELECT c, CASE WHEN h % 199 = 0 THEN run[1 : h % l] || run[h % l + 2 :] ELSE run END AS word FROM known)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+  cut AS (SELECT word, i, word[1 : i] || word[i + 2 :] AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+  near AS (SELECT DISTINCT * FROM (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION ALL
+    SELECT rest, cut.word FROM cut JOIN words w ON w.word = rest UNION ALL SELECT cut.word, rest FROM cut JOIN words w ON w.word = rest)),
+  best AS (SELECT near.word, count(*) AS n_near, arg_min(near.other, (-o.n, near.other)) AS top, max(o.n) AS top_n FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+  forms AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 5 * n THEN top END AS form, CASE WHEN top_n >= 5 * n THEN top_n END AS form_n
+    FROM words LEFT JOIN best USING (word)),
+  walk AS (SELECT word, word AS spot, 0 AS step FROM forms UNION ALL SELECT walk.word, form, step + 1 FROM walk JOIN forms ON forms.word = walk.spot WHERE form IS NOT NULL)
+  SELECT word, n, n_near, form, form_n, root FROM forms JOIN (SELECT word, arg_max(spot, step) AS root FROM walk GROUP BY word) USING (word)"""
