@@ -8,7 +8,8 @@
 
 The work is one pass over the texts without a shuffle. A worker keeps the ids of pieces it has met in a table of at most
 HELD pieces. Long texts are cut before a space between two other characters, where a piece always begins, so what a
-task holds follows the longest run without one, not the text; ids and decoded texts leave by row.
+task holds follows the longest run without one, not the text; ids and decoded texts leave by row. A text with code points
+that Python's Unicode tables do not know is cut by the library's own byte-level cutter, whose tables may know more.
 
 Defined results: null and empty texts give no ids and an empty text; every row gives a row, repeated ids and rows too; a null
 id stays null; an empty table gives no rows; other columns are ignored. Files whose parts are of other kinds (a normalizer,
@@ -36,6 +37,21 @@ _PLACE_BITS = 40
 _MODELS: dict[str, BytePairs] = {}
 
 
+def unassigned() -> str:
+    """The code points without a category in Python's Unicode tables, as a set of a pattern."""
+    import unicodedata
+
+    ranges, start = [], None
+    for c in range(0x110001):
+        none = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
+        if none and start is None:
+            start = c
+        elif not none and start is not None:
+            ranges.append(rf"\U{start:08x}-\U{c - 1:08x}")
+            start = None
+    return "[" + "".join(ranges) + "]"
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else one above 255."""
     prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -64,6 +80,7 @@ class BytePairs:
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
@@ -89,7 +106,8 @@ class BytePairs:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
         self.pieces = regex.compile(PIECES)
-        self.border = regex.compile(r"\S(?= \S)")
+        self.border, self.unknown = regex.compile(r"\S(?= \S)"), regex.compile(unassigned())
+        self.cutter = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.kept = _Kept(self._piece)
 
     def merged(self, symbols: list[int]) -> list[int]:
@@ -132,10 +150,15 @@ class BytePairs:
             at = end.end()
         yield text[at:] if at else text
 
+    def _cut(self, text: str) -> list[str]:
+        if not text.isascii() and self.unknown.search(text):
+            return [text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text)]
+        return self.pieces.findall(text)
+
     def encode(self, text: str) -> bytes:
         """The ids of a text, each as four bytes, little-endian."""
         if self.cut is None or not self.cut.search(text):
-            return b"".join(b"".join(map(self.kept.__getitem__, self.pieces.findall(p))) for p in self._parts(text))
+            return b"".join(b"".join(map(self.kept.__getitem__, self._cut(p))) for p in self._parts(text))
         found = (([self.added[s]] if i % 2 else [self.encode(s)]) for i, s in enumerate(self.cut.split(text)) if s)
         return b"".join(chain.from_iterable(found))
 

@@ -102,6 +102,8 @@ def near_in_block(words: list[str], size: int, a: int, b: int):
         x = free[at]
         lists = (index.get((x[p : p + Q], p + d)) for p in range(len(x) - Q + 1) for d in (-1, 0, 1))
         lists = [own[bisect_right(own, at) :] for own in lists if own and own[-1] > at]
+        if len(x) - Q + 1 <= Q:  # one free letter: words of one length need not share a gram
+            lists.append(range(at + 1, shorts))
         last, shared = -1, 0
         for other in merge(*lists, [len(free)]):
             if other == last:
