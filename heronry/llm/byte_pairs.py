@@ -9,7 +9,7 @@
 The work is one pass over the texts without a shuffle. A worker keeps the ids of pieces it has met in a table of at most
 HELD pieces. Long texts are cut before a space between two other characters, where a piece always begins, so what a
 task holds follows the longest run without one, not the text; ids and decoded texts leave by row. A text with code points
-that Python's Unicode tables do not know is cut by the library's own byte-level cutter, whose tables may know more.
+above U+FFFF, or without a category in Python's Unicode tables, is cut into pieces by the library's own byte-level cutter.
 
 Defined results: null and empty texts give no ids and an empty text; every row gives a row, repeated ids and rows too; a null
 id stays null; an empty table gives no rows; other columns are ignored. Files whose parts are of other kinds (a normalizer,
@@ -19,6 +19,8 @@ another model, flags on added tokens) are refused with ValueError, not approxima
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -31,25 +33,31 @@ from .common import table, tidied
 HELD, HELD_CHARS, CHARS_AT_ONCE = 200_000, 64, 1_000_000
 #: Bytes of text whose results leave a task at once.
 BYTES_AT_ONCE = 4_000_000
-#: Fixed value: the byte-level pattern.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Code points below this one have two bytes in UTF-16.
+BASIC = 0x10000
 _PLACE_BITS = 40
 _MODELS: dict[str, BytePairs] = {}
 
 
-def unassigned() -> str:
-    """The code points without a category in Python's Unicode tables, as a set of a pattern."""
-    import unicodedata
-
+def _of(test) -> str:
+    """The code points of two bytes that pass a test, as the inside of a pattern's set."""
     ranges, start = [], None
-    for c in range(0x110001):
-        none = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
-        if none and start is None:
+    for c in range(BASIC + 1):
+        held = c < BASIC and test(chr(c))
+        if held and start is None:
             start = c
-        elif not none and start is not None:
-            ranges.append(rf"\U{start:08x}-\U{c - 1:08x}")
+        elif not held and start is not None:
+            ranges.append(rf"\u{start:04x}-\u{c - 1:04x}")
             start = None
-    return "[" + "".join(ranges) + "]"
+    return "".join(ranges)
+
+
+def pieces_pattern() -> re.Pattern:
+    """The byte-level pattern: a clitic, a run of letters, of numbers or of other marks, each with one space before it if
+    there is one, and runs of white space, without the last one where something follows."""
+    letter, number = (_of(lambda c, k=k: unicodedata.category(c)[0] == k) for k in "LN")
+    space = _of(lambda c: c.isspace() and not "\x1c" <= c <= "\x1f")  # Unicode's White_Space lacks the separators
+    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?(?:[{letter}]+|[{number}]+|[^{space}{letter}{number}]+)|[{space}]+(?![^{space}])|[{space}]+")
 
 
 def byte_letters() -> list[str]:
@@ -79,7 +87,6 @@ class BytePairs:
     """Encodes and decodes by a tokenizer file."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
@@ -104,9 +111,8 @@ class BytePairs:
             self.strings[i] = b"".join(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode()
         self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in told["added_tokens"]}
         longest_first = sorted(self.added, key=len, reverse=True)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
-        self.pieces = regex.compile(PIECES)
-        self.border, self.unknown = regex.compile(r"\S(?= \S)"), regex.compile(unassigned())
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
+        self.pieces, self.border, self.known = pieces_pattern(), re.compile(r"\S(?= \S)"), set()
         self.cutter = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.kept = _Kept(self._piece)
 
@@ -151,8 +157,11 @@ class BytePairs:
         yield text[at:] if at else text
 
     def _cut(self, text: str) -> list[str]:
-        if not text.isascii() and self.unknown.search(text):
-            return [text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text)]
+        fresh = set(text) - self.known
+        if fresh:
+            self.known |= (plain := {c for c in fresh if ord(c) < BASIC and unicodedata.category(c) != "Cn"})
+            if len(plain) < len(fresh):
+                return [text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text)]
         return self.pieces.findall(text)
 
     def encode(self, text: str) -> bytes:
