@@ -8,16 +8,16 @@ CSV tables. Queries named ext_ are extensions beyond the engine's own operators.
 from __future__ import annotations
 
 import html.entities
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heronry import scratch
 from heronry.functions import scores as S
 from heronry.functions import text as T
-from heronry.operators import answer, chunking, code_chunks, evaluate, search, store
+from heronry.operators import answer, chunking, code_chunks, evaluate, lexical_index, order_stats, search, store, vector_index
 from heronry.sources import readers
 
 QUERIES: dict = {}
@@ -266,6 +266,24 @@ def knn_topk(spark, sf_dir):
     return _knn(spark, sf_dir, 5).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
 
 
+def _kept(spark, found: DataFrame, folder: str) -> DataFrame:
+    """found, written; the scratch tables and the index that it was read from are deleted."""
+    out = scratch.written(found, "result")
+    scratch.discard(found)
+    store.remove(spark, folder)
+    return out
+
+
+@query(f"SELECT query_id, rank::INT AS rank, point_id, round(score, 6) AS score FROM ({_KNN}) WHERE rank <= 10")
+def index_knn_topk(spark, sf_dir):
+    """An inverted file of cells and INT8 codes over all points; its exact search, with cells that the bounds rule out left unread."""
+    folder = f"{scratch.folder(spark)}/cells-{uuid.uuid4().hex}"
+    vector_index.build(_points(spark, sf_dir), folder)
+    found = vector_index.Index(spark, folder).topk(_queries(spark, sf_dir), 10, skip_self=True)
+    shown = scratch.carrying(found.select("query_id", "rank", "point_id", F.round("score", 6).alias("score")), found)
+    return _kept(spark, shown, folder)
+
+
 @query(f"""SELECT query_id, label, votes FROM (SELECT query_id, label, count(*) AS votes, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, label) AS n
   FROM ({_KNN}) WHERE rank <= 15 GROUP BY query_id, label) WHERE n = 1""")
 def knn_label_vote(spark, sf_dir):
@@ -279,9 +297,8 @@ def knn_label_vote(spark, sf_dir):
 def int8_quantize(spark, sf_dir):
     """INT8 codes of the vectors, clipped at the 0.99 quantile of all components."""
     points = _points(spark, sf_dir)
-    # Counted by value before the quantile, so what meets is a row a distinct component.
-    parts = points.select(F.explode("vector").alias("c")).groupBy(F.abs(F.col("c").cast("double")).alias("c")).agg(F.count("*").alias("n"))
-    scale = parts.agg(F.percentile("c", F.lit(0.99), F.col("n")).alias("s"))
+    parts = points.select(F.lit(1).alias("all"), F.explode("vector").alias("c")).select("all", F.abs(F.col("c").cast("double")).alias("c"))
+    scale = order_stats.continuous_quantile(parts, "all", "c", 0.99).select(F.col("value").alias("s"))
     codes = S.quantized(F.col("vector"), F.col("s"))
     return points.join(F.broadcast(scale)).select(F.col("point_id").alias("vec_id"), F.aggregate(codes, F.lit(0).cast("long"), lambda s, x: s + x).alias("code_sum"))
 
@@ -324,6 +341,19 @@ def bm25_topk(spark, sf_dir):
     return search.ranked(_bm25(spark, sf_dir), 10).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
 
 
+@query(ORACLES["bm25_topk"])
+def index_bm25_topk(spark, sf_dir):
+    """The same rows as bm25_topk by an index of impact-ordered blocks, of which only some are read."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text")
+    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    folder = f"{scratch.folder(spark)}/postings-{uuid.uuid4().hex}"
+    lexical_index.build(search.bm25_weights(docs, "point_id", "text"), folder)
+    weights = search.bm25_weights(asked, "query_id", "query").withColumnRenamed("weight", "q_weight")
+    found = lexical_index.Index(spark, folder).topk(weights, 10)
+    shown = scratch.carrying(found.select("query_id", "rank", "point_id", F.round("score", 6).alias("score")), found)
+    return _kept(spark, shown, folder)
+
+
 _DOC_KNN = f"SELECT query_id, point_id, rank FROM ({_KNN}) WHERE rank <= 15"
 _LEX = f"""SELECT query_id, point_id FROM (SELECT q.doc_id AS query_id, p.doc_id AS point_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY p.doc_id) AS n
   FROM (SELECT doc_id, {_TOKENS.format("source || ' ' || lang")} AS t FROM documents WHERE doc_id % 20 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)) q
@@ -472,10 +502,9 @@ def upsert_last_wins(spark, sf_dir):
 
 @query("SELECT count(*) AS source, count(*) AS target, true AS complete, true AS same FROM documents")
 def transfer_verify(spark, sf_dir):
-    """A table copied to a folder of its own (in the shared one, if spark.checkpoint.dir names it), read
-    back, compared by counts and row hashes, and removed."""
-    told = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="heronry-transfer-")
-    path = f"{told}/transfer-{uuid.uuid4().hex}"
+    """A table copied to a folder of its own in the shared one, read back, compared by counts and row
+    hashes, and removed."""
+    path = f"{scratch.folder(spark)}/transfer-{uuid.uuid4().hex}"
     done = store.transfer(_t(spark, sf_dir, "documents").select("doc_id", "text"), path)
     store.remove(spark, path)
     names = ("source", "target", "complete", "same")

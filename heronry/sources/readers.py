@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from heronry import schemas
 from heronry.functions import text as T
+from heronry.operators.numbering import numbered
 
 # Kinds by file suffix, and folders that are passed over.
 KINDS = {
@@ -92,15 +93,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def _literal(path: str) -> str:
+    """A path whose pattern characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def walk(spark: SparkSession, folder: str) -> DataFrame:
     """path, content and kind of all supported files below folder, without ignored folders (tested on the part of the
-    path below folder). Paths are chosen first; only chosen files are read. Spark's file scans pass over empty files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    path below folder). Spark's file scans pass over empty files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_literal(folder))
     inner = F.regexp_replace(F.col("path"), "^.*?" + re.escape(folder.rstrip("/").removeprefix("file:")) + "/", "")
     skipped = F.arrays_overlap(F.split(inner, "/"), F.array(*map(F.lit, IGNORED)))
-    # Without its content a file is only listed, so the choice costs no reading.
-    paths = [r["path"] for r in files.select("path").filter(kind_of("path").isNotNull() & ~skipped).orderBy("path").toLocalIterator()]
-    chosen = spark.read.format("binaryFile").load(paths) if paths else files.limit(0)
+    # The choice is made on paths, before contents are read; it is a filter of the scan's own rows, so no list of
+    # names passes through the driver, and names may hold any character.
+    chosen = files.filter(kind_of("path").isNotNull() & ~skipped)
     return chosen.select("path", "content").withColumn("kind", kind_of("path"))
 
 
@@ -123,13 +129,11 @@ def table_sections(rows: DataFrame, columns: list[str], order: list[str], title:
     """section, text: rows as Markdown tables of `batch` rows, blank rows left out before numbering. names: what the
     header shows for columns.
 
-    Row numbers are global by `order`; the batches themselves are grouped in parallel.
+    Row numbers are global by `order` (ranges and prefix sums, see `numbering`); the batches are grouped in parallel.
     """
-    from pyspark.sql import Window as W
-
     cells = F.array(*(T.strip(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns))
-    rows = rows.withColumn("cells", cells).filter(F.exists("cells", lambda c: c != ""))
-    rows = rows.withColumn("n", F.row_number().over(W.orderBy(*order))).withColumn("section", F.floor((F.col("n") - 1) / batch) + 1)
+    rows = rows.withColumn("cells", cells).filter(F.exists("cells", lambda c: c != "")).select(*order, "cells")
+    rows = numbered(rows, order).withColumn("n", F.col("n") + 1).withColumn("section", F.floor((F.col("n") - 1) / batch) + 1)
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", T.markdown_row(F.col("cells")).alias("line")))), lambda x: x["line"]), "\n")
     parts = rows.groupBy("section").agg(F.min("n").alias("a"), F.max("n").alias("b"), lines.alias("lines"))
     head = T.markdown_row(F.array(*map(F.lit, columns if names is None else names)))
@@ -138,21 +142,24 @@ def table_sections(rows: DataFrame, columns: list[str], order: list[str], title:
 
 
 def read_table(spark: SparkSession, path: str, batch: int = 30) -> DataFrame:
-    """One document of a CSV or TSV file; short rows are padded, long ones trimmed."""
-    raw = spark.read.option("header", "false").option("sep", "\t" if path.lower().endswith(".tsv") else ",").option("multiLine", "true").csv(path)
+    """One document of a CSV or TSV file; short rows are padded, long ones trimmed. The same text as `table_documents`
+    gives, without a task that holds the file's rows as numbers are dealt out (its text is one row in the end)."""
+    # Latin-1 where some line is no UTF-8, as for other files. The header is in the first lines.
+    text, separator = spark.read.text(_literal(path)), "\t" if path.lower().endswith(".tsv") else ","
+    latin = not text.filter(~F.is_valid_utf8("value")).isEmpty()
+    first = [r["v"] for r in text.select(F.decode(F.col("value").cast("binary"), "iso-8859-1" if latin else "utf-8").alias("v")).limit(64).collect()]
+    header = next(csv.reader(io.StringIO("\n".join(first)), delimiter=separator), None) if first else None
     name = PurePosixPath(path).name
     stem = name.rsplit(".", 1)[0]
     title = spark.range(1).select(T.pretty_title(F.lit(stem)).alias("t")).first()["t"]
     url = path if "://" in path else f"file://{path}"
     ident = F.lit(str(uuid.uuid5(uuid.NAMESPACE_URL, url)))
-    first = raw.first()
-    if first is None:
+    if header is None:
         return spark.range(1).select(*document(ident, F.lit(title), F.lit(url), F.lit(f"# Empty Table: {title}\n"), "table", True))
-    names = [(v or "").strip() for v in first]
-    while names and first[len(names) - 1] is None:
-        names.pop()
-    data = raw.select(*(F.col(c).alias(str(i)) for i, c in enumerate(raw.columns[: len(names)]))).withColumn("__row", F.monotonically_increasing_id())
-    data = data.filter("__row > 0")
+    names = [n.strip() for n in header]
+    how = {"header": "true", "enforceSchema": "true", "sep": separator, "multiLine": "true", "escape": '"', "encoding": "ISO-8859-1" if latin else "UTF-8"}
+    data = spark.read.options(**how).schema(", ".join(f"`{i}` string" for i in range(len(names)))).csv(_literal(path))
+    data = data.withColumn("__row", F.monotonically_increasing_id())
     sections = table_sections(data, [str(i) for i in range(len(names))], ["__row"], title, batch, names)
     ordered = F.array_sort(F.collect_list(F.struct("section", "text")))
     body = sections.agg(F.transform(ordered, lambda x: x["text"]).alias("parts"))
@@ -269,7 +276,7 @@ def resolve(
             return "file", read_table(spark, target)
         if kind in ("pdf", "image", "audio") and kind not in (extractors or {}):
             raise ValueError(f"{kind} files need an extractor: see extracted()")
-        return "file", file_documents(spark.read.format("binaryFile").load(target).select("path", "content").withColumn("kind", F.lit(kind)), extractors)
+        return "file", file_documents(spark.read.format("binaryFile").load(_literal(target)).select("path", "content").withColumn("kind", F.lit(kind)), extractors)
     found = article(target) if article else None
     if found is None:
         near = suggest_titles(titles, target) if titles is not None else None
