@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from heronry import scratch
 from heronry.functions import scores as S
 from heronry.functions import text as T
-from heronry.operators import answer, chunking, code_chunks, evaluate, lexical_index, order_stats, search, store, vector_index
+from heronry.operators import answer, bucketed, chunking, code_chunks, evaluate, lexical_index, order_stats, search, store, vector_index
 from heronry.sources import readers
 
 QUERIES: dict = {}
@@ -500,6 +500,20 @@ def upsert_last_wins(spark, sf_dir):
     return store.upsert(store.upsert(stored, batch, "doc_id"), batch, "doc_id")
 
 
+@query(ORACLES["upsert_last_wins"])
+def bucket_upsert(spark, sf_dir):
+    """The same rows as upsert_last_wins by a bucketed table; the batch writes its own buckets, twice, and the
+    table's first files stay as they are."""
+    stored = _t(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    changed = stored.filter("doc_id % 4 = 0").withColumn("n_chars", F.col("n_chars") + 1)
+    batch = changed.union(stored.filter("doc_id % 10 = 0").withColumn("doc_id", -F.col("doc_id") - 1))
+    folder = f"{scratch.folder(spark)}/buckets-{uuid.uuid4().hex}"
+    table = bucketed.BucketTable.create(spark, folder, stored.schema, key="doc_id", buckets=16)
+    for rows in (stored, batch, batch):
+        table.upsert(rows)
+    return _kept(spark, table.read(), folder)
+
+
 @query("SELECT count(*) AS source, count(*) AS target, true AS complete, true AS same FROM documents")
 def transfer_verify(spark, sf_dir):
     """A table copied to a folder of its own in the shared one, read back, compared by counts and row

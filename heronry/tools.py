@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry import schemas
-from heronry.operators import answer, chunking, search, store
+from heronry.operators import answer, search, store
+from heronry.operators.bucketed import BucketTable
 from heronry.sources import readers
+from heronry.streaming import ingest
 
 NOTHING = "Nothing that fits was found."
 
@@ -35,21 +37,12 @@ class Library:
 
     def points(self) -> DataFrame:
         """The stored points; an empty table before anything is stored."""
-        current = store.current_version(self.spark, self.path)
-        return self.spark.read.parquet(current) if current else self.spark.createDataFrame([], schemas.POINT)
+        table = BucketTable(self.spark, self.path)
+        return table.read() if table.version() else self.spark.createDataFrame([], schemas.POINT)
 
     def index(self, docs: DataFrame, *, skip_unchanged: bool = True) -> int:
         """Chunks and stores documents (schemas.DOCUMENT); returns how many chunks. Unchanged ones are passed over."""
-        if skip_unchanged:
-            docs = store.changed_documents(docs, self.points())
-        made = store.build_points(chunking.chunk_sources(docs), self.embedder)
-        folder = f"{self.path}/_new"
-        made.write.mode("overwrite").parquet(folder)
-        new = self.spark.read.parquet(folder)
-        count = new.count()
-        if count:
-            store.upsert_table(self.spark, self.path, new)
-        return count
+        return ingest.index_batch(self.path, docs, embedder=self.embedder, skip_unchanged=skip_unchanged)["chunks"]
 
     def add(self, target: str) -> tuple[str, int | list[str]]:
         """Indexes a URL, a folder, a file or an article by its title: (kind, chunks), or titles that are near it."""

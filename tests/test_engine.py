@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heronry import schemas
 from heronry.operators import answer, chunking, evaluate, search, store
+from heronry.operators.bucketed import BucketTable
 from heronry.sources import readers
 from heronry.streaming import ingest
 
@@ -34,14 +35,19 @@ def test_dump(spark, tmp_path):
 def test_stream_is_idempotent_and_skips_unchanged(spark, tmp_path):
     os.makedirs(f"{tmp_path}/in")
     dump(f"{tmp_path}/in/a.xml.bz2", [page(1), page(2)])
-    run = lambda: ingest.index_stream(ingest.dump_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/t", f"{tmp_path}/c", embedder=store.hashing_embedder(4)).awaitTermination()
+    told = []
+    run = lambda: ingest.index_stream(ingest.dump_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/t", f"{tmp_path}/c", embedder=store.hashing_embedder(4), on_progress=lambda n, x: told.append((n, x["documents"], x["skipped"], x["chunks"]))).awaitTermination()
     run()
     run()
     dump(f"{tmp_path}/in/b.xml.bz2", [page(2, x=ARTICLE + " more"), page(3)])
     run()
-    points = spark.read.parquet(store.current_version(spark, f"{tmp_path}/t"))
+    points = BucketTable(spark, f"{tmp_path}/t").read()
     assert sorted(r["doc_id"] for r in points.collect()) == ["1", "2", "3"]
     assert points.filter("doc_id = '2' AND text LIKE '%more'").count() == 1
+    assert told == [(0, 2, 0, 2), (1, 2, 0, 2)]
+    docs = points.limit(1).select(F.lit("77").alias("page_id"), "title", "url", F.lit("word " * 50).alias("text"), F.lit("text").alias("source_type"), F.lit("h").alias("content_hash"))
+    first, again = (ingest.index_batch(f"{tmp_path}/t", docs, embedder=store.hashing_embedder(4)) for _ in range(2))
+    assert (first["documents"], first["skipped"], first["chunks"]) == (1, 0, 1) and (again["documents"], again["skipped"], again["chunks"]) == (1, 1, 0)
 
 
 def test_files(spark, tmp_path):
