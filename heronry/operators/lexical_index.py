@@ -42,18 +42,18 @@ SLACK = 1e-6
 
 def build(weights: DataFrame, path: str, id_col: str = "point_id") -> None:
     """Writes the index of weights (id, token, weight; an id has a token once)."""
-    rows = weights.select(F.col(id_col).alias("id"), "token", "weight")
-    whole = scratch.written(rows, "weights")
-    n = numbered(whole, [F.desc("weight"), "id"], group=("token",))
-    n = n.withColumn("tier", F.floor(F.log2(F.col("n") / FIRST + 1)).cast("int")).withColumn("piece", F.floor(F.col("n") / PIECE))
-    own = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "id")))
-    blocks = n.groupBy("token", "tier", "piece").agg(F.max("weight").alias("top"), own.alias("own"))
-    blocks = blocks.select("token", "tier", "piece", "top", F.col("own.id").alias("ids"), F.transform("own.w", lambda w: -w).alias("weights"))
-    blocks.repartitionByRange("token", "tier").sortWithinPartitions("token", "tier").write.parquet(f"{path}/postings")
-    held = weights.sparkSession.read.parquet(f"{path}/postings")
-    held.groupBy("token", "tier").agg(F.max("top").alias("top"), F.sum(F.size("ids")).alias("n")).write.parquet(f"{path}/tiers")
-    whole.repartition("id").sortWithinPartitions("id").write.parquet(f"{path}/weights")
-    scratch.discard(whole, n)
+    spark, how = weights.sparkSession, {"compression": "zstd"}
+    with scratch.freed_shuffles(spark):
+        weights.select(F.col(id_col).alias("id"), "token", "weight").write.options(**how).parquet(f"{path}/weights")
+        n = numbered(spark.read.parquet(f"{path}/weights"), [F.desc("weight"), "id"], group=("token",))
+        rows = n.withColumn("tier", F.floor(F.log2(F.col("n") / FIRST + 1)).cast("int")).withColumn("piece", F.floor(F.col("n") / PIECE))
+        own = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "id")))
+        blocks = rows.groupBy("token", "tier", "piece").agg(F.max("weight").alias("top"), own.alias("own"))
+        blocks = blocks.select("token", "tier", "piece", "top", F.col("own.id").alias("ids"), F.transform("own.w", lambda w: -w).alias("weights"))
+        blocks.sortWithinPartitions("token", "tier").write.options(**how).parquet(f"{path}/postings")
+        scratch.discard(n)
+        held = spark.read.parquet(f"{path}/postings")
+        held.groupBy("token", "tier").agg(F.max("top").alias("top"), F.sum(F.size("ids")).alias("n")).write.parquet(f"{path}/tiers")
 
 
 class Index:

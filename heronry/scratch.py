@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,10 +28,23 @@ def folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Within, a query's shuffle files are deleted when the query ends, not when the session does."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def written(df: DataFrame, label: str = "table") -> DataFrame:
     """df as a Parquet table that is read again: computed once, its lineage cut. `discard` deletes it."""
     path = f"{folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return _marked(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
