@@ -1,5 +1,5 @@
 """Command line: python -m heronry TABLE stats | add TARGET | ingest-dump FILE [MAX] | search WORDS | ask WORDS |
-copy FOLDER. Words after the table that are no command are searched. --hybrid and --rerank go with search and ask."""
+copy FOLDER | transfer FOLDER (goes on after a stop) | eval CASES (JSON lines of query_id, query, category, acceptable) | ingest-multistream FILE CHECKPOINT. Words after the table that are no command are searched. --hybrid and --rerank go with search, ask and eval."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import sys
 from pyspark.sql import SparkSession
 
 from heronry.operators import store
+from heronry.operators.transfer import Transfer
 from heronry.sources import readers
+from heronry.streaming import ingest
 from heronry.tools import Library, search_flags
 
 
@@ -25,8 +27,15 @@ def main(words: list[str], library: Library | None = None) -> str:
     if command == "ingest-dump" and rest:
         most = int(rest[1]) if len(rest) > 1 and rest[1].isdigit() else None
         return f"{library.index(readers.read_dump(library.spark, rest[0], most))} chunks"
+    if command == "ingest-multistream" and len(rest) > 1:
+        return f"{ingest.index_dump(library.spark, rest[0], table, rest[1], embedder=library.embedder)} ranges"
     if command == "copy" and rest:
         return str(store.transfer(library.points(), rest[0]))
+    if command == "transfer" and rest:
+        return str(Transfer(library.points(), rest[0]).finish())
+    if command == "eval" and rest:
+        file, hybrid, rerank = search_flags(rest)
+        return library.evaluate(library.spark.read.json(file), hybrid=hybrid, rerank=rerank)
     query, hybrid, rerank = search_flags(rest if command in ("search", "ask") else [command, *rest])
     return (library.ask if command == "ask" else library.search)(query, hybrid=hybrid, rerank=rerank)
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry import schemas
-from heronry.operators import answer, search, store
+from heronry import schemas, scratch
+from heronry.operators import answer, evaluate, search, store
 from heronry.operators.bucketed import BucketTable
 from heronry.sources import readers
 from heronry.streaming import ingest
@@ -76,5 +77,22 @@ class Library:
         cited = "\n".join(f"[{s['index']}] {s['title']} - {s['url']}" for s in sources)
         return "".join(answer.stream_answer(prompt, self.generate)) + "\n\nSources:\n" + cited
 
+    def evaluate(self, cases: DataFrame, k: int = 5, *, hybrid: bool = False, rerank: bool = False) -> str:
+        """Runs cases (query_id, query, category, acceptable: titles) as one search and returns the report as Markdown.
+
+        A case's latency is its share of the search's time, as all cases are searched together.
+        """
+        held = scratch.written(cases.select("query_id", "query", "category", "acceptable"), "cases")
+        n, start = held.count(), time.time()
+        asked = held.select("query_id", "query").withColumn("vector", self.embedder(F.col("query")))
+        found = search.ask(self.points(), asked, k, hybrid=hybrid, score_pairs=self.score_pairs if rerank else None)
+        hits = scratch.written(found.select("query_id", "rank", "title", "score"), "hits")
+        latency = (time.time() - start) * 1000 / max(n, 1)
+        results = scratch.written(evaluate.evaluate_cases(held.withColumn("latency_ms", F.lit(latency)), hits), "results")
+        card = evaluate.scorecard(results)
+        report = evaluate.markdown_report(card, evaluate.scorecard_by_category(results), results)
+        scratch.discard(held, hits, results)
+        return report
+
     def stats(self) -> dict:
         return store.stats(self.points()).first().asDict()

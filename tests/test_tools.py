@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from heronry.__main__ import main
@@ -25,6 +27,19 @@ def test_library(spark, tmp_path):
     assert main(["t", "copy", f"{tmp_path}/c"], lib) == "{'source': 3, 'target': 3, 'complete': True, 'same': True}" and "python -m" in main([])
 
 
+def test_evaluation_and_transfer_commands(spark, tmp_path):
+    lib = Library(spark, f"{tmp_path}/t")
+    lib.index(documents(spark, {"wind": "solar wind streams from the sun", "bread": "bread is baked from flour and water", "moon": "the moon pulls the tides"}))
+    with open(f"{tmp_path}/cases.json", "w") as f:
+        for i, (query, category, title) in enumerate((("solar wind streams from the sun", "space", "Wind"), ("bread is baked from flour and water", "food", "Bread"), ("moon tides pulls the", "space", "Nothing such"))):
+            f.write(json.dumps({"query_id": i, "query": query, "category": category, "acceptable": [title]}) + "\n")
+    report = main(["t", "eval", f"{tmp_path}/cases.json"], lib)
+    lines = report.split("\n")
+    assert lines[0] == "# Retrieval report" and any(row.startswith("| 3 | 0.6667 | 0.6667 | 0.6667 | 0.6667 |") for row in lines)
+    assert any(row.startswith("| food | 1 | 1.0000 |") for row in lines) and any(row.startswith("| space | 2 | 0.5000 |") for row in lines)
+    assert "'complete': True" in main(["t", "transfer", f"{tmp_path}/c"], lib)
+
+
 def test_flags():
     assert search_flags(["what", "-r", "is", "--hyb", "it"]) == ("what is it", True, True) and search_flags(["x"]) == ("x", False, False)
 
