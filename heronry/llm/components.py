@@ -61,7 +61,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def grouped_components(
-    rows: DataFrame, verified: Callable[[DataFrame, DataFrame], DataFrame], *, near: Column | None = None, carried: tuple[str, ...] = (), one_first: bool = False
+    rows: DataFrame, verified: Callable[[DataFrame, DataFrame], DataFrame], *, near: Column | None = None, carried: tuple[str, ...] = (), one_first: bool = False,
+    crowded: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame | None:
     """node, component of the keys that have links, a written table; None without links.
 
@@ -75,6 +76,9 @@ def grouped_components(
     new in each round, meet the others. A band ends when one component holds it or all its pairs have been met.
     Between rounds one pair of star steps draws components together, so some keys of one component may still go by two
     names and meet needlessly; at the end the steps go on until nothing changes.
+
+    With crowded, round 2 is the last: it takes the rows of the bands that are left (key, band, least, part) and
+    returns pairs (a < b), which must hold all pairs of a band's keys that can be linked.
     """
     edges, before, r = None, None, 0 if one_first else 1
     while True:
@@ -91,6 +95,14 @@ def grouped_components(
         if left.isEmpty():
             discard(left)
             break
+        if crowded is not None and r == 2:
+            pairs = written(crowded(left), "pairs")
+            links = verified(pairs, left)
+            discard(pairs, left)
+            after = written(links if edges is None else links.union(edges), "edges")
+            discard(edges, links)
+            edges = None if after.isEmpty() else after
+            break
         every = lambda k: F.pow(F.lit(float(BASE)), F.greatest(F.col("level") - k, F.lit(0))).cast("long")
         due = lambda k: F.pmod(F.xxhash64("key"), every(k)) == 0
         first = F.col("key") == F.col("least")
