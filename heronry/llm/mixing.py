@@ -5,9 +5,9 @@
 2. The mix is cut into `shards` shards of equally many blocks of `block` words. Sainte-Laguë's
    highest quotients give every source its blocks for the first 1, 2, ... shards together; the
    method is house monotone, so the differences are each shard's quotas.
-3. A source is a stream of its documents in seeded order, cut into n blocks. In pass p block j stands at place
-   (A * j + shift) mod n of a seeded order of all blocks (A is a prime above n, the shift is drawn by seed, source and
-   pass), and is the source's draw number p * n + place. A shard's quota is filled with the source's next draws, so
+3. A source is a stream of its documents in seeded order, cut into n blocks. In pass p block j stands at a
+   place of a seeded order of all blocks (a swap-or-not shuffle of ROUNDS rounds, whose keys are drawn by seed, source
+   and pass), and is the source's draw number p * n + place. A shard's quota is filled with the source's next draws, so
    every shard has exactly its quota of seeded blocks, and a block comes again only when all others have come.
    A source's last block may be shorter; max_repeats passes bound the draws.
 
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import BLANK, table, text_of, written
 
 DOCS_PER_BUCKET = 4096
-#: A prime above every source's number of blocks, so that it divides none.
-PRIME = 2**61 - 1
+#: Rounds of the seeded order of a source's blocks.
+ROUNDS = 24
+#: A row of the plan holds about 1 KB (keys, sums by shard), so this many are about 10 MB.
+BROADCAST_SOURCES = 10_000
 
 
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
@@ -93,11 +95,25 @@ def _numbered(sized: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("lo", F.col("start") + F.col("number") * F.col("size")).drop("key", "bucket", "start", "salts", "salt", "before", "number")
 
 
-def _draws(block: int, passes: int) -> Column:
-    """array<struct<block, draw, words>>: the document's blocks in every pass, as numbers of draws (in decimals: the
-    products pass 2**63), those that the source's quota reaches."""
-    big = "DECIMAL(38, 0)"
-    at = lambda p: f"CAST({p} AS BIGINT) * n_blocks + CAST((CAST({PRIME} AS {big}) % n_blocks * j + shifts[{p}]) % n_blocks AS BIGINT)"
+def round_keys(n: Column, place: Column, seed: int, passes: int) -> Column:
+    """array<array<bigint>>: a key below n for each pass and round."""
+    key = lambda p, r: F.pmod(F.xxhash64(F.lit(seed), place, F.lit(p), F.lit(r)), F.greatest(n, F.lit(1)))
+    return F.array(*(F.array(*(key(p, r) for r in range(ROUNDS))) for p in range(passes)))
+
+
+def seeded_place(p: int, seed: int) -> str:
+    """SQL of the place of block j in pass p, over columns place, n_blocks and keys: a swap-or-not shuffle. Each
+    round pairs x with key - x (mod n_blocks), and a hash of the pair's larger member says whether they change places;
+    that is its own inverse, so the whole is a permutation for every n_blocks."""
+    other = f"pmod(keys[{p}][r] - x, n_blocks)"
+    swap = f"(xxhash64({seed}, place, {p}, r, greatest(x, {other})) & 1) = 1"
+    return f"aggregate(sequence(0, {ROUNDS - 1}), j, (x, r) -> IF({swap}, {other}, x))"
+
+
+def _draws(block: int, passes: int, seed: int) -> Column:
+    """array<struct<block, draw, words>>: the document's blocks in every pass, as numbers of draws, those that the
+    source's quota reaches."""
+    at = lambda p: f"CAST({p} AS BIGINT) * n_blocks + {seeded_place(p, seed)}"
     words = f"CAST(least(hi, (j + 1) * {block}) - greatest(lo, j * {block}) AS BIGINT)"
     of = f"transform(sequence(lo DIV {block}, (hi - 1) DIV {block}), j -> array({', '.join(f'struct(j AS block, {at(p)} AS draw, {words} AS words)' for p in range(passes))}))"
     return F.expr(f"IF(size > 0, filter(flatten({of}), d -> d.draw < quota), CAST(array() AS array<struct<block: bigint, draw: bigint, words: bigint>>))")
@@ -121,15 +137,17 @@ def mix_sources(
     plan = plan.withColumn("n_buckets", F.ceil(F.col("n_docs") / DOCS_PER_BUCKET)).withColumn("n_blocks", F.ceil(F.col("source_size") / block))
     upto = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda h: F.aggregate(F.slice("quotas", 1, h), F.lit(0).cast("long"), lambda a, x: a + x))
     plan = plan.withColumn("upto", upto).withColumn("quota", F.least(F.get("upto", F.lit(shards - 1)), F.col("n_blocks") * max_repeats))
-    plan = plan.withColumn("shifts", F.array(*(F.pmod(F.xxhash64(F.lit(seed + 2), "place", F.lit(p)), F.greatest("n_blocks", F.lit(1))) for p in range(max_repeats))))
-    rows = sized.join(plan, sized["source"].eqNullSafe(plan["source"]), "inner").drop(plan["source"])
+    plan = plan.withColumn("keys", round_keys(F.col("n_blocks"), F.col("place"), seed + 2, max_repeats))
+    # One row a source: while these are few, they go to the documents, and no source's documents to one task.
+    few = plan.count() <= BROADCAST_SOURCES
+    rows = sized.join(F.broadcast(plan) if few else plan, sized["source"].eqNullSafe(plan["source"]), "inner").drop(plan["source"])
     rows = _numbered(rows, seed).withColumn("hi", F.col("lo") + F.col("size"))
     # Bound in an array of one element, so that the draws are made once.
     total = lambda d: F.aggregate(d, F.lit(0).cast("long"), lambda a, x: a + x["words"])
     shard = lambda x: F.size(F.filter("upto", lambda u: u <= x["draw"]))
     placed = lambda d: F.transform(d, lambda x: F.struct(shard(x).alias("shard"), x["words"].alias("words")))
     of = lambda d: F.filter(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda h: F.struct(h.alias("shard"), total(F.filter(d, lambda x: x["shard"] == h)).alias("words"))), lambda x: x["words"] > 0)
-    rows = rows.withColumn("draws", _draws(block, max_repeats))
+    rows = rows.withColumn("draws", _draws(block, max_repeats, seed + 3))
     rows = rows.withColumn("by_shard", F.get(F.transform(F.array(placed(F.col("draws"))), of), F.lit(0))).withColumn("taken", total(F.col("draws")))
     names = ("doc_id", "source", "size", "source_size", "target", "lo", "hi", "n_blocks", "quota", "quotas", "draws", "by_shard", "taken")
     # The kept columns are not dealt with the rows; they come back at the end, by row.

@@ -16,7 +16,8 @@ against brute force at 0.9 or more. Memory is bounded: a block, the neighbours o
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, as queries or as
 candidates; vectors shorter than the longest count as ending in zeros; ties go to the smaller id; an id that is
-repeated with equal vectors counts once; fewer candidates than k give fewer rows; an empty table none.
+repeated with equal vectors counts once; an id on several vectors asks with the least of them and is found once, by
+its best score; fewer candidates than k give fewer rows; an empty table none.
 """
 
 from __future__ import annotations
@@ -240,7 +241,7 @@ def nearest(rows: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: st
     size = members.agg(F.max(F.size("v"))).first()[0] or 0
     codes = written(coded(reps, size))
     graph = neighbour_graph(codes, degree=degree, **how)
-    asked = rows.filter(is_query).select(F.col("id").alias("query_id"), "v").distinct()
+    asked = rows.filter(is_query).groupBy(F.col("id").alias("query_id")).agg(F.min("v").alias("v"))
     asked = written(asked.join(reps, "v").select("query_id", "v", "node"))
     found = walk(asked.join(codes, "node").select("query_id", "q", F.col("node").alias("start")), graph, codes, degree=degree, beam=beam, step=step)
     found = found.join(asked.select("query_id", F.col("v").alias("qv")), "query_id").join(reps, "node")
@@ -256,6 +257,7 @@ def nearest(rows: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: st
 
     scored = found.select("query_id", "node", "qv", "v").mapInArrow(exact, "query_id long, node long, score double")
     scored = scored.join(members.select("node", F.col("id").alias("vec_id")), "node").filter("vec_id <> query_id")
+    scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -128,10 +128,14 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id, score."""
 
     def scored(batches):
-        for pdf in batches:
-            yield pdf[["doc_id"]].assign(score=model.score(pdf[list(STATS)].to_numpy()))
+        import pyarrow as pa
+
+        for b in batches:  # as Arrow, in which ids stay whole beside a null
+            stats = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in STATS])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(stats), pa.float64())], ["doc_id", "score"])
 
-    return with_stats(docs.select("doc_id", text_of().alias("text")), "doc_id").mapInPandas(scored, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return with_stats(rows, "doc_id").mapInArrow(scored, "doc_id long, score double")
 
 
 def op1_quality_rff(spark, sf_dir) -> DataFrame:
@@ -139,4 +143,4 @@ def op1_quality_rff(spark, sf_dir) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     labels = table(spark, sf_dir, "labels").filter(fold != 0).select("doc_id", F.col("quality").alias("label"))
     scored = score_quality(docs, fit_quality(docs, labels))
-    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -215,4 +215,4 @@ def op3_toxicity(spark, sf_dir) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     labels = table(spark, sf_dir, "labels").filter(fold != 2).select("doc_id", F.col("toxic").alias("label"))
     scored = score_toxicity(docs, fit_toxicity(docs, labels))
-    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -154,7 +154,7 @@ def test_mixing(spark, docs, edges, empty):
 
 
 def plain_mix(rows, targets, block, shards, seed_of):
-    """taken and words by shard of (doc_id, size, source) rows in the order of their streams; seed_of: shifts of a source's passes."""
+    """taken and words by shard of (doc_id, size, source) rows in the order of their streams; seed_of: the orders of a source's passes."""
     order = sorted(targets, key=lambda s: (s is None, s or ""))
     size, total = Counter(), sum(targets.values())
     for _, n, source in rows:
@@ -165,14 +165,14 @@ def plain_mix(rows, targets, block, shards, seed_of):
     out = {}
     for s in order:
         n = -(-size[s] // block)
-        upto, shifts, at = [f[s] for f in firsts], seed_of(s), 0
+        upto, orders, at = [f[s] for f in firsts], seed_of(s), 0
         for doc, words, source in rows:
             if source != s:
                 continue
             got = Counter()
             for w in range(at, at + words):
                 for p in range(3):
-                    draw = p * n + (mixing.PRIME % n * (w // block) + shifts[p]) % n
+                    draw = p * n + orders[p][w // block]
                     if draw < min(upto[-1], 3 * n):
                         got[sum(u <= draw for u in upto)] += 1
             out[doc] = dict(got)
@@ -180,15 +180,44 @@ def plain_mix(rows, targets, block, shards, seed_of):
     return out, {s: [f[s] for f in firsts] for s in order}
 
 
+def plain_orders(spark, wanted, seed):
+    """(place, pass): the place of each block, by swaps in a list; wanted: place, pass, number of blocks."""
+    rounds = spark.createDataFrame(wanted, "place int, p int, n long").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(mixing.ROUNDS - 1))))
+    bit = F.transform(F.expr("sequence(0L, n - 1)"), lambda x: F.xxhash64(F.lit(seed + 3), "place", "p", "r", x).bitwiseAND(F.lit(1)))
+    rounds = rounds.select("place", "p", "r", F.pmod(F.xxhash64(F.lit(seed + 2), "place", "p", "r"), "n").alias("key"), bit.alias("bits"))
+    at = {(i, p): list(range(n)) for i, p, n in wanted}
+    for row in sorted(rounds.collect(), key=lambda r: r["r"]):
+        now, n = at[row["place"], row["p"]], len(row["bits"])
+        pair = lambda x: (row["key"] - x) % n  # noqa: B023, E731
+        at[row["place"], row["p"]] = [pair(x) if row["bits"][max(x, pair(x))] else x for x in now]
+    return at
+
+
+@pytest.mark.parametrize("n", [1, 2, 330, 2310])
+def test_seeded_order_is_no_run_of_blocks(spark, n):
+    orders = []
+    for seed in (17, 18):
+        rows = spark.range(n).selectExpr("id AS j", "1 AS place", f"{n}L AS n_blocks").withColumn("keys", mixing.round_keys(F.col("n_blocks"), F.col("place"), seed + 2, 2))
+        got = rows.select(*(F.expr(mixing.seeded_place(p, seed + 3)).alias(f"p{p}") for p in range(2)), "j").orderBy("j").collect()
+        orders += [[r[f"p{p}"] for r in got] for p in range(2)]
+    assert all(sorted(o) == list(range(n)) for o in orders)
+    assert orders[:2] == [plain_orders(spark, [(1, p, n)], 17)[1, p] for p in range(2)]
+    if n > 2:
+        first = [sorted(o.index(x) for x in range(2 * n // 3)) for o in orders]
+        steps = [Counter(b - a for a, b in zip(f, f[1:], strict=False)) for f in first]
+        # Chosen at random, about two thirds of the chosen have the next block too, and steps of 2, 3, 4 occur.
+        assert all(0.5 < s[1] / len(f) < 0.8 and min(s[2], s[3], s[4]) > 0 for s, f in zip(steps, first, strict=True))
+        assert len({tuple(o) for o in orders}) == 4
+
+
 def test_mix_by_plain_sainte_lague(spark, docs):
     df = docs.withColumn("source", F.when(F.col("doc_id") % 50 == 0, F.lit(None)).otherwise(F.col("source")))
     rows = mixing.mix_sources(df, block=16, shards=5).orderBy("lo").collect()
     targets = {r["source"]: r["target"] for r in rows}
     place = {s: i for i, s in enumerate(sorted(targets, key=lambda s: (s is None, s or "")))}
     blocks = {r["source"]: r["n_blocks"] for r in rows}
-    shift = spark.createDataFrame([(i, p, blocks[s]) for s, i in place.items() for p in range(3)], "place int, p int, n long")
-    shift = {(r["place"], r["p"]): r["x"] for r in shift.select("place", "p", F.expr("pmod(xxhash64(19, place, p), n)").alias("x")).collect()}
-    want, quotas = plain_mix([(r["doc_id"], r["size"], r["source"]) for r in rows], targets, 16, 5, lambda s: [shift[place[s], p] for p in range(3)])
+    orders = plain_orders(spark, [(i, p, blocks[s]) for s, i in place.items() for p in range(3)], seed=17)
+    want, quotas = plain_mix([(r["doc_id"], r["size"], r["source"]) for r in rows], targets, 16, 5, lambda s: [orders[place[s], p] for p in range(3)])
     held = defaultdict(Counter)
     for r in rows:
         got = {x["shard"]: x["words"] for x in r["by_shard"]}
@@ -411,6 +440,22 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_neighbours_of_an_id_on_two_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, (x[0] * 1.5 + 0.01).tolist()), (0, (x[0] + 1).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = neighbours.nearest(df, F.col("id") % 50 == 0, degree=12, beam=60, step=10).orderBy("query_id", "rank").collect()
+    of = {q: [(r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q] for q in (0, 50)}
+    cosine = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    for q, found in of.items():
+        asked = np.array(min(v for i, v in rows if i == q), float)
+        best = {i: max(cosine(asked, np.float32(v).astype(float)) for j, v in rows if j == i) for i in {i for i, _ in rows} - {q}}
+        want = sorted(best, key=lambda i: (-best[i], i))[:5]
+        assert [r for r, _, _ in found] == [1, 2, 3, 4, 5] and [i for _, i, _ in found] == want
+        assert np.allclose([s for _, _, s in found], [best[i] for i in want])
+
+
 def recall(spark, x, ask, **how):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = defaultdict(set)
@@ -447,6 +492,9 @@ def test_quality_and_toxicity(spark, docs, edges):
     rows = quality.score_quality(big, model).join(labels, "doc_id").collect()
     assert np.mean([(r["score"] >= 0.3) == bool(r["quality"]) for r in rows]) >= 0.95
     assert all(0 <= r["score"] <= 1 for r in quality.score_quality(edges, model).collect())
+    wide = spark.createDataFrame([(2**53 + 1, "a text"), (None, "a text"), (2**62 + 1, None)], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in quality.score_quality(wide, model).collect()} == {2**53 + 1, None, 2**62 + 1}
+    assert quality.score_quality(wide.limit(0), model).count() == 0
     none = quality.fit_quality(big, labels.select("doc_id", F.lit(None).cast("int").alias("label")))
     assert quality.score_quality(big, none).agg(F.max("score")).first()[0] == 0.5
     tox = toxicity.fit_toxicity(big, labels.select("doc_id", F.col("toxic").alias("label")))
