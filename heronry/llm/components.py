@@ -77,7 +77,7 @@ def grouped_components(
     Between rounds one pair of star steps draws components together, so some keys of one component may still go by two
     names and meet needlessly; at the end the steps go on until nothing changes.
 
-    With crowded, round 2 is the last: it takes the rows of the bands that are left (key, band, least, part) and
+    With crowded, round 2 is the last: it takes the rows of the bands that are left (key, band, least, part, n: keys of the band) and
     returns pairs (a < b), which must hold all pairs of a band's keys that can be linked.
     """
     edges, before, r = None, None, 0 if one_first else 1
@@ -90,7 +90,7 @@ def grouped_components(
         whole = whole.filter("lo <> hi").withColumn("level", F.ceil(F.log("n") / F.log(F.lit(float(BASE))) - 1e-9).cast("int"))
         if r > 1:  # bands whose pairs have all been met are done
             whole = whole.filter((F.col("n") > 2) & (F.col("level") >= r - 1))
-        left = written(named.join(whole.select("band", "least", "level"), "band"), "bands")
+        left = written(named.join(whole.select("band", "least", "level", "n"), "band"), "bands")
         discard(before)
         if left.isEmpty():
             discard(left)
