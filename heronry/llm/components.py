@@ -9,6 +9,7 @@ folder and deleted as soon as the next step has read it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,9 +61,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _shared_bands(rows: DataFrame) -> DataFrame:
+    """The rows of bands of two or more keys, with part (the key itself), least, level and n, as long as no keys are linked."""
+    whole = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most")).filter("least <> most")
+    level = F.ceil(F.log("n") / F.log(F.lit(float(BASE))) - 1e-9).cast("int").alias("level")
+    return rows.join(whole.select("band", "least", level, "n"), "band").select("band", *(c for c in rows.columns if c != "band"), F.col("key").alias("part"), "least", "level", "n")
+
+
 def grouped_components(
     rows: DataFrame, verified: Callable[[DataFrame, DataFrame], DataFrame], *, near: Column | None = None, carried: tuple[str, ...] = (), one_first: bool = False,
-    crowded: Callable[[DataFrame], DataFrame] | None = None,
+    crowded: Callable[[DataFrame], DataFrame] | None = None, passes: int = 1,
 ) -> DataFrame | None:
     """node, component of the keys that have links, a written table; None without links.
 
@@ -78,7 +86,10 @@ def grouped_components(
     names and meet needlessly; at the end the steps go on until nothing changes.
 
     With crowded, round 2 is the last: it takes the rows of the bands that are left (key, band, least, part, n: keys of the band) and
-    returns pairs (a < b), which must hold all pairs of a band's keys that can be linked.
+    returns pairs (a < b) as a written table, which must hold all pairs of a band's keys that can be linked.
+
+    Most bands hold one key and go at once. Their rows are shuffled in as many passes as passes says, each over its
+    part of the bands, so that only one part's shuffles are on disk at a time.
     """
     edges, before, r = None, None, 0 if one_first else 1
     while True:
@@ -90,13 +101,19 @@ def grouped_components(
         whole = whole.filter("lo <> hi").withColumn("level", F.ceil(F.log("n") / F.log(F.lit(float(BASE))) - 1e-9).cast("int"))
         if r > 1:  # bands whose pairs have all been met are done
             whole = whole.filter((F.col("n") > 2) & (F.col("level") >= r - 1))
-        left = written(named.join(whole.select("band", "least", "level", "n"), "band"), "bands")
+        left = named.join(whole.select("band", "least", "level", "n"), "band")
+        if edges is None and passes > 1:
+            of_pass = [written(_shared_bands(rows.filter(F.pmod("band", F.lit(passes)) == p)), "bands") for p in range(passes)]
+            left = written(reduce(DataFrame.union, of_pass), "bands")
+            discard(*of_pass)
+        else:
+            left = written(left, "bands")
         discard(before)
         if left.isEmpty():
             discard(left)
             break
         if crowded is not None and r == 2:
-            pairs = written(crowded(left), "pairs")
+            pairs = crowded(left)
             links = verified(pairs, left)
             discard(pairs, left)
             after = written(links if edges is None else links.union(edges), "edges")
