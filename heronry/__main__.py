@@ -1,5 +1,5 @@
 """Command line: python -m heronry TABLE stats | add TARGET | ingest-dump FILE [MAX] | search WORDS | ask WORDS |
-copy FOLDER | transfer FOLDER (goes on after a stop) | eval CASES (JSON lines of query_id, query, category, acceptable) | ingest-multistream FILE CHECKPOINT. Words after the table that are no command are searched. --hybrid and --rerank go with search, ask and eval."""
+copy FOLDER | transfer FOLDER (goes on after a stop) | eval CASES (JSON lines of query_id, query, category, acceptable) | ingest-multistream FILE CHECKPOINT | fetch FILE | wiki FILE (lines of addresses or titles). Words after the table that are no command are searched. --hybrid and --rerank go with search, ask and eval."""
 
 from __future__ import annotations
 
@@ -29,6 +29,8 @@ def main(words: list[str], library: Library | None = None) -> str:
         return f"{library.index(readers.read_dump(library.spark, rest[0], most))} chunks"
     if command == "ingest-multistream" and len(rest) > 1:
         return f"{ingest.index_dump(library.spark, rest[0], table, rest[1], embedder=library.embedder)} ranges"
+    if command in ("fetch", "wiki") and rest:
+        return f"{library.index(library.remote(library.spark.read.text(rest[0]).filter('trim(value) <> \'\''), articles=command == 'wiki'))} chunks"
     if command == "copy" and rest:
         return str(store.transfer(library.points(), rest[0]))
     if command == "transfer" and rest:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from heronry.functions import scores as S
 from heronry.functions import text as T
+from heronry.functions.stems import stemmed
 
 #: Bytes of query vectors that one pass over the points compares (they travel to every task), and queries whose
 #: products with a batch of points are held at once.
@@ -98,24 +99,30 @@ def title_search(points: DataFrame, queries: DataFrame, limit: int = 10) -> Data
     return hit.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= limit).select("query_id", "point_id", "title")
 
 
-def bm25_weights(texts: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
-    """Long form id, token, weight of each text's tokens."""
-    t = texts.select(id_col, T.tokens(text_col).alias("t")).withColumn("length", F.size("t"))
+def bm25_weights(texts: DataFrame, id_col: str, text_col: str, *, stems: bool = False, stop_words: tuple[str, ...] = (), **how) -> DataFrame:
+    """Long form id, token, weight of each text's tokens. Words of stop_words count for nothing, not in the length either;
+    with stems, words of one stem are one token. A text's own counts are formed first, so a word is stemmed once a text."""
+    tokens = T.tokens(text_col)
+    if stop_words:
+        tokens = F.filter(tokens, lambda t: ~t.isin(*stop_words))
+    t = texts.select(id_col, tokens.alias("t")).withColumn("length", F.size("t"))
     tf = t.select(id_col, "length", F.explode("t").alias("token")).groupBy(id_col, "length", "token").agg(F.count("*").alias("tf"))
+    if stems:
+        tf = stemmed(tf, "token").groupBy(id_col, "length", "token").agg(F.sum("tf").alias("tf"))
     return tf.select(id_col, "token", S.bm25_weight(F.col("tf"), F.col("length"), **how).alias("weight"))
 
 
-def bm25_scores(points: DataFrame, queries: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+def bm25_scores(points: DataFrame, queries: DataFrame, pool: DataFrame | None = None, **how) -> DataFrame:
     """query_id, point_id, score: sum over shared tokens of the product of both weights.
 
     pool (query_id, point_id) restricts the pairs: only its points' tokens are joined, by query and token. Without it
-    every pair with a shared token counts.
+    every pair with a shared token counts. how: what bm25_weights takes (stems, stop_words), the same for both sides.
     """
     if pool is not None:
         pool = pool.select("query_id", "point_id").distinct()
         points = points.join(pool.select("point_id").distinct(), "point_id", "left_semi")
         queries = queries.join(pool.select("query_id").distinct(), "query_id", "left_semi")
-    p, q = bm25_weights(points, "point_id", "text"), bm25_weights(queries, "query_id", "query").withColumnRenamed("weight", "q_weight")
+    p, q = bm25_weights(points, "point_id", "text", **how), bm25_weights(queries, "query_id", "query", **how).withColumnRenamed("weight", "q_weight")
     pairs = p.join(q, "token") if pool is None else pool.join(p, "point_id").join(q, ["query_id", "token"])
     return pairs.groupBy("query_id", "point_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
 

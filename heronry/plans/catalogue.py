@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html.entities
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 
 from heronry import scratch
 from heronry.functions import scores as S
+from heronry.functions import stems
 from heronry.functions import text as T
 from heronry.operators import answer, bucketed, chunking, code_chunks, evaluate, lexical_index, order_stats, search, store, vector_index
-from heronry.sources import readers
+from heronry.sources import fetch, readers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -341,6 +343,35 @@ def bm25_topk(spark, sf_dir):
     return search.ranked(_bm25(spark, sf_dir), 10).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
 
 
+_STOPS = ", ".join(f"'{w}'" for w in stems.STOP_WORDS)
+
+
+def _bm25_stems_sql(src: str, name: str) -> str:
+    t = f"SELECT id, len(t) AS length, unnest(t) AS w FROM (SELECT {name} AS id, list_filter({_TOKENS.format('text')}, lambda x: x NOT IN ({_STOPS})) AS t FROM {src})"
+    words = f"(SELECT id, length, w, count(*) AS n, regexp_matches(w, '^[a-z]{{3,}}$') AS is_word FROM ({t}) GROUP BY ALL)"
+    tf = f"SELECT id, length, w AS token, sum(n)::DOUBLE AS tf FROM {stems.steps_sql(words)} GROUP BY ALL"
+    return f"SELECT id, token, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / 256)) AS w FROM ({tf})"
+
+
+@query(f"""SELECT query_id, rank::INT AS rank, point_id, round(score, 6) AS score FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, point_id) AS rank FROM
+  (SELECT q.id AS query_id, p.id AS point_id, sum(p.w * q.w) AS score FROM ({_bm25_stems_sql('documents', 'doc_id')}) p JOIN ({_bm25_stems_sql('benchmark', 'item_id')}) q USING (token) GROUP BY ALL)) WHERE rank <= 10""")
+def bm25_stems_topk(spark, sf_dir):
+    """As bm25_topk, over stems and without stop words."""
+    points = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text")
+    queries = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    scored = search.bm25_scores(points, queries, stems=True, stop_words=stems.STOP_WORDS)
+    return search.ranked(scored, 10).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""SELECT w AS stem, count(*) AS n_words, sum(n)::BIGINT AS n FROM {stems.steps_sql(
+  f"(SELECT w, count(*) AS n, regexp_matches(w, '^[a-z]{{3,}}$') AS is_word FROM (SELECT unnest({_TOKENS.format('text')}) AS w FROM documents) GROUP BY w)")} GROUP BY w""")
+def stem_counts(spark, sf_dir):
+    """the stems of all documents' words, how many words and how many occurrences each has."""
+    words = _t(spark, sf_dir, "documents").select(F.explode(T.tokens("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return stems.stemmed(words, "token").groupBy(F.col("token").alias("stem")).agg(F.count("*").alias("n_words"), F.sum("n").alias("n"))
+
+
 @query(ORACLES["bm25_topk"])
 def index_bm25_topk(spark, sf_dir):
     """The same rows as bm25_topk by an index of impact-ordered blocks, of which only some are read."""
@@ -570,3 +601,21 @@ def ext_pricing_summary(spark, sf_dir):
     items = _t(spark, sf_dir, "lineitem").filter("l_shipdate <= TIMESTAMP '1998-09-02'")
     revenue = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
     return items.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(revenue, 2).alias("revenue"), F.count("*").alias("n"))
+
+
+def _answers(url: str) -> str | None:
+    """Stands for the network: addresses of one origin fail or are absent by a checksum of the address."""
+    if url.startswith("https://first.") and (n := zlib.crc32(url.encode()) % 4) < 2:
+        if n == 0:
+            raise OSError("unreachable")
+        return None
+    return f"body of {url}"
+
+
+@query()
+def fetch_two_origins(spark, sf_dir):
+    """An address at two origins for each document, the second asked where the first fails or lacks it."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("target"))
+    urls = F.array(*(F.concat(F.lit(f"https://{o}.example/"), "target") for o in ("first", "second")))
+    found = fetch.fetched(docs.select("target", urls.alias("urls")), _answers, rate=None, pause=0.0)
+    return scratch.carrying(found.select("target", "turn", "url", "status", "attempts", F.length("body").alias("n_body")), found)

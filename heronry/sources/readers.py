@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from heronry import schemas
 from heronry.functions import text as T
 from heronry.operators.numbering import numbered
+from heronry.sources import fetch
 
 # Kinds by file suffix, and folders that are passed over.
 KINDS = {
@@ -64,15 +65,19 @@ def web_documents(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     return pages.select(*document(T.uuid5(url_col, uuid.NAMESPACE_URL), title, F.col(url_col), T.html_to_markdown(html_col, title), "web", False))
 
 
-def fetch_pages(urls: list[str], get: Callable[[str], str], spark: SparkSession) -> DataFrame:
-    """Pages fetched on the driver by any getter; a failure leaves html null."""
-    rows = []
-    for url in urls:
-        try:
-            rows.append((url, get(url)))
-        except Exception:  # noqa: BLE001 - any failure of one page is that page's
-            rows.append((url, None))
-    return spark.createDataFrame(rows, "url string, html string")
+def fetch_pages(urls: list[str], get: Callable[[str], str | None], spark: SparkSession, **how) -> DataFrame:
+    """url, html of pages fetched by tasks (`fetch.fetched`); a failure leaves html null."""
+    rows = spark.createDataFrame([(u, [u]) for u in dict.fromkeys(urls)], "target string, urls array<string>")
+    return fetch.fetched(rows, get, **how).select(F.col("target").alias("url"), F.col("body").alias("html"))
+
+
+def article_documents(found: DataFrame) -> DataFrame:
+    """Documents of the articles that were found; id, title and text as the answer gives them."""
+    page = "map<string,struct<title:string,extract:string>>"
+    held = found.filter("status = 'ok'").select("target", "url", F.explode(F.from_json("body", f"query struct<pages:{page}>")["query"]["pages"]).alias("id", "page"))
+    held = held.select("id", F.coalesce("page.title", "target").alias("title"), F.concat(F.regexp_extract("url", "^https?://[^/]+", 0), F.lit("/wiki/")).alias("base"), T.strip(F.col("page.extract")).alias("text"))
+    held = held.filter("id <> '-1' AND text <> ''")
+    return held.select(*document(F.col("id"), F.col("title"), F.concat("base", F.replace("title", F.lit(" "), F.lit("_"))), F.col("text"), "wiki", False))
 
 
 def prefer(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
@@ -256,8 +261,8 @@ def resolve(
     spark: SparkSession, target: str, get: Callable[[str], str] | None = None, article: Callable[[str], tuple[str, str] | None] | None = None,
     *, extractors: dict[str, Callable[[bytes, str], str | None]] | None = None, titles: DataFrame | None = None,
 ) -> tuple[str, DataFrame | None]:
-    """(kind, documents) of a URL, a folder, a file, or an article's title, in this order. Where no article is found,
-    kind is suggestions and the rows are up to three of titles, or else not_found."""
+    """(kind, documents) of a URL, a folder, a file, or an article's title, in this order. Without `article`, `get` asks
+    both encyclopedias for the title. Where no article is found, kind is suggestions and the rows are up to three of titles, or else not_found."""
     target = target.strip().strip("'\"")
     if re.match(r"https?://", target):
         if get is None:
@@ -278,6 +283,11 @@ def resolve(
             raise ValueError(f"{kind} files need an extractor: see extracted()")
         return "file", file_documents(spark.read.format("binaryFile").load(_literal(target)).select("path", "content").withColumn("kind", F.lit(kind)), extractors)
     found = article(target) if article else None
+    if article is None and get is not None:
+        asked = fetch.article_targets(spark.createDataFrame([(target,)], "title string"))
+        docs = article_documents(fetch.fetched(asked, fetch.article_body(get), rate=None, tries=1))
+        if not docs.isEmpty():
+            return "wiki", docs
     if found is None:
         near = suggest_titles(titles, target) if titles is not None else None
         return ("not_found", None) if near is None or near.isEmpty() else ("suggestions", near)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from heronry import schemas, scratch
 from heronry.operators import answer, evaluate, search, store
 from heronry.operators.bucketed import BucketTable
-from heronry.sources import readers
+from heronry.sources import fetch, readers
 from heronry.streaming import ingest
 
 NOTHING = "Nothing that fits was found."
@@ -53,6 +53,15 @@ class Library:
             return kind, [r["title"] for r in docs.collect()]
         return kind, 0 if docs is None else self.index(docs)
 
+    def remote(self, lines: DataFrame, *, articles: bool = False, **how) -> DataFrame:
+        """Documents of the addresses, or of the articles by their titles, in the first column of lines; fetched by tasks
+        at a rate a host (`fetch.fetched`). What was not found has no document."""
+        name, get = F.trim(F.col(lines.columns[0])), self.get or fetch.http_get
+        if articles:
+            return readers.article_documents(fetch.fetched(fetch.article_targets(lines.select(name.alias("title"))), fetch.article_body(get), **how))
+        targets = lines.select(name.alias("target"), F.array(name).alias("urls"))
+        return readers.web_documents(fetch.pages(fetch.fetched(targets, get, **how)))
+
     def hits(self, query: str, k: int = 5, *, hybrid: bool = False, rerank: bool = False) -> DataFrame:
         asked = self.spark.createDataFrame([(0, query)], "query_id long, query string").withColumn("vector", self.embedder(F.col("query")))
         return search.ask(self.points(), asked, k, hybrid=hybrid, score_pairs=self.score_pairs if rerank else None)
