@@ -78,16 +78,23 @@ def steps(test: str = "regexp_like") -> list[str]:
 
 
 def stemmed(words: DataFrame, column: str) -> DataFrame:
-    """words with the stems in place of the column's words; no row moves."""
-    others = [c for c in words.columns if c != column]
-    now = words.select(*others, F.col(column).alias("w"), F.col(column).rlike("^[a-z]{3,}$").alias("is_word"))
+    """words with the stems in place of the column's words; no row moves.
+
+    A step names its word many times, so each is a function of one variable around the one before: as columns of
+    their own, conditions that move below them would write them out in each other, 60 times over at each step.
+    """
+    stem = f"`{column}`"
     for step in steps():
-        now = now.select(*others, F.when(F.col("is_word"), F.expr(step)).otherwise(F.col("w")).alias("w"), "is_word")
-    return now.select(*(F.col("w").alias(c) if c == column else c for c in words.columns))
+        stem = f"get(transform(array({stem}), w -> {step}), 0)"
+    stem = F.when(F.col(f"`{column}`").rlike("^[a-z]{3,}$"), F.expr(stem)).otherwise(F.col(f"`{column}`"))
+    out = words.select(*(f"`{c}`" for c in words.columns if c != column), F.explode(F.array(stem)).alias(column))
+    return out.select(*(f"`{c}`" for c in words.columns))
 
 
 def steps_sql(source: str, test: str = "regexp_matches") -> str:
-    """A query of all columns of source, which has w, with the stems as w."""
-    for step in steps(test):
-        source = f"(SELECT * REPLACE (CASE WHEN is_word THEN {step} ELSE w END AS w) FROM {source})"
-    return source
+    """A query of all columns of source, which has w and is_word, with the stems as w. Each step is a table of its own, as an
+    engine that puts one step into the next would write each out many times over."""
+    tables = [f"w0 AS MATERIALIZED (SELECT * FROM {source})"]
+    for n, step in enumerate(steps(test), 1):
+        tables.append(f"w{n} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN is_word THEN {step} ELSE w END AS w) FROM w{n - 1})")
+    return f"(WITH {', '.join(tables)} SELECT * FROM w{len(tables) - 1})"
