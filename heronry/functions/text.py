@@ -71,12 +71,14 @@ def _named(name: Column) -> Column:
     return F.coalesce(common, F.try_element_at(table, name), rest, F.concat(F.lit("&"), name))
 
 
-def unescape(x: Column | str) -> Column:
-    """HTML entities to characters, as HTML reads them: numbers, names, and old names without a semicolon.
+def unescape(x: Column | str, bare: bool = True) -> Column:
+    """HTML entities to characters, as HTML reads them: numbers, names, and old names without a semicolon. With bare
+    false, what has no semicolon stays as it is.
 
     Text without an ampersand costs one search. `&amp;` is not decoded twice: pieces are replaced one by one.
     """
     pattern = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+    pattern = pattern if bare else pattern.replace(";?", ";")
 
     def pieces(x: Column) -> Column:
         decoded = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), lambda name: F.when(name.startswith("#"), _numbered(name)).otherwise(_named(name)))
@@ -114,13 +116,13 @@ def html_title(x: Column | str, otherwise: Column | str) -> Column:
     return F.when(_col(x).rlike(r"(?is)<title[^>]*>.*?</title>"), strip(found)).otherwise(_col(otherwise))
 
 
-def html_to_markdown(x: Column | str, title: Column | str) -> Column:
-    """`# title`, a blank line, and the page's lines: headings of three levels, paragraphs and breaks kept."""
+def html_to_markdown(x: Column | str, title: Column | str, bare: bool = True) -> Column:
+    """`# title`, a blank line, and the page's lines: headings of three levels, paragraphs and breaks kept. bare: see `unescape`."""
     # The elements' patterns, in the order in which they are replaced.
     x = sub(_col(x), (rf"(?is)<({BOILERPLATE_TAGS})[^>]*>.*?</\1>", ""))
     x = sub(x, *[(rf"(?is)<h{n}[^>]*>(.*?)</h{n}>", f"\n{'#' * n} $1\n") for n in (1, 2, 3)])
     x = sub(x, (r"(?is)<p[^>]*>(.*?)</p>", "\n$1\n"), (r"(?iU)<br\s*/?>", "\n"), ("<[^>]+>", " "))
-    lines = F.transform(F.split(unescape(x), LINE_ENDS, -1), strip)
+    lines = F.transform(F.split(unescape(x, bare), LINE_ENDS, -1), strip)
     return F.concat(F.lit("# "), _col(title), F.lit("\n\n"), F.array_join(F.filter(lines, lambda s: s != ""), "\n"))
 
 

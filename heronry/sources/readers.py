@@ -59,10 +59,10 @@ def read_dump(spark: SparkSession, path: str, max_articles: int | None = None) -
     return found if max_articles is None else found.limit(max_articles)
 
 
-def web_documents(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Fetched pages (url, html) to Markdown documents; the title falls back to the url."""
+def web_documents(pages: DataFrame, url_col: str = "url", html_col: str = "html", bare: bool = True) -> DataFrame:
+    """Fetched pages (url, html) to Markdown documents; the title falls back to the url. bare: see `functions.text.unescape`."""
     title = T.html_title(html_col, url_col)
-    return pages.select(*document(T.uuid5(url_col, uuid.NAMESPACE_URL), title, F.col(url_col), T.html_to_markdown(html_col, title), "web", False))
+    return pages.select(*document(T.uuid5(url_col, uuid.NAMESPACE_URL), title, F.col(url_col), T.html_to_markdown(html_col, title, bare), "web", False))
 
 
 def fetch_pages(urls: list[str], get: Callable[[str], str | None], spark: SparkSession, **how) -> DataFrame:
