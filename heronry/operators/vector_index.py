@@ -30,8 +30,10 @@ from heronry.operators.order_stats import continuous_quantile
 #: Points in a block, vectors that centroids are fitted on, cells at most (centroids travel to every task: MOST_CELLS
 #: of 1,024 components are 67 MB), and points a query that are scored again, as a multiple of k.
 BLOCK, SAMPLE, MOST_CELLS, REFINE = 16_384, 65_536, 8_192, 8
-#: Queries whose products with a block are held at once.
-QUERIES_AT_ONCE = 512
+#: Queries whose products with a block are held at once, and vectors that are compared with all centroids at once.
+QUERIES_AT_ONCE, VECTORS_AT_ONCE = 512, 256
+#: Bytes of vectors that go out in one frame, where each query's is repeated for every block that it probes.
+FRAME_BYTES = 8_000_000
 SLACK = 1e-9
 
 
@@ -40,6 +42,13 @@ def _units(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _slices(frames: Iterable, rows: int) -> Iterable:
+    """The frames in parts of so many rows at most."""
+    for pdf in frames:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
+
+
 def usable(vectors: DataFrame, vector_col: str = "vector") -> DataFrame:
     """Rows whose vector is there, finite and not zero."""
     whole = F.coalesce(F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
@@ -80,11 +89,10 @@ def build(points: DataFrame, path: str, *, id_col: str = "point_id", vector_col:
     fields = f"id {dict(own.dtypes)['id']}, vector {dict(own.dtypes)['vector']}"
 
     def assign(batches: Iterable):
-        for pdf in batches:
-            if len(pdf):
-                unit = _units(pdf["vector"])
-                product = unit @ centres.T
-                yield pdf.assign(cell=product.argmax(1).astype(np.int32), near=product.max(1), unit=list(unit.astype(np.float32)))
+        for pdf in _slices(batches, VECTORS_AT_ONCE):
+            unit = _units(pdf["vector"])
+            product = unit @ centres.T
+            yield pdf.assign(cell=product.argmax(1).astype(np.int32), near=product.max(1), unit=list(unit.astype(np.float32)))
 
     dealt = scratch.written(held.mapInPandas(assign, fields + ", cell int, near double, unit array<float>"), "assigned")
     scale = continuous_quantile(dealt.select(F.lit(1).alias("all"), F.explode("unit").alias("c")).withColumn("c", F.abs("c").cast("double")), "all", "c", quantile).first()["value"]
@@ -120,9 +128,8 @@ class Index:
         def probe(batches: Iterable):
             import pandas as pd
 
-            for pdf in batches:
-                if not len(pdf):
-                    continue
+            rows = max(1, FRAME_BYTES // (8 * centres.shape[1]))
+            for pdf in _slices(batches, VECTORS_AT_ONCE):
                 near = _units(pdf["vector"]) @ centres.T
                 order = np.argsort(-near, axis=1, kind="stable")
                 place = np.argsort(order, axis=1, kind="stable")
@@ -135,7 +142,10 @@ class Index:
                 each = blocks[cell]
                 row, cell = np.repeat(row, each), np.repeat(cell, each)
                 block = np.arange(len(cell)) - np.repeat(np.cumsum(each) - each, each)
-                yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[row], "vector": pdf["vector"].to_numpy()[row], "cell": names[cell], "block": block.astype(np.int32)})
+                ids, vectors = pdf["query_id"].to_numpy(), pdf["vector"].to_numpy()
+                # A query may probe every block there is: its vector is repeated in frames of bounded size.
+                for cut in (slice(at, at + rows) for at in range(0, len(row), rows)):
+                    yield pd.DataFrame({"query_id": ids[row[cut]], "vector": vectors[row[cut]], "cell": names[cell[cut]], "block": block[cut].astype(np.int32)})
 
         columns = ["query_id", "vector"] + ([beyond] if beyond else [])
         return queries.select(*columns).mapInPandas(probe, fields + ", cell int, block int")
