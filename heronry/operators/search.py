@@ -99,16 +99,25 @@ def title_search(points: DataFrame, queries: DataFrame, limit: int = 10) -> Data
     return hit.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= limit).select("query_id", "point_id", "title")
 
 
-def bm25_weights(texts: DataFrame, id_col: str, text_col: str, *, stems: bool = False, stop_words: tuple[str, ...] = (), **how) -> DataFrame:
+def bm25_weights(
+    texts: DataFrame, id_col: str, text_col: str, *, stems: bool = False, stop_words: tuple[str, ...] = (), only: DataFrame | None = None, dealt: bool = False, **how
+) -> DataFrame:
     """Long form id, token, weight of each text's tokens. Words of stop_words count for nothing, not in the length either;
-    with stems, words of one stem are one token. A text's own counts are formed first, so a word is stemmed once a text."""
+    with stems, words of one stem are one token. A text's own counts are formed first, so a word is stemmed once a text.
+
+    only: a table of tokens, small enough to be sent to every task; other tokens give no rows, but count in the length.
+    With dealt, texts move to their ids' places before they become tokens, and nothing moves after that.
+    """
+    texts = texts.select(id_col, text_col).repartition(id_col) if dealt else texts
     tokens = T.tokens(text_col)
     if stop_words:
         tokens = F.filter(tokens, lambda t: ~t.isin(*stop_words))
     t = texts.select(id_col, tokens.alias("t")).withColumn("length", F.size("t"))
-    tf = t.select(id_col, "length", F.explode("t").alias("token")).groupBy(id_col, "length", "token").agg(F.count("*").alias("tf"))
+    known = lambda rows: rows if only is None else rows.join(F.broadcast(only), "token", "left_semi")
+    each = t.select(id_col, "length", F.explode("t").alias("token"))
+    tf = (each if stems else known(each)).groupBy(id_col, "length", "token").agg(F.count("*").alias("tf"))
     if stems:
-        tf = stemmed(tf, "token").groupBy(id_col, "length", "token").agg(F.sum("tf").alias("tf"))
+        tf = known(stemmed(tf, "token")).groupBy(id_col, "length", "token").agg(F.sum("tf").alias("tf"))
     return tf.select(id_col, "token", S.bm25_weight(F.col("tf"), F.col("length"), **how).alias("weight"))
 
 
@@ -116,13 +125,19 @@ def bm25_scores(points: DataFrame, queries: DataFrame, pool: DataFrame | None =
     """query_id, point_id, score: sum over shared tokens of the product of both weights.
 
     pool (query_id, point_id) restricts the pairs: only its points' tokens are joined, by query and token. Without it
-    every pair with a shared token counts. how: what bm25_weights takes (stems, stop_words), the same for both sides.
+    every pair with a shared token counts: up to SENT_WEIGHTS weights of queries (they are counted first) are sent to every
+    task, so that a point is scored where its text is and only its scores go on; more are joined by token.
+    how: what bm25_weights takes (stems, stop_words), the same for both sides.
     """
     if pool is not None:
         pool = pool.select("query_id", "point_id").distinct()
         points = points.join(pool.select("point_id").distinct(), "point_id", "left_semi")
         queries = queries.join(pool.select("query_id").distinct(), "query_id", "left_semi")
-    p, q = bm25_weights(points, "point_id", "text", **how), bm25_weights(queries, "query_id", "query", **how).withColumnRenamed("weight", "q_weight")
+    q = bm25_weights(queries, "query_id", "query", **how).withColumnRenamed("weight", "q_weight")
+    if pool is None and q.count() <= SENT_WEIGHTS:
+        p = bm25_weights(points, "point_id", "text", only=q.select("token").distinct(), dealt=True, **how)
+        return p.join(F.broadcast(q), "token").groupBy("query_id", "point_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
+    p = bm25_weights(points, "point_id", "text", **how)
     pairs = p.join(q, "token") if pool is None else pool.join(p, "point_id").join(q, ["query_id", "token"])
     return pairs.groupBy("query_id", "point_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("score"))
 
