@@ -14,19 +14,23 @@ from heronry.functions import scores as S
 from heronry.functions import text as T
 from heronry.functions.stems import stemmed
 
-#: Bytes of query vectors that one pass over the points compares (they travel to every task), and queries whose
-#: products with a batch of points are held at once.
-BLOCK_BYTES, QUERIES_AT_ONCE = 64_000_000, 1024
+#: Bytes of query vectors that one pass over the points compares (they travel to every task), bytes of products of queries
+#: with a batch of points that are held at once, and rows that a task sends on at once.
+BLOCK_BYTES, PRODUCT_BYTES, ROWS_AT_ONCE = 64_000_000, 8_000_000, 16_384
+#: Queries' weights that are sent to every task in place of moving those of the points to them.
+SENT_WEIGHTS = 500_000
 
 
 class _Best:
     """The k best (score, id) of each of n queries, over all batches of a task; ties to the smaller id."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.scores, self.ids = k, [np.zeros(0)] * n, [np.zeros(0, object)] * n
+        self.k, self.scores, self.ids = k, [np.zeros(0)] * n, [None] * n
 
     def add(self, i: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores, ids = np.concatenate([self.scores[i], scores]), np.concatenate([self.ids[i], ids])
+        # Ids keep their type: numbers are not objects.
+        ids = ids if self.ids[i] is None else np.concatenate([self.ids[i], ids])
+        scores = np.concatenate([self.scores[i], scores])
         top = np.lexsort((ids, -np.round(scores, 12)))[: self.k]
         self.scores[i], self.ids[i] = scores[top], ids[top]
 
@@ -58,16 +62,23 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str
                 x = np.stack(pdf[vector_col].to_numpy()).astype(float)
                 norm = np.linalg.norm(x, axis=1)
                 own, x = pdf[id_col].to_numpy()[norm > 0], x[norm > 0] / norm[norm > 0][:, None]
-                for at in range(0, len(q), QUERIES_AT_ONCE):
-                    for i, s in enumerate(q[at : at + QUERIES_AT_ONCE] @ x.T, at):
+                if not len(own):
+                    continue
+                at_once = max(1, PRODUCT_BYTES // (8 * len(x)))
+                for at in range(0, len(q), at_once):
+                    for i, s in enumerate(q[at : at + at_once] @ x.T, at):
                         use = ~np.isnan(s) & ((own != names[i]) | (not skip_self))
                         if len(s) > 4 * k:  # only what reaches the k-th score can be among the best
                             use &= np.round(s, 12) >= np.round(np.partition(np.where(use, s, -2), -k)[-k], 12)
                         held.add(i, s[use], own[use])
-            counts = [len(x) for x in held.ids]
-            if sum(counts):
-                name = np.repeat(np.array(names, object), counts)
-                yield pd.DataFrame({query_col: name, id_col: np.concatenate(held.ids), "score": np.concatenate(held.scores)})
+            each = max(1, ROWS_AT_ONCE // k)
+            for at in range(0, len(q), each):
+                some = [i for i in range(at, min(at + each, len(q))) if held.ids[i] is not None and len(held.ids[i])]
+                if some:
+                    name = np.repeat(np.array([names[i] for i in some], object), [len(held.ids[i]) for i in some])
+                    yield pd.DataFrame({query_col: name, id_col: np.concatenate([held.ids[i] for i in some]), "score": np.concatenate([held.scores[i] for i in some])})
+                for i in some:
+                    held.ids[i] = held.scores[i] = None
 
         return points.select(id_col, vector_col).mapInPandas(best, schema)
 
