@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table, text_of, tidied
+from .common import rest, table, text_of, tidied
 from .shingles import mix
 
 EDGES = ".,;:!?\"'()[]{}<>«»“”‘’…*#$%&|"
@@ -185,6 +185,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 4_000, max
     ours = marks.mean() if len(marks) else 0.5
     if 0 < ours < 1:  # the sample is balanced, the corpus is not
         model.intercept += float(np.log(share / (1 - share)) - np.log(ours / (1 - ours)))
+    del texts
+    rest()  # the driver goes on to other stages
     return model
 
 
