@@ -13,11 +13,12 @@ Tokens are the hashed 5-word shingles of a document. Documents of the same set a
    meet in the prefixes of the other two orders as well; then the sets are compared.
 
 The pairs under one token are not all formed (`grouped_components`). At first every class is compared with the
-least of the classes that are first in its tokens' lists, then with all of these; in later rounds r about
-4**(r - 1) members of each list, drawn by hash and new in each round, are compared with the others. Pairs inside a
-component are left out, and components are updated after each round. A list ends when one component holds it or all
-its pairs have been met, so no link between components is lost, a list of near copies ends after a round or two, and
-every list ends in a logarithmic number of rounds.
+least of the classes that are first in its tokens' lists, then with all of these. Pairs inside a component are left
+out, and components are updated after each round. Of the lists that are not one component then, those of up to SMALL
+classes have all their pairs formed. In a longer one every class is seen by how it differs from the list's centre, the
+class whose tokens are the most frequent ones (`crowded_pairs`): two linked classes differ from it in the same tokens, or are
+both linked with it. So near copies that are not linked with each other do not meet for what all of them share, and
+no link between components is lost.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with
 nothing; repeated rows of an id each give a row; other columns are ignored, so their names cannot
@@ -27,7 +28,7 @@ clash; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, rest, table, tidied, written
@@ -38,6 +39,8 @@ BYTES_PER_BUCKET = 16_000_000
 LOW_BITS = 40
 MOST_BUCKETS = 1 << 22
 BYTES_AT_ONCE = 4_000_000
+#: Up to so many classes, all pairs of a list are formed.
+SMALL = 8
 
 
 def _spans(counts: np.ndarray) -> np.ndarray:
@@ -141,7 +144,8 @@ def _shared_tokens(group, buckets: int):
 
 
 def _prefixes(group, percent: int):
-    """One bucket of classes to a row per class with shared tokens in its prefix."""
+    """One bucket of classes to a row per class with shared tokens in its prefix; usual: how frequent its tokens are on
+    average (thousandths of a power of two)."""
     import pyarrow as pa
 
     from heronry.llm.shingles import mix
@@ -165,9 +169,10 @@ def _prefixes(group, percent: int):
     lists = []
     for order in orders:
         lists.append(pa.ListArray.from_arrays(pa.array(_spans(take[live]).astype(np.int32)), pa.array(tokens[order][cut].view(np.int64))))
+    usual = (1000 * np.add.reduceat(np.log2(df[orders[0]]), first) / n).astype(np.int32) if len(first) else np.zeros(0, np.int32)
     whole = np.repeat(live, held)
     lists.append(pa.ListArray.from_arrays(pa.array(_spans(held[live]).astype(np.int32)), pa.array(tokens[orders[0]][whole].view(np.int64))))
-    return pa.Table.from_arrays([pa.array(same[first][live]), pa.array(n[live]), *lists], ["class", "n", "first", "second", "third", "tokens"])
+    return pa.Table.from_arrays([pa.array(same[first][live]), pa.array(n[live]), pa.array(usual[live]), *lists], ["class", "n", "usual", "first", "second", "third", "tokens"])
 
 
 def linked_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -212,7 +217,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     rows = written(held.filter("bucket < 0").mapInArrow(unpacked, "doc_id long, class long, n_shingles long"), "documents")
     classes = held.filter("bucket >= 0").drop("ids").groupBy("bucket")
-    schema = "class long, n long, first array<long>, second array<long>, third array<long>, tokens array<long>"
+    schema = "class long, n long, usual int, first array<long>, second array<long>, third array<long>, tokens array<long>"
     classes = written(classes.applyInArrow(lambda group: _prefixes(group, percent), schema), "classes")
     discard(held)
     roots = _components(classes, percent)
@@ -226,15 +231,78 @@ def _nothing(n: int):
     return pa.nulls(n, pa.binary())
 
 
+def differences(left: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """A row for each class of a long list beside the list's centre, a written table: g (a number), pivot (the centre), key,
+    out (not linked with the centre), part (that of the centre, if linked with it), n, d (how many tokens only one of key
+    and centre has), and places, the differing tokens that others have too: at and pos, rarest first.
+
+    left: key, band, part, usual, n_keys. A token counts as another one where a class lacks it. The centre's own
+    tokens are lacked by all classes and stand last."""
+    many = left.filter(F.col("n_keys") > SMALL)
+    centre = many.groupBy("band").agg(F.max(F.struct("usual", "key", "part")).alias("c")).select("band", F.col("c.key").alias("pivot"), F.col("c.part").alias("p_part"))
+    rows = many.join(centre, "band").filter("key <> pivot").select("pivot", "p_part", "key", "part").distinct()
+    side = lambda key, p: classes.select(F.col("class").alias(key), F.col("n").alias(f"{p}n"), "tokens").withColumnRenamed("tokens", f"{p}tokens")
+    rows = rows.join(side("key", ""), "key").join(side("pivot", "p_"), "pivot")
+    marked = lambda tokens, lacked: F.transform(tokens, lambda t: F.xxhash64("pivot", t, F.lit(lacked)))
+    differing = F.concat(marked(F.array_except("tokens", "p_tokens"), 0), marked(F.array_except("p_tokens", "tokens"), 1))
+    own, p_own = F.col("n") - F.size("tokens"), F.col("p_n") - F.size("p_tokens")
+    rows = rows.select("pivot", "p_part", "key", "part", "n", "p_n", own.alias("own"), p_own.alias("p_own"), differing.alias("differing"))
+    rows = rows.withColumn("d", F.col("own") + F.col("p_own") + F.size("differing"))
+    out = (F.col("part") != F.col("p_part")) & (F.col("d") * (100 + percent) > (F.col("n") + F.col("p_n")) * (100 - percent))
+    fresh = ~out & (F.col("part") != F.col("p_part"))
+    rows = rows.select("pivot", "key", out.alias("out"), fresh.alias("fresh"), F.when(out, F.col("part")).otherwise(F.col("p_part")).alias("part"), "n", "own", "p_own", "d", "differing")
+    rows = written(rows.withColumn("g", F.monotonically_increasing_id()), "differences")
+    # Rarest first; what one class alone differs in meets nothing, but counts in the places.
+    each = rows.select("g", F.explode("differing").alias("at"))
+    often = each.groupBy("at").agg(F.count("*").alias("often")).filter("often > 1")
+    shared = each.join(often, "at").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("often", "at"))).alias("shared"))
+    lists = rows.join(shared, "g", "left").withColumn("shared", F.coalesce(F.col("shared.at"), F.array().cast("array<long>")))
+    alone = F.col("own") + F.size("differing") - F.size("shared")
+    places = F.transform("shared", lambda t, i: F.struct(t.alias("at"), (i + F.col("alone")).alias("pos")))
+    last = F.when(F.col("p_own") > 0, F.array(F.struct(F.xxhash64("pivot").alias("at"), (F.col("alone") + F.size("shared")).alias("pos")))).otherwise(F.array())
+    # Of two linked classes, the one that differs more has a shared token among its first ones.
+    most = F.floor(F.col("n") * (100 - percent) / percent) + 1
+    lists = lists.withColumn("alone", alone.cast("long")).withColumn("places", F.filter(F.concat(places, last), lambda x: x["pos"] < most))
+    out = written(lists.select("g", "pivot", "key", "out", "fresh", "part", "n", "d", "places"), "lists")
+    discard(rows)
+    return out
+
+
+def crowded_pairs(left: DataFrame, classes: DataFrame, near: Column, percent: int) -> DataFrame:
+    """a, b (a < b), a written table: all pairs of classes of a list that can be linked, but for those of one part.
+
+    Let D be what a class differs from the centre in. |A ^ B| = |D_A ^ D_B|, and A and B are linked if that is at most
+    c (n_A + n_B), c = (100 - percent) / (100 + percent). If |D_A| + |D_B| is no more, both are linked with the centre: n_B is at
+    most n_P + |D_B|, so |D_A| <= c (n_A + n_P) + c |D_B| - |D_B|. Else D_A and D_B share at least
+    (|D_A| + |D_B| - c (n_A + n_B)) / 2 tokens, and the first of them in the common order leaves as many behind it."""
+    few = left.filter((F.col("key") != F.col("least")) & (F.col("n_keys") <= SMALL)).select("band", "key", "part", "n", "pos")
+    few = few.join(few.select("band", *(F.col(c).alias(f"p_{c}") for c in ("key", "part", "n", "pos"))), "band").filter("key < p_key AND part <> p_part").filter(near)
+    lists = differences(left, classes, percent)
+    first = lists.select("g", "key", "out", "part", "n", "d", F.inline("places"))
+    # Of two classes one is not linked with the centre, or both would be of its part.
+    met = first.filter("out").drop("out").join(first.select("at", *(F.col(c).alias(f"p_{c}") for c in ("g", "key", "out", "part", "n", "d", "pos"))), "at")
+    met = met.filter("part <> p_part AND (NOT p_out OR g < p_g)").filter(F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
+    behind = F.least(F.col("d") - F.col("pos"), F.col("p_d") - F.col("p_pos"))
+    met = met.filter((F.col("d") + F.col("p_d") - 2 * behind) * (100 + percent) <= (F.col("n") + F.col("p_n")) * (100 - percent))
+    with_centre = lists.filter("fresh").select("key", F.col("pivot").alias("p_key"))
+    pairs = few.select("key", "p_key").union(met.select("key", "p_key")).union(with_centre)
+    pairs = written(pairs.select(F.least("key", "p_key").alias("a"), F.greatest("key", "p_key").alias("b")).distinct(), "pairs")
+    discard(lists)
+    return pairs
+
+
 def _components(classes: DataFrame, percent: int) -> DataFrame | None:
     """node, component of the classes that have links."""
     # pos: the token's place in the class's whole first order; tokens of frequency 1 stand before all of these.
-    lists = classes.select(F.col("class").alias("key"), "n", F.posexplode("first").alias("pos", "band"), (F.col("n") - F.size("tokens")).alias("own"))
-    lists = lists.select("key", "band", "n", (F.col("pos") + F.col("own")).alias("pos"))
+    lists = classes.select(F.col("class").alias("key"), "n", F.posexplode("first").alias("pos", "band"), (F.col("n") - F.size("tokens")).alias("own"), "usual")
+    lists = lists.select("key", "band", "n", (F.col("pos") + F.col("own")).alias("pos"), "usual")
     # The first token that two linked classes share leaves enough tokens behind it in both.
     near = F.least(F.col("n") - F.col("pos"), F.col("p_n") - F.col("p_pos")) * (100 + percent) >= (F.col("n") + F.col("p_n")) * percent
     near = near & (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
-    return grouped_components(lists, lambda pairs, _: linked_pairs(pairs, classes, percent), near=near, carried=("n", "pos"), one_first=True)
+    return grouped_components(
+        lists, lambda pairs, _: linked_pairs(pairs, classes, percent), near=near, carried=("n", "pos", "usual"), one_first=True,
+        crowded=lambda left: crowded_pairs(left, classes, near, percent),
+    )
 
 
 def _with_components(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
