@@ -115,8 +115,11 @@ def train(texts: list[str], labels: np.ndarray, *, bits: int = 17, size: int = 8
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    cut = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.large_string())).to_pylist()
-    bags = [Counter(_normal([w for w in words if w])) for words in cut]
+    held = {}  # a word is one object, however many documents have it; only one document's runs of it stand beside it
+    bags = []
+    for t in texts:
+        runs = pc.utf8_split_whitespace(pa.scalar(t or "", pa.large_string())).as_py()
+        bags.append(Counter(held.setdefault(w, w) for w in _normal([r for r in runs if r])))
     spread = Counter(w for bag in bags for w in bag)
     vocab = {w: i for i, w in enumerate(sorted(w for w, n in spread.items() if n >= min_docs))}
     kept = [[(vocab[w], n) for w, n in bag.items() if w in vocab] or [(0, 0)] for bag in bags]
@@ -164,8 +167,8 @@ def train(texts: list[str], labels: np.ndarray, *, bits: int = 17, size: int = 8
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 4_000, max_bytes: int = 40_000_000) -> ToxicityModel:
     """docs: doc_id, text. labels: doc_id, label. At most `sample` documents, half of them of label 1 if
-    there are as many, smallest seeded hash first; the driver takes whole texts, none above max_bytes / 40 (1 MB), until
-    max_bytes of UTF-8. These bounds hold for the fit alone; every text is scored."""
+    there are as many, smallest seeded hash first; one task takes whole texts, none above max_bytes / 40 (1 MB), until
+    max_bytes of UTF-8, and fits. These bounds hold for the fit alone; every text is scored."""
     labels = labels.filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     labels = labels.withColumn("key", F.xxhash64(F.lit(31), "doc_id"))
     halves = [labels.filter(F.col("label") == y).orderBy("key", "doc_id").limit(sample // 2) for y in (0, 1)]
@@ -173,19 +176,34 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 4_000, max
     if share is None:
         return train([], np.zeros(0))
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(halves[0].union(halves[1])), "doc_id").filter(F.octet_length("text") <= max_bytes // 40)
-    texts, marks, held = [], [], 0
-    for r in rows.select("text", "label", F.octet_length("text").alias("bytes")).toLocalIterator():
-        held += r["bytes"]
-        if held > max_bytes:
-            break
-        texts.append(r["text"])
-        marks.append(r["label"])
-    marks = np.array(marks, float)
-    model = train(texts, marks)
-    ours = marks.mean() if len(marks) else 0.5
+
+    def fitted(batches):
+        import pyarrow as pa
+
+        from heronry.llm.toxicity import train
+
+        texts, marks, held = [], [], 0
+        for batch in batches:
+            for t, y in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
+                held += t.as_buffer().size
+                if held <= max_bytes:
+                    texts.append(t.as_py())
+                    marks.append(y)
+        marks = np.array(marks, float)
+        model = train(texts, marks)
+        ours = float(marks.mean()) if len(marks) else 0.5
+        yield pa.RecordBatch.from_pylist([{"numbers": model.table.tobytes(), "bits": model.bits, "scale": float(model.scale), "intercept": float(model.intercept), "ours": ours}])
+
+    # The sample has a bound, and is fitted in a task: the driver gets 4 bytes a bucket.
+    one = rows.select("key", "doc_id", "text", "label").repartition(1).sortWithinPartitions("key", "doc_id", "text").select("text", "label")
+    found = one.mapInArrow(tidied(fitted), "numbers binary, bits long, scale double, intercept double, ours double").first()
+    if found is None:
+        model, ours = train([], np.zeros(0)), 0.5
+    else:
+        model = ToxicityModel(np.frombuffer(found["numbers"], np.float32), found["bits"], found["scale"], found["intercept"])
+        ours = found["ours"]
     if 0 < ours < 1:  # the sample is balanced, the corpus is not
         model.intercept += float(np.log(share / (1 - share)) - np.log(ours / (1 - ours)))
-    del texts
     rest()  # the driver goes on to other stages
     return model
 
