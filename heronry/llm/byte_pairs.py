@@ -6,8 +6,8 @@
    whose pair has another rank by now, is stale and is passed over), and the new symbol's two pairs are queued.
 3. Decoding concatenates the vocabulary's strings: bytes, read as UTF-8 with the replacement character for what is none.
 
-The work is one pass over the texts without a shuffle. A worker keeps the ids of pieces it has met in a table of at most
-HELD pieces. Long texts are cut before a space between two other characters, where a piece always begins, so what a
+The work is one pass over the texts without a shuffle. A worker keeps the ids of pieces it has met in two tables of at most
+HELD pieces each, a new one and the one before it; what is met again moves to the new one. Long texts are cut before a space between two other characters, where a piece always begins, so what a
 task holds follows the longest run without one, not the text; ids and decoded texts leave by row. A text with code points
 above U+FFFF, or without a category in Python's Unicode tables, is cut into pieces by the library's own byte-level cutter.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -29,13 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import table, tidied
 
-#: Pieces whose ids a worker keeps, the longest piece that is kept, and the characters that are cut into pieces at once.
+#: Pieces whose ids one of a worker's two tables keeps, the longest piece that is kept, and the characters that are cut into pieces at once.
 HELD, HELD_CHARS, CHARS_AT_ONCE = 200_000, 64, 1_000_000
 #: Bytes of text whose results leave a task at once.
 BYTES_AT_ONCE = 4_000_000
 #: Code points below this one have two bytes in UTF-16.
 BASIC = 0x10000
 _PLACE_BITS = 40
+_PLACE = (1 << _PLACE_BITS) - 1
 _MODELS: dict[str, BytePairs] = {}
 
 
@@ -68,16 +70,20 @@ def byte_letters() -> list[str]:
 
 
 class _Kept(dict):
-    """The ids of pieces, as bytes; a missing piece is encoded, and kept while there is room."""
+    """The ids of pieces, as bytes; a missing piece is encoded and kept. A full table becomes the one before, whose pieces
+    come back when they are met, so frequent pieces are not encoded again."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.before = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
         if len(piece) <= HELD_CHARS:
             if len(self) >= HELD:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -118,32 +124,33 @@ class BytePairs:
 
     def merged(self, symbols: list[int]) -> list[int]:
         """The ids that a list of symbols merges to."""
-        n, merges = len(symbols), self.merges
+        n, pair_of, pop, push = len(symbols), self.merges.get, heappop, heappush
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [m[0] << _PLACE_BITS | i for i in range(n - 1) if (m := merges.get((symbols[i], symbols[i + 1])))]
+        queue = [m[0] << _PLACE_BITS | i for i, m in enumerate(map(pair_of, zip(symbols, symbols[1:], strict=False))) if m]
         heapify(queue)
         while queue:
-            entry = heappop(queue)
-            rank, i = entry >> _PLACE_BITS, entry & ((1 << _PLACE_BITS) - 1)
-            j = after[i]
-            if symbols[i] < 0 or j >= n:
+            entry = pop(queue)
+            i = entry & _PLACE
+            j, left = after[i], symbols[i]
+            if left < 0 or j >= n:
                 continue  # stale: the symbol went into another, or is the last by now
-            found = merges.get((symbols[i], symbols[j]))
-            if found is None or found[0] != rank:
+            found = pair_of((left, symbols[j]))
+            if found is None or found[0] != entry >> _PLACE_BITS:
                 continue  # stale: another pair stands here
-            symbols[i], symbols[j] = found[1], -1
+            new = symbols[i] = found[1]
+            symbols[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((symbols[i], symbols[k])):
-                    heappush(queue, m[0] << _PLACE_BITS | i)
-            if (h := before[i]) >= 0 and (m := merges.get((symbols[h], symbols[i]))):
-                heappush(queue, m[0] << _PLACE_BITS | h)
+                if m := pair_of((new, symbols[k])):
+                    push(queue, m[0] << _PLACE_BITS | i)
+            if (h := before[i]) >= 0 and (m := pair_of((symbols[h], new))):
+                push(queue, m[0] << _PLACE_BITS | h)
         return [s for s in symbols if s >= 0]
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.byte_ids
-        return b"".join(i.to_bytes(4, "little") for i in self.merged([ids[b] for b in piece.encode()]))
+        ids = self.merged(list(map(self.byte_ids.__getitem__, piece.encode())))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _parts(self, text: str):
         """A text in parts of about CHARS_AT_ONCE characters, each of which begins where a piece begins."""
