@@ -6,8 +6,9 @@
    more than two, are paired greedily, longest first, each with the longest partner that fits;
    smaller ones, longest first, go to the smallest gap that holds them, or open a new sequence. Equal
    sequences are one entry of the plan with a count, so its size follows the capacity, not the corpus.
-3. Pieces of a length are numbered (counts by bucket first, then inside a bucket, so a length that
-   most documents share has many tasks) and look their number up in the plan.
+3. Pieces of a length are numbered and look their number up in the plan: a task counts the pieces of each length as it
+   cuts them, so only the counts by task and length are added up. Pieces are written in buckets by task and never
+   shuffled.
 
 Defined results: null and empty texts are one piece of the end id; repeated rows are packed each;
 no document, no row; other columns are ignored, so their names cannot clash. Nothing is dropped or
@@ -21,25 +22,25 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, tidied, written
-
-PIECES_PER_BUCKET = 8192
+from .common import bucketed, table, tidied
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, *, capacity: int, end_id: int, keep_ids: bool, blanks: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, on request, ids."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    """doc_id, piece, start, length, ids_crc32, task, place (from 0, among the task's pieces of that length) and, on
+    request, ids. Place follows the order of rows, so the pieces must be written before they are used twice."""
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long" + ", ids array<int>" * keep_ids
 
     def cut(batches):
         import pyarrow as pa
 
         from heronry.llm.tokens import tokenizer as held
 
-        encode = held(tokenizer, blanks)
+        encode, task, met = held(tokenizer, blanks), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             docs = batch.column(0).to_pylist()
             for first, flat, counts in encode(batch.column(1)):
@@ -49,9 +50,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, *, capacity: int, end_id: int, ke
                     end += n
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]
-                        rows.append((doc, k, start, len(own), zlib.crc32(own.tobytes()), own.astype(np.int32)))
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+                        rows.append((doc, k, start, len(own), zlib.crc32(own.tobytes()), task, met[len(own)], own.astype(np.int32)))
+                        met[len(own)] += 1
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place", "ids"][: 7 + keep_ids]
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types[: len(names)], strict=False)], names)
 
@@ -145,17 +147,16 @@ def pack_documents(
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = pieces_of(docs, tokenizer, capacity=capacity, end_id=end_id, keep_ids=keep_ids, blanks=blanks)
-    pieces = written(pieces, "pieces")
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    # A task's pieces are one bucket's, so each task writes one file.
+    pieces = bucketed(pieces, "task", "pieces")
+    by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
+    counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     segments, _ = plan_sequences(counts, capacity)
-    n_buckets = max(1, -(-sum(counts.values()) // PIECES_PER_BUCKET))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_buckets)))
-    ahead = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    before = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = before.select("length", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    inside = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    pieces = pieces.withColumn("number", F.row_number().over(inside) - 1)
-    pieces = pieces.join(before, ["length", "bucket"]).withColumn("number", F.col("number") + F.col("before")).drop("bucket", "before")
+    ahead = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    before = by_task.select("task", "length", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    # The counts go to the pieces' buckets: few rows, held as a hash table, so pieces are not sorted either.
+    starts = before.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("starts"))
+    pieces = pieces.join(starts.hint("shuffle_hash"), "task").withColumn("number", F.col("place") + F.col("starts")[F.col("length")]).drop("starts")
     plan = np.array(sorted(segments), np.int64).reshape(-1, 5)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     schema = ", ".join(f"{n} {dict(pieces.dtypes)[n]}" for n in names) + ", sequence_id long, offset long"
